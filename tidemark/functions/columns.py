@@ -142,5 +142,7 @@ def hash_bucket(key: Column, seed: str = "", buckets: int = 10_000) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") % buckets
 
 
-def r(c: Column, digits: int = 6) -> Column:
-    return F.round(c, digits)
+def half_even(c: Column, digits: int) -> Column:
+    """Round like numpy: scale, round half to even, scale back."""
+    factor = float(10 ** digits)
+    return F.rint(c * factor) / factor

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("cleaning",)
+AREAS = ("cleaning", "joins", "series", "stats")
 
 
 def load_all() -> None:

@@ -205,7 +205,7 @@ def performance(t: Tables) -> DataFrame:
 
 
 DISCLOSURES = [
-    "CASE WHEN l_partkey % 4 = 1 THEN 'C-' || CAST(l_partkey AS STRING) ELSE 'X' || CAST(l_partkey AS STRING) END AS scheme_code",
+    "CASE WHEN l_partkey % 4 = 1 THEN ' ' || CAST(l_partkey AS STRING) || '-' ELSE 'X' || CAST(l_partkey AS STRING) END AS scheme_code",
     f"{_fund_name} AS scheme_name",
     f"{_category} AS scheme_category",
     "CAST(l_shipdate AS DATE) AS rate_date",

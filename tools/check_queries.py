@@ -18,6 +18,9 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "pages benchmark labels conversations").split()
 
 
+SQL_SECONDS: list[float] = []
+
+
 def plain(v):
     if v is None:
         return None
@@ -51,10 +54,12 @@ def connect(sf_dir: str):
 
 
 def compare(df, con, sql: str) -> str:
+    began = time.time()
     cur = con.execute(sql)
     names = [d[0] for d in cur.description]
     types = {d[0]: str(d[1]).lower() for d in cur.description}
     theirs_rows = cur.fetchall()
+    SQL_SECONDS.append(time.time() - began)
     cols = sorted(df.columns)
     if cols != sorted(names):
         return f"columns {cols} vs {sorted(names)}"
@@ -81,7 +86,8 @@ def main() -> None:
     load_all()
     sf_dir, wanted = sys.argv[1], sys.argv[2:]
     spark = build_session(master="local[8]", spark__sql__shuffle__partitions="8",
-                          spark__ui__enabled="false", spark__driver__memory="12g")
+                          spark__ui__enabled="false", spark__driver__memory="12g",
+                          spark__ui__showConsoleProgress="false")
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)
     failed = []
@@ -89,6 +95,7 @@ def main() -> None:
         if wanted and not any(w in name for w in wanted):
             continue
         start = time.time()
+        SQL_SECONDS.clear()
         try:
             df = fn(spark, sf_dir)
             if name in ORACLES:
@@ -97,9 +104,9 @@ def main() -> None:
                 problem = "" if df.count() > 0 else "EMPTY"
         except Exception as e:  # noqa: BLE001 - report and go on
             problem = f"{type(e).__name__}: {str(e)[:1200]}"
-        took = time.time() - start
+        took = time.time() - start - sum(SQL_SECONDS)
         tag = "ok " if not problem else "BAD"
-        print(f"{tag} {name:<40} {took:6.2f}s {'' if name in ORACLES else '(rows only)'} {problem}", flush=True)
+        print(f"{tag} {name:<40} {took:6.2f}s sql {sum(SQL_SECONDS):5.2f}s {'' if name in ORACLES else '(rows only)'} {problem}", flush=True)
         if problem:
             failed.append(name)
     print("failed:", failed)
