@@ -139,15 +139,17 @@ def clamp_impact(df: DataFrame, category: str, ordinal: str,
                  bounds: Sequence[tuple[str, int, int]]) -> DataFrame:
     """Per keyword: rows containing it, rows at the floor and at the ceiling.
 
-    Keywords overlap, so each is its own conditional count in a single pass.
+    Keywords overlap, so each is its own conditional sum; the text tests run on the
+    grouped (category, ordinal) counts and not once per row.
     """
-    low = F.lower(category)
+    grouped = df.groupBy(F.lower(category).alias("_low"), F.col(ordinal).alias("_ord")).agg(
+        F.count(F.lit(1)).alias("_n"))
     cells = []
     for i, (word, lo, hi) in enumerate(bounds):
-        hit = F.contains(low, F.lit(word))
-        cells += [F.count_if(hit).alias(f"n{i}"), F.count_if(hit & (F.col(ordinal) == lo)).alias(f"f{i}"),
-                  F.count_if(hit & (F.col(ordinal) == hi)).alias(f"c{i}")]
-    wide = df.agg(*cells)
+        hit = F.contains(F.col("_low"), F.lit(word))
+        for name, cond in (("n", hit), ("f", hit & (F.col("_ord") == lo)), ("c", hit & (F.col("_ord") == hi))):
+            cells.append(F.sum(F.when(cond, F.col("_n")).otherwise(0)).alias(f"{name}{i}"))
+    wide = grouped.agg(*cells)
     return stacked(wide, [{"keyword": F.lit(w), "n": F.col(f"n{i}"), "at_floor": F.col(f"f{i}"),
                            "at_ceiling": F.col(f"c{i}")} for i, (w, _, _) in enumerate(bounds)]).where("n > 0")
 

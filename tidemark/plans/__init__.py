@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("cleaning", "joins", "series", "stats")
+AREAS = ("cleaning", "joins", "series", "stats", "funds")
 
 
 def load_all() -> None:

@@ -6,6 +6,8 @@ usage: python tools/check_queries.py /root/testdata/sf0.001 [name-substring ...]
 from __future__ import annotations
 
 import math
+import os
+import signal
 import sys
 import time
 from pathlib import Path
@@ -18,6 +20,14 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "pages benchmark labels conversations").split()
 
 
+LIMIT = int(os.environ.get("CHECK_LIMIT", "90"))
+
+
+def give_up(*_):
+    raise TimeoutError(f"over {LIMIT} s")
+
+
+signal.signal(signal.SIGALRM, give_up)
 SQL_SECONDS: list[float] = []
 
 
@@ -96,14 +106,16 @@ def main() -> None:
             continue
         start = time.time()
         SQL_SECONDS.clear()
+        signal.alarm(LIMIT)
         try:
             df = fn(spark, sf_dir)
             if name in ORACLES:
                 problem = compare(df, con, ORACLES[name])
             else:
                 problem = "" if df.count() > 0 else "EMPTY"
-        except Exception as e:  # noqa: BLE001 - report and go on
+        except BaseException as e:  # noqa: BLE001 - report and go on
             problem = f"{type(e).__name__}: {str(e)[:1200]}"
+        signal.alarm(0)
         took = time.time() - start - sum(SQL_SECONDS)
         tag = "ok " if not problem else "BAD"
         print(f"{tag} {name:<40} {took:6.2f}s sql {sum(SQL_SECONDS):5.2f}s {'' if name in ORACLES else '(rows only)'} {problem}", flush=True)
