@@ -111,8 +111,8 @@ def bin_thresholds(labelled: DataFrame, score: str = "risk_score") -> DataFrame:
 
 def label_from_thresholds(score: Column, thresholds: Column) -> Column:
     """Number of thresholds not above the score, as a tier name."""
-    above = F.size(F.filter(thresholds, lambda x: x <= score))
-    return C.tier_name(F.least(above, F.lit(len(rules.TIERS) - 1)), rules.TIERS)
+    passed = sum(((thresholds[i] <= score).cast("int") for i in range(len(rules.TIERS) - 1)), F.lit(0))
+    return C.tier_name(passed, rules.TIERS)
 
 
 def label_encode(df: DataFrame, col: str, out: str, fitted: DataFrame | None = None,

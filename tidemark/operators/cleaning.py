@@ -26,50 +26,65 @@ def apply_bounds(df: DataFrame, bounds: Mapping[str, tuple[float, float]],
     return df.withColumns(out)
 
 
-def fill_within_key(
+def neighbours(
     df: DataFrame,
     cols: Sequence[str],
-    key: str,
+    key: Sequence[str],
     order: Sequence[str],
     chunk: Column | None = None,
+    exclusive: bool = False,
 ) -> DataFrame:
-    """Forward then backward fill inside each key, in the order given.
+    """Add ``prev_c`` and ``next_c``: nearest non-null value at or before / at or after each row.
 
     ``chunk`` is any column expression that is non-decreasing along ``order``
-    (a month, an id range).  With it, a very large key is filled chunk by chunk
+    (a month, an id range).  With it, a very large key is scanned chunk by chunk
     in parallel and only one summary row per (key, chunk) is carried across, so
-    a key holding a third of all rows does not become one task.
+    a key holding a third of all rows does not become one task.  ``exclusive``
+    leaves the row itself out.
     """
+    key = list(key)
+    gap = 1 if exclusive else 0
+
+    def frames(*part: str):
+        w = Window.partitionBy(*(part or [F.lit(0)])).orderBy(*order)
+        return (w.rowsBetween(Window.unboundedPreceding, -gap), w.rowsBetween(gap, Window.unboundedFollowing))
+
     if chunk is None:
-        run = Window.partitionBy(key).orderBy(*order)
-        back = run.rowsBetween(Window.unboundedPreceding, 0)
-        ahead = run.rowsBetween(0, Window.unboundedFollowing)
-        return df.withColumns({
-            c: F.coalesce(F.last(c, ignorenulls=True).over(back),
-                          F.first(c, ignorenulls=True).over(ahead)) for c in cols})
+        back, ahead = frames(*key)
+        return df.withColumns(
+            {f"prev_{c}": F.last(c, ignorenulls=True).over(back) for c in cols}
+            | {f"next_{c}": F.first(c, ignorenulls=True).over(ahead) for c in cols})
     cut = df.withColumn("_chunk", chunk)
-    run = Window.partitionBy(key, "_chunk").orderBy(*order)
-    back = run.rowsBetween(Window.unboundedPreceding, 0)
-    ahead = run.rowsBetween(0, Window.unboundedFollowing)
+    back, ahead = frames(*key, "_chunk")
     local = cut.withColumns(
         {f"_f_{c}": F.last(c, ignorenulls=True).over(back) for c in cols}
         | {f"_b_{c}": F.first(c, ignorenulls=True).over(ahead) for c in cols})
     pos = F.struct(*order)
-    edges = cut.groupBy(key, "_chunk").agg(
+    edges = cut.groupBy(*key, "_chunk").agg(
         *[F.max_by(c, F.when(F.col(c).isNotNull(), pos)).alias(f"_l_{c}") for c in cols],
         *[F.min_by(c, F.when(F.col(c).isNotNull(), pos)).alias(f"_s_{c}") for c in cols],
     )
-    across = Window.partitionBy(key).orderBy("_chunk")
+    across = Window.partitionBy(*(key or [F.lit(0)])).orderBy("_chunk")
     earlier = across.rowsBetween(Window.unboundedPreceding, -1)
     later = across.rowsBetween(1, Window.unboundedFollowing)
     carried = edges.select(
-        key, "_chunk",
+        *key, "_chunk",
         *[F.last(f"_l_{c}", ignorenulls=True).over(earlier).alias(f"_p_{c}") for c in cols],
         *[F.first(f"_s_{c}", ignorenulls=True).over(later).alias(f"_n_{c}") for c in cols],
     )
-    joined = local.join(carried, [key, "_chunk"])
-    filled = {c: F.coalesce(f"_f_{c}", f"_p_{c}", f"_b_{c}", f"_n_{c}") for c in cols}
-    return joined.select(*[filled[c].alias(c) if c in filled else F.col(c) for c in df.columns])
+    joined = local.join(carried, [*key, "_chunk"])
+    return joined.select(
+        *[F.col(c) for c in df.columns],
+        *[F.coalesce(f"_f_{c}", f"_p_{c}").alias(f"prev_{c}") for c in cols],
+        *[F.coalesce(f"_b_{c}", f"_n_{c}").alias(f"next_{c}") for c in cols])
+
+
+def fill_within_key(df: DataFrame, cols: Sequence[str], key: str, order: Sequence[str],
+                    chunk: Column | None = None) -> DataFrame:
+    """Forward then backward fill inside each key, in the order given (see ``neighbours``)."""
+    near = neighbours(df, cols, [key], order, chunk)
+    filled = {c: F.coalesce(f"prev_{c}", f"next_{c}") for c in cols}
+    return near.select(*[filled[c].alias(c) if c in filled else F.col(c) for c in df.columns])
 
 
 def fill_global_median(df: DataFrame, cols: Sequence[str]) -> DataFrame:

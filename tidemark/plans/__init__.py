@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("cleaning", "joins", "series", "stats", "funds")
+AREAS = ("cleaning", "joins", "series", "stats", "funds", "panel", "models", "text")
 
 
 def load_all() -> None:

@@ -17,7 +17,7 @@ from tidemark.plans import adapters as A
 from tidemark.plans.q_cleaning import name_sql
 from tidemark.plans.q_joins import CEILING_SQL, ELIGIBLE_SQL, FLOOR_SQL, SEGMENT_SQL, STYLE_SQL, TIER_SQL
 from tidemark.plans.q_series import TIER_LIST, metrics
-from tidemark.plans.registry import common, query
+from tidemark.plans.registry import common, query, shared
 from tidemark.sources.lineage import settle
 
 T5 = rules.TIERS
@@ -89,8 +89,16 @@ FROM expensed e LEFT JOIN cat_bands b ON e.code = b.code LEFT JOIN snap s ON {na
 WHERE e.price IS NOT NULL""", ["expensed", "cat_bands", "snap", "metrics"])
 
 
-def built(t, m=None):
-    m = settle(metrics(t)) if m is None else m
+def stored_metrics(t):
+    return shared(t, "metrics", lambda: settle(metrics(t)))
+
+
+def built(t):
+    return shared(t, "catalogue", lambda: _build(t))
+
+
+def _build(t):
+    m = stored_metrics(t)
     funds = A.catalogue(t)
     return settle(G.build_catalogue(funds, B.fund_risk_bands(funds, m), A.disclosures(t), A.RATE_ORDER, snapshot(t),
                                     m.select(F.col("key").alias("code"))))
@@ -199,7 +207,7 @@ common("hist", "SELECT c.code, CASE WHEN m.cagr_3yr IS NOT NULL THEN 1 ELSE 0 EN
 
 @query("fe_attach_metrics", "SELECT code, has_hist AS has_history, " + ", ".join(f"round({c}, 6) AS {c}" for c in X.HIST_COLS) + " FROM hist", ["hist"])
 def _(t):
-    m = settle(metrics(t))
+    m = stored_metrics(t)
     out = X.attach_metrics_with_median(A.catalogue(t), m)
     return rnd(out, X.HIST_COLS).select("code", "has_history", *X.HIST_COLS)
 
@@ -238,8 +246,7 @@ JOIN (SELECT amc, row_number() OVER (ORDER BY n DESC, amc) AS rk, n / max(n) OVE
 
 
 def fund_features(t):
-    m = settle(metrics(t))
-    return X.assemble_fund_features(built(t, m), m, A.reference_date(t))
+    return X.assemble_fund_features(built(t), stored_metrics(t), A.reference_date(t))
 
 
 @query("fe_regime_beta", "SELECT code, round(regime_beta, 5) AS regime_beta FROM fund_features", ["fund_features"])

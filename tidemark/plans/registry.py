@@ -22,6 +22,26 @@ class Tables:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
 
+_SHARED: dict[tuple, DataFrame] = {}
+
+
+def shared(t: Tables, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """Stage hand-off: build a settled table once per session and input folder.
+
+    Price metrics and the tagged catalogue feed many queries; they are written
+    once, like a stage output on disk, and read back column-pruned.
+    """
+    key = (t.spark.sparkContext.applicationId, t.sf_dir, name)
+    if key not in _SHARED:
+        _SHARED[key] = build()
+    return _SHARED[key]
+
+
+def forget_shared() -> None:
+    """Drop the hand-off tables, so the next query pays for building them."""
+    _SHARED.clear()
+
+
 def query(name: str, sql: str | None = None, uses: tuple[str, ...] | list[str] = ()):
     """Register ``fn(tables) -> DataFrame``; ``sql`` may refer to common table expressions."""
 
