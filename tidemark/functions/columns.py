@@ -146,3 +146,22 @@ def half_even(c: Column, digits: int) -> Column:
     """Round like numpy: scale, round half to even, scale back."""
     factor = float(10 ** digits)
     return F.rint(c * factor) / factor
+
+
+def fixed2(c: Column) -> Column:
+    """Two-decimal text of a value in [0, 8), rounded on its exact binary value like C printf.
+
+    The JVM formatter rounds the shortest decimal form instead, which differs for
+    values such as 0.475.  c * 2^60 is an exact integer in this range, so the
+    remainder against half a cent is compared exactly.  Larger values fall back.
+    """
+    whole = float(2 ** 60)
+    n = (c * whole).cast("bigint").cast("decimal(20,0)") * F.lit(100).cast("decimal(3,0)")
+    unit = F.lit(2 ** 60).cast("decimal(20,0)")
+    cents = F.floor(n / unit).cast("bigint")
+    rest = n - cents.cast("decimal(20,0)") * unit
+    half = F.lit(2 ** 59).cast("decimal(20,0)")
+    up = (rest > half) | ((rest == half) & (cents % 2 == 1))
+    total = cents + up.cast("bigint")
+    exact = F.format_string("%d.%02d", F.floor(total / 100).cast("bigint"), total % 100)
+    return F.when((c >= 0) & (c < 8), exact).otherwise(F.format_string("%.2f", c))

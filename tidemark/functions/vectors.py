@@ -42,7 +42,11 @@ def sharpen(p: Column, temperature: float) -> Column:
 def weighted_mean(vectors: list[Column], weights: list[float]) -> Column:
     """Element-wise weighted mean of equally long arrays."""
     whole = float(sum(weights))
+
+    def plus(a: Column, b: Column, share: float) -> Column:
+        return F.zip_with(a, b, lambda x, y: x + y.cast("double") * share)
+
     acc = scale(vectors[0], F.lit(weights[0] / whole))
     for v, w in zip(vectors[1:], weights[1:]):
-        acc = F.zip_with(acc, v, lambda x, y, w=w: x + y.cast("double") * (w / whole))
+        acc = plus(acc, v, w / whole)
     return acc

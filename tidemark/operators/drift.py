@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions import columns as C
 from tidemark.operators.joins import key_intersection
 from tidemark.operators.stats import ks_two_sample, psi
 
@@ -50,7 +51,7 @@ def drift_message(drift: DataFrame, cols: Sequence[str], key: str = "key", thres
     pairs = F.filter(F.arrays_zip(F.col("deltas").alias("d"), names.alias("n")), lambda p: p["d"] > threshold)
     # Descending by delta; equal deltas keep feature order because positions sort ascending.
     ordered = F.array_sort(pairs, lambda a, b: F.when(a["d"] > b["d"], -1).when(a["d"] < b["d"], 1).otherwise(0))
-    listed = F.array_join(F.transform(F.slice(ordered, 1, 3), lambda p: F.format_string("'%s' (+%.2f)", p["n"], p["d"])), ", ")
+    listed = F.array_join(F.transform(F.slice(ordered, 1, 3), lambda p: F.concat(F.lit("'"), p["n"], F.lit("' (+"), C.fixed2(p["d"]), F.lit(")"))), ", ")
     text = F.concat(
         F.lit("⚠ Customer "), F.col(key).cast("string"), F.lit(": risk profile may be stale. Significant changes detected in: "),
         listed, F.lit(". Largest shift: '"), F.col("top_feature"), F.lit("' moved "),

@@ -11,15 +11,19 @@ DEFAULT_CONTEXT = "Indian retail investor"
 
 
 def redact_pii(text: Column) -> Column:
-    """Blank name runs, amounts, phone and id numbers and e-mail addresses, in that order."""
+    """Blank name runs, amounts, phone and id numbers and e-mail addresses, in that order.
+
+    ``(?U)`` makes word boundaries and spaces follow Unicode, so an accented
+    letter next to a match counts as part of the word.
+    """
     out = F.coalesce(text, F.lit(""))
-    out = F.regexp_replace(out, r"\b[A-Z][a-z]+(?:\s[A-Z][a-z]+)+\b", "")
+    out = F.regexp_replace(out, r"(?U)\b[A-Z][a-z]+(?:\s[A-Z][a-z]+)+\b", "")
     out = F.regexp_replace(out, r"₹[0-9,]+", "₹[amount]")
-    out = F.regexp_replace(out, r"(?i)Rs\.?\s*[0-9,]+", "Rs.[amount]")
-    out = F.regexp_replace(out, r"\b[0-9]{10}\b", "[phone]")
-    out = F.regexp_replace(out, r"\b[0-9]{12}\b", "[id]")
-    out = F.regexp_replace(out, r"\S+@\S+\.\S+", "[email]")
-    out = F.trim(F.regexp_replace(out, r"[\s,]+", " "))
+    out = F.regexp_replace(out, r"(?iU)Rs\.?\s*[0-9,]+", "Rs.[amount]")
+    out = F.regexp_replace(out, r"(?U)\b[0-9]{10}\b", "[phone]")
+    out = F.regexp_replace(out, r"(?U)\b[0-9]{12}\b", "[id]")
+    out = F.regexp_replace(out, r"(?U)\S+@\S+\.\S+", "[email]")
+    out = F.trim(F.regexp_replace(out, r"(?U)[\s,]+", " "))
     return F.when(out == "", DEFAULT_CONTEXT).otherwise(out)
 
 

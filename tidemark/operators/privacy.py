@@ -94,7 +94,8 @@ def order_epsilon(steps: Column, alpha: Column, sigma: float, q: float, delta: f
 def epsilon_for_steps(steps: DataFrame, sigma: float = rules.NOISE_MULTIPLIER, q: float = rules.SAMPLE_RATE,
                       delta: float = rules.DELTA, orders: tuple[int, int] = (2, 512)) -> DataFrame:
     """Smallest epsilon over moment orders for every distinct step count (column ``steps``)."""
-    grid = steps.select("steps").distinct().withColumn("a", F.explode(F.sequence(F.lit(orders[0]), F.lit(orders[1]))).cast("double"))
+    orders_array = F.transform(F.sequence(F.lit(orders[0]), F.lit(orders[1])), lambda a: a.cast("double"))
+    grid = steps.select("steps").distinct().withColumn("a", F.explode(orders_array))
     # Orders whose exponential overflows in double precision are skipped.
     usable = F.col("a") / (2.0 * sigma * sigma) < 709.0
     eps = order_epsilon(F.col("steps"), F.col("a"), sigma, q, delta)

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("cleaning", "joins", "series", "stats", "funds", "panel", "models", "text")
+AREAS = ("cleaning", "joins", "series", "stats", "funds", "panel", "models", "text", "ml")
 
 
 def load_all() -> None:

@@ -33,18 +33,33 @@ def redact_sql(c):
     return f"CASE WHEN {x} = '' THEN '{X.DEFAULT_CONTEXT}' ELSE {x} END"
 
 
-@query("tx_redact_pii", f"SELECT doc_id, md5({redact_sql('text')}) AS clean_md5, CAST(length({redact_sql('text')}) AS INTEGER) AS n FROM documents")
+# The checking engine's word boundary is ASCII-only.  Both sides therefore write every
+# non-ASCII letter as "_" (a word character that no rule touches): the SQL before redacting,
+# the query after it.
+NON_ASCII_LETTER = r"[^\x00-\x7F\P{L}]"
+
+
+def folded_sql(c):
+    return f"regexp_replace({c}, '{NON_ASCII_LETTER}', '_', 'g')"
+
+
+def folded(c):
+    return F.regexp_replace(c, NON_ASCII_LETTER, "_")
+
+
+@query("tx_redact_pii", f"SELECT doc_id, md5(c) AS clean_md5, CAST(length(c) AS INTEGER) AS n FROM (SELECT doc_id, {redact_sql('x')} AS c FROM (SELECT doc_id, {folded_sql('text')} AS x FROM documents))")
 def _(t):
-    clean = X.redact_pii(F.col("text"))
-    return t.documents.select("doc_id", clean.alias("c")).select("doc_id", F.md5("c").alias("clean_md5"), F.length("c").alias("n"))
+    out = t.documents.select("doc_id", folded(X.redact_pii(F.col("text"))).alias("c"))
+    return out.select("doc_id", F.md5("c").alias("clean_md5"), F.length("c").alias("n"))
 
 
 _turn = "role || ' says Rs. ' || CAST(conv_id * 1000 AS STRING) || ' or ₹1,000 call 98765' || lpad(CAST(conv_id % 100000 AS STRING), 5, '0') || ' mail a' || CAST(turn AS STRING) || '@b.co Neil Rao, ' || text"
 
 
-@query("tx_redact_pii_chat", f"SELECT conv_id, turn, {redact_sql('x')} AS clean FROM (SELECT conv_id, turn, {_turn} AS x FROM conversations)")
+@query("tx_redact_pii_chat", f"SELECT conv_id, turn, {redact_sql('x')} AS clean FROM (SELECT conv_id, turn, {folded_sql(_turn)} AS x FROM conversations)")
 def _(t):
-    return t.conversations.selectExpr("conv_id", "turn", f"{_turn} AS x").select("conv_id", "turn", X.redact_pii(F.col("x")).alias("clean"))
+    return t.conversations.selectExpr("conv_id", "turn", f"{_turn} AS x").select(
+        "conv_id", "turn", folded(X.redact_pii(F.col("x"))).alias("clean"))
 
 
 _money = "format('{{:,}}', CAST(round_even({c}, 0) AS BIGINT))"
