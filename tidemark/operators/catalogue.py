@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark import rules
 from tidemark.functions import columns as C
 from tidemark.operators import joins as J
+from tidemark.sources.lineage import settle
 
 RETURNS = ["fund_return_1y", "fund_return_3y", "fund_return_5y"]
 BENCHMARKS = ["benchmark_return_1y", "benchmark_return_3y", "benchmark_return_5y"]
@@ -55,7 +56,8 @@ def snapshot_features(snapshots: DataFrame, order: Sequence[str],
     """Newest non-null value of each snapshot column per scheme, with excess returns."""
     keyed = snapshots.withColumn("name_key", C.normalise_name(F.col("scheme_name")))
     cols = ["benchmark", "riskometer", "nav_date", "daily_aum", *RETURNS, *BENCHMARKS]
-    last = J.last_non_null_per_key(keyed, "name_key", order, cols)
+    # Read twice below (the newest date and the rows), aggregated once.
+    last = settle(J.last_non_null_per_key(keyed, "name_key", order, cols))
     newest = last.agg(F.max("nav_date").alias("m")).scalar()
     # Excess is taken before the returns are clipped.
     out = last.withColumns({

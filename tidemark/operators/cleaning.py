@@ -44,35 +44,47 @@ def neighbours(
     """
     key = list(key)
     gap = 1 if exclusive else 0
+    backwards = [F.col(o).desc() for o in order]
 
     def frames(*part: str):
-        w = Window.partitionBy(*(part or [F.lit(0)])).orderBy(*order)
-        return (w.rowsBetween(Window.unboundedPreceding, -gap), w.rowsBetween(gap, Window.unboundedFollowing))
+        # Looking ahead is looking back in reverse order: both frames grow row by row, where
+        # a frame open to the following side would be rescanned from every row.
+        by = part or [F.lit(0)]
+        grow = (Window.unboundedPreceding, -gap)
+        return (Window.partitionBy(*by).orderBy(*order).rowsBetween(*grow),
+                Window.partitionBy(*by).orderBy(*backwards).rowsBetween(*grow))
 
     if chunk is None:
         back, ahead = frames(*key)
-        return df.withColumns(
-            {f"prev_{c}": F.last(c, ignorenulls=True).over(back) for c in cols}
-            | {f"next_{c}": F.first(c, ignorenulls=True).over(ahead) for c in cols})
+        return df.withColumns({f"prev_{c}": F.last(c, ignorenulls=True).over(back) for c in cols}).withColumns(
+            {f"next_{c}": F.last(c, ignorenulls=True).over(ahead) for c in cols})
     cut = df.withColumn("_chunk", chunk)
-    back, ahead = frames(*key, "_chunk")
+    keys = [*key, "_chunk"]
+    back, ahead = frames(*keys)
     local = cut.withColumns(
         {f"_f_{c}": F.last(c, ignorenulls=True).over(back) for c in cols}
-        | {f"_b_{c}": F.first(c, ignorenulls=True).over(ahead) for c in cols})
-    pos = F.struct(*order)
-    edges = cut.groupBy(*key, "_chunk").agg(
-        *[F.max_by(c, F.when(F.col(c).isNotNull(), pos)).alias(f"_l_{c}") for c in cols],
-        *[F.min_by(c, F.when(F.col(c).isNotNull(), pos)).alias(f"_s_{c}") for c in cols],
+        | {"_i": F.row_number().over(Window.partitionBy(*keys).orderBy(*order))})
+    local = local.withColumns(
+        {f"_b_{c}": F.last(c, ignorenulls=True).over(ahead) for c in cols}
+        | {"_j": F.row_number().over(Window.partitionBy(*keys).orderBy(*backwards))})
+    # Chunk edges: the last row has seen every value looking back, the first row looking ahead.
+    # Grouped on the windows' own partitioning, so the rows are not shuffled again.
+    seen_back = {c: F.coalesce(c, f"_f_{c}") if exclusive else F.col(f"_f_{c}") for c in cols}
+    seen_ahead = {c: F.coalesce(c, f"_b_{c}") if exclusive else F.col(f"_b_{c}") for c in cols}
+    edges = local.groupBy(*keys).agg(
+        *[F.max(F.when(F.col("_j") == 1, seen_back[c])).alias(f"_l_{c}") for c in cols],
+        *[F.max(F.when(F.col("_i") == 1, seen_ahead[c])).alias(f"_s_{c}") for c in cols],
     )
-    across = Window.partitionBy(*(key or [F.lit(0)])).orderBy("_chunk")
-    earlier = across.rowsBetween(Window.unboundedPreceding, -1)
-    later = across.rowsBetween(1, Window.unboundedFollowing)
+    across = key or [F.lit(0)]  # one row per (key, chunk)
+    grow = (Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*across).orderBy("_chunk").rowsBetween(*grow)
+    later = Window.partitionBy(*across).orderBy(F.col("_chunk").desc()).rowsBetween(*grow)
     carried = edges.select(
         *key, "_chunk",
         *[F.last(f"_l_{c}", ignorenulls=True).over(earlier).alias(f"_p_{c}") for c in cols],
-        *[F.first(f"_s_{c}", ignorenulls=True).over(later).alias(f"_n_{c}") for c in cols],
+        *[F.last(f"_s_{c}", ignorenulls=True).over(later).alias(f"_n_{c}") for c in cols],
     )
-    joined = local.join(carried, [*key, "_chunk"])
+    joined = local.join(carried, keys)
     return joined.select(
         *[F.col(c) for c in df.columns],
         *[F.coalesce(f"_f_{c}", f"_p_{c}").alias(f"prev_{c}") for c in cols],

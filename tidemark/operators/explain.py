@@ -16,14 +16,19 @@ def redact_pii(text: Column) -> Column:
     ``(?U)`` makes word boundaries and spaces follow Unicode, so an accented
     letter next to a match counts as part of the word.
     """
+    def where_seen(x: Column, mark: str, pattern: str, repl: str) -> Column:
+        # A plain substring test first: most texts hold no such mark and skip the pattern.
+        return F.when(F.contains(x, F.lit(mark)), F.regexp_replace(x, pattern, repl)).otherwise(x)
+
     out = F.coalesce(text, F.lit(""))
     out = F.regexp_replace(out, r"(?U)\b[A-Z][a-z]+(?:\s[A-Z][a-z]+)+\b", "")
-    out = F.regexp_replace(out, r"₹[0-9,]+", "₹[amount]")
+    out = where_seen(out, "₹", r"₹[0-9,]+", "₹[amount]")
     out = F.regexp_replace(out, r"(?iU)Rs\.?\s*[0-9,]+", "Rs.[amount]")
     out = F.regexp_replace(out, r"(?U)\b[0-9]{10}\b", "[phone]")
     out = F.regexp_replace(out, r"(?U)\b[0-9]{12}\b", "[id]")
-    out = F.regexp_replace(out, r"(?U)\S+@\S+\.\S+", "[email]")
-    out = F.trim(F.regexp_replace(out, r"(?U)[\s,]+", " "))
+    out = where_seen(out, "@", r"(?U)\S+@\S+\.\S+", "[email]")
+    # Runs of two or more, or a single separator that is not already a plain space.
+    out = F.trim(F.regexp_replace(out, r"(?U)[\s,]{2,}|[\s,&&[^ ]]", " "))
     return F.when(out == "", DEFAULT_CONTEXT).otherwise(out)
 
 

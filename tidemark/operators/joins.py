@@ -127,14 +127,17 @@ def priority_lookup(
 def attach_expense(funds: DataFrame, disclosures: DataFrame, order: Sequence[str],
                    default: float = 1.0) -> DataFrame:
     """Real expense rate by code, name and category, or name; medians fill the rest, flagged."""
-    rates = disclosures.where(F.col("rate").isNotNull()).select(
+    pos = [f"_{o}" for o in order]
+    raw_key = ["scheme_code", "scheme_name", "scheme_category"]
+    # Newest rate per raw key first: it combines map-side, and the text keys are then
+    # normalised on distinct schemes only.  The three lookups roll up this small result.
+    newest = latest_per_key(disclosures.where(F.col("rate").isNotNull()).select(
+        *raw_key, "rate", *[F.col(o).alias(p) for o, p in zip(order, pos)]), raw_key, pos)
+    rates = newest.select(
         C.normalise_code(F.col("scheme_code")).alias("code_key"),
         C.normalise_name(F.col("scheme_name"), bonus=True).alias("cost_key"),
-        F.lower(F.trim("scheme_category")).alias("cat_key"), "rate", *order)
-    # One map-side combined pass first; the three lookups are roll-ups of its small result.
-    rates = latest_per_key(
-        rates.select("*", *[F.col(o).alias(f"_{o}") for o in order]),
-        ["code_key", "cost_key", "cat_key"], [f"_{o}" for o in order]).drop(*[f"_{o}" for o in order])
+        F.lower(F.trim("scheme_category")).alias("cat_key"), "rate", *[F.col(p).alias(o) for o, p in zip(order, pos)])
+    rates = settle(rates)
     named = rates.where("cost_key <> ''")
     sources = [
         ("code", latest_per_key(rates.where("code_key <> ''"), ["code_key"], order), ["code_key"]),

@@ -114,29 +114,30 @@ def kde_scores(df: DataFrame, train: DataFrame, cols: Sequence[str], label: str,
     support = settle(train.groupBy(label, *cols).agg(F.count(F.lit(1)).cast("double").alias("w")))
     n_rows = support.count()
     blocks = max(1, math.ceil(n_rows / block_rows * 1.5))
-    priors = support.groupBy(label).agg(F.sum("w").alias("n_class"))
+    priors = support.groupBy(label).agg(F.sum("w").alias("_n_class"))
     total = support.agg(F.sum("w").alias("t")).scalar()
     bucket = F.pmod(F.xxhash64(*cols), F.lit(blocks).cast("bigint"))
-    packed = support.withColumn("b", bucket).groupBy("b", label).agg(
-        F.collect_list(F.struct("w", F.array(*cols).alias("x"))).alias("pts"))
-    points = df.select(*cols).distinct().withColumn("q", F.array(*[F.col(c).cast("double") for c in cols]))
-    asked = points.withColumn("b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
+    packed = support.withColumn("_block", bucket).groupBy("_block", label).agg(
+        F.collect_list(F.struct(F.col("w").alias("w"), F.array(*cols).alias("x"))).alias("_pts"))
+    points = df.select(*cols).distinct().withColumn("_q", F.array(*[F.col(c).cast("double") for c in cols]))
+    asked = points.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
     h2 = 2.0 * bandwidth * bandwidth
 
     def exponent(p: Column) -> Column:
-        gap = F.zip_with(F.col("q"), p["x"], lambda a, b: (a - b) * (a - b))
+        gap = F.zip_with(F.col("_q"), p["x"], lambda x, y: (x - y) * (x - y))
         return F.ln(p["w"]) - F.aggregate(gap, F.lit(0.0), lambda acc, v: acc + v) / h2
 
-    near = asked.join(packed, "b").withColumn("e", F.transform("pts", exponent)).withColumn("m", F.array_max("e"))
-    part = near.withColumn("s", F.aggregate(F.transform("e", lambda v: F.exp(v - F.col("m"))), F.lit(0.0), lambda a, v: a + v))
-    peak = part.groupBy(*cols, label).agg(F.collect_list(F.struct("m", "s")).alias("parts"))  # one entry per block
-    peak = peak.withColumn("top", F.array_max(F.transform("parts", lambda x: x["m"])))
-    summed = F.aggregate("parts", F.lit(0.0), lambda acc, x: acc + x["s"] * F.exp(x["m"] - F.col("top")))
+    near = asked.join(packed, "_block").withColumn("_e", F.transform("_pts", exponent)).withColumn("_m", F.array_max("_e"))
+    part = near.withColumn("_s", F.aggregate(F.transform("_e", lambda v: F.exp(v - F.col("_m"))), F.lit(0.0), lambda x, v: x + v))
+    peak = part.groupBy(*cols, label).agg(F.collect_list(F.struct(
+        F.col("_m").alias("m"), F.col("_s").alias("s"))).alias("_parts"))  # one entry per block
+    peak = peak.withColumn("_top", F.array_max(F.transform("_parts", lambda x: x["m"])))
+    summed = F.aggregate("_parts", F.lit(0.0), lambda acc, x: acc + x["s"] * F.exp(x["m"] - F.col("_top")))
     dims = len(cols)
     const = dims * math.log(bandwidth) + dims / 2.0 * math.log(2 * math.pi)
     out = peak.join(priors, label)
-    density = F.col("top") + F.ln(summed) - F.ln("n_class") - const
-    return out.select(*cols, label, (density + F.ln(F.col("n_class") / total)).alias("log_score"))
+    density = F.col("_top") + F.ln(summed) - F.ln("_n_class") - const
+    return out.select(*cols, label, (density + F.ln(F.col("_n_class") / total)).alias("log_score"))
 
 
 def kde_classify(df: DataFrame, train: DataFrame, cols: Sequence[str], label: str, **kw) -> DataFrame:
@@ -309,11 +310,13 @@ def davies_bouldin(df: DataFrame, cluster: str, vec: str) -> DataFrame:
     joined = df.select(F.col(cluster).alias("cluster"), vec).join(F.broadcast(c), "cluster")  # k rows
     spread = joined.groupBy("cluster").agg(F.avg(F.sqrt(V.total(_gap(F.col(vec), F.col("center"))))).alias("spread"))
     table = spread.join(c.select("cluster", "center"), "cluster")
-    a = table.select(F.col("cluster").alias("i"), F.col("spread").alias("si"), F.col("center").alias("ci"))
-    b = table.select(F.col("cluster").alias("j"), F.col("spread").alias("sj"), F.col("center").alias("cj"))
-    pairs = a.join(F.broadcast(b), F.col("i") != F.col("j"))  # k x k rows, k is the cluster count
-    ratio = (F.col("si") + F.col("sj")) / F.sqrt(V.total(_gap(F.col("ci"), F.col("cj"))))
-    return pairs.groupBy("i").agg(F.max(ratio).alias("r")).agg(F.avg("r").alias("davies_bouldin"))
+    # One array entry per cluster, attached as a scalar: clusters are compared inside the row.
+    everyone = table.agg(F.collect_list(F.struct("cluster", "spread", "center")).alias("t")).scalar()
+    rows = table.withColumn("_all", everyone)
+    worst = F.array_max(F.transform(
+        F.filter("_all", lambda o: o["cluster"] != F.col("cluster")),
+        lambda o: (F.col("spread") + o["spread"]) / F.sqrt(V.total(_gap(F.col("center"), o["center"])))))
+    return rows.select(worst.alias("r")).agg(F.avg("r").alias("davies_bouldin"))
 
 
 def squared_silhouette(df: DataFrame, cluster: str, vec: str) -> DataFrame:

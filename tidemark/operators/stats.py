@@ -274,10 +274,14 @@ def ks_two_sample(baseline: DataFrame, current: DataFrame, cols: Sequence[str])
                                       F.max("tot_b").alias("n_b"))
     en = F.sqrt(F.col("n_a") * F.col("n_b") / (F.col("n_a") + F.col("n_b")))
     lam = en * F.col("ks_statistic")
-    series = sum((F.lit(2.0 * (-1) ** (k - 1)) * F.exp(-2.0 * k * k * lam * lam) for k in range(1, 101)),
-                 F.lit(0.0))
+    # The alternating series as a fold over its index: unrolled, the expression outgrows one
+    # generated method.
+    stat = stat.withColumn("_lam", lam)
+    lam = F.col("_lam")
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(100)), F.lit(0.0), lambda acc, k: acc + F.when(
+        k % 2 == 1, 2.0).otherwise(-2.0) * F.exp(-2.0 * k * k * lam * lam))
     p = F.when(lam < 0.2, 1.0).otherwise(F.least(F.greatest(series, F.lit(0.0)), F.lit(1.0)))
-    return stat.withColumn("ks_pvalue", p)
+    return stat.withColumn("ks_pvalue", p).drop("_lam")
 
 
 def spearman_with(df: DataFrame, target: str, cols: Sequence[str], key: str) -> DataFrame:
