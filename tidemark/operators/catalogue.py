@@ -54,10 +54,13 @@ def snapshot_features(snapshots: DataFrame, order: Sequence[str],
                       index_cagr_3y: float | Column | None = None,
                       index_cagr_5y: float | Column | None = None) -> DataFrame:
     """Newest non-null value of each snapshot column per scheme, with excess returns."""
-    keyed = snapshots.withColumn("name_key", C.normalise_name(F.col("scheme_name")))
     cols = ["benchmark", "riskometer", "nav_date", "daily_aum", *RETURNS, *BENCHMARKS]
+    # Collapse per raw name first: the join key is then cleaned once per scheme, not per row.
+    raw = J.newest_values(snapshots, ["scheme_name"], order, cols)
+    keyed = raw.withColumn("name_key", C.normalise_name(F.col("scheme_name")))
+    merged = keyed.groupBy("name_key").agg(*[F.max(c).alias(c) for c in cols])
     # Read twice below (the newest date and the rows), aggregated once.
-    last = settle(J.last_non_null_per_key(keyed, "name_key", order, cols))
+    last = settle(merged.select("name_key", *[F.col(c)["value"].alias(c) for c in cols]))
     newest = last.agg(F.max("nav_date").alias("m")).scalar()
     # Excess is taken before the returns are clipped.
     out = last.withColumns({

@@ -25,12 +25,23 @@ def first_per_key(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> Da
     return best.select(*key, "_row.*")
 
 
+def newest_values(df: DataFrame, key: Sequence[str], order: Sequence[str],
+                  cols: Sequence[str]) -> DataFrame:
+    """Per key, the last non-null value of each column with its position, as (at, value) structs.
+
+    The structs combine further with ``max``, so keys can be merged later.
+    """
+    at = F.struct(*order)
+    return df.groupBy(*key).agg(*[
+        F.max(F.when(F.col(c).isNotNull(), F.struct(at.alias("at"), F.col(c).alias("value")))).alias(c)
+        for c in cols])
+
+
 def last_non_null_per_key(df: DataFrame, key: str, order: Sequence[str],
                           cols: Sequence[str]) -> DataFrame:
     """Last non-null value of each column on its own."""
-    pos = F.struct(*order)
-    return df.groupBy(key).agg(
-        *[F.max_by(c, F.when(F.col(c).isNotNull(), pos)).alias(c) for c in cols])
+    newest = newest_values(df, [key], order, cols)
+    return newest.select(key, *[F.col(c)["value"].alias(c) for c in cols])
 
 
 def dedupe(df: DataFrame, key: Sequence[str], order: Sequence[str], keep: str = "last") -> DataFrame:
