@@ -19,9 +19,8 @@ from tidemark.plans.registry import QUERIES, forget_shared
 from tidemark.session import build_session
 
 HEADLINE = [
-    "flagship_top_funds", "wn_price_metrics", "wn_forward_panel", "wn_clamp_band", "fe_customer_features",
-    "cln_fill_within_key", "jn_priority_lookup", "jn_attach_benchmark", "rc_build_catalogue", "rc_recommend",
-    "rc_recommend_by_horizon", "dr_detect_drift", "dr_population_drift", "ev_roc_auc_ovr", "ev_classification_report",
+    "flagship_top_funds", "wn_price_metrics", "wn_forward_panel", "fe_customer_features",
+    "cln_fill_within_key", "jn_priority_lookup", "rc_build_catalogue", "rc_recommend", "dr_detect_drift", "dr_population_drift", "ev_roc_auc_ovr", "ev_classification_report",
     "ag_describe_columns", "ag_correlation_matrix", "tx_redact_pii", "pv_robust_vector_mean", "st_ttl_dedupe",
 ]
 

@@ -229,7 +229,11 @@ def segment_models(df: DataFrame, cols: Sequence[str], label: str, equity: Colum
 
 def score_funds(df: DataFrame, cols: Sequence[str], strategy: str, models: dict | None = None, segments: dict | None = None,
                 stack=None, equity: Column | None = None, masked: Sequence[str] = ()) -> DataFrame:
-    """Ensemble score by an explicit strategy: 'segment', 'stack' or 'blend'."""
+    """Ensemble score by strategy: 'segment', 'stack', 'blend', or 'auto' for the first of these
+    whose models were given."""
+    if strategy == "auto":
+        complete = bool(segments) and {"equity", "other"} <= set(segments)
+        strategy = "segment" if complete else "stack" if stack is not None else "blend"
     if strategy == "segment":
         if not segments or {"equity", "other"} - set(segments):
             raise ValueError("segment strategy needs both segment models")

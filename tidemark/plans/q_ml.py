@@ -145,7 +145,9 @@ def _(t):
     rows = panel_rows(t)
     eq = F.col("benchmarked") > 0
     seg = M.segment_models(rows, PCOLS, "label_best", eq, ["benchmarked"], min_rows=50, trees=10)
-    return M.score_funds(rows, PCOLS, "segment", segments=seg, equity=eq, masked=["benchmarked"]).select("row_key", "score")
+    # A small catalogue has too few rows per segment: the whole-panel blend scores it instead.
+    whole = {} if len(seg) == 2 else M.fit_fund_ensemble(rows, PCOLS, "label_best", ["forest", "boosted", "boosted_deep"], trees=10)
+    return M.score_funds(rows, PCOLS, "auto", models=whole, segments=seg, equity=eq, masked=["benchmarked"]).select("row_key", "score")
 
 
 @query("ml_score_funds")

@@ -172,4 +172,4 @@ def _(t):
     bands = B.fund_risk_bands(funds, m).select("code", "band")
     out = best.join(funds.withColumnRenamed("code", "key"), "key").join(bands.withColumnRenamed("code", "key"), "key", "left")
     nums = ["cagr_1yr", "vol_1yr", "sharpe_1yr", "max_drawdown"]
-    return out.select("key", "name", "category", "band", *[F.round(c, 6).alias(c) for c in nums], "nav_recency")
+    return out.orderBy(F.col("sharpe_1yr").desc(), "key").select("key", "name", "category", "band", *[F.round(c, 6).alias(c) for c in nums], "nav_recency")
