@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import fingerprints, mixing, packing, sharding
+import corpus_pipeline
+from tidemark.llm import embeddings, fingerprints, minhash, mixing, packing, quality, rollups, sharding, surrogates
 from tidemark.llm.workers import importable
+from tidemark.sources.lineage import settle, stage_path
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -74,3 +76,46 @@ def op4(spark, sf_dir):
 @query("op5_source_mixing")
 def op5(spark, sf_dir):
     return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("times")
+
+
+@query("op6_token_counts")
+def op6(spark, sf_dir):
+    """Load all documents, count the end token too, drop exact copies, and replay the load."""
+    counts = settle(rollups.token_counts(table(spark, sf_dir, "documents"), packing.public_files()))
+    load = counts.select(F.lit("insert").alias("kind"), "source", "lang", "tokenizer", "n_tokens", F.lit(None).cast("long").alias("old_tokens"))
+    ended = F.col("n_tokens") + F.when(F.col("tokenizer") == "byte-bpe-50k-1", 1).otherwise(0)
+    recount = counts.filter("tokenizer = 'byte-bpe-50k-1'").select(
+        F.lit("revise").alias("kind"), "source", "lang", "tokenizer", ended.alias("n_tokens"), F.col("n_tokens").alias("old_tokens"))
+    first = counts.groupBy("tokenizer", "digest").agg(F.min("doc_id").alias("first"))
+    copies = counts.join(first, ["tokenizer", "digest"]).filter("doc_id <> first").select(
+        F.lit("delete").alias("kind"), "source", "lang", "tokenizer", F.lit(None).cast("long").alias("n_tokens"), ended.alias("old_tokens"))
+    ledger = stage_path(spark)
+    for batch_id, changes in (("load", load), ("recount", recount), ("copies", copies), ("load", load)):
+        rollups.commit(changes, ledger, batch_id)
+    return rollups.totals(spark, ledger)
+
+
+@query("op7_embedding_near_dedup")
+def op7(spark, sf_dir):
+    return embeddings.link_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op8_pii_surrogates")
+def op8(spark, sf_dir):
+    return surrogates.replace_personal_data(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_entities")
+
+
+@query("op9_quality_classifier")
+def op9(spark, sf_dir):
+    scored = quality.score_quality(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return scored.select("row.doc_id", "held_out", "score", "predicted")
+
+
+@query("op10_minhash_near_dedup")
+def op10(spark, sf_dir):
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+LLM_QUERIES["pipeline"] = lambda spark, sf_dir: corpus_pipeline.run(importable(spark), sf_dir)
+if corpus_pipeline.ORACLE_SQL is not None:
+    LLM_ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
