@@ -9,7 +9,7 @@ binary digits, and points later than every component's first one are never drawn
 
 Documents with equal multisets are one class from the start. Bands of the signature deal the class
 representatives to buckets. A bucket's smallest member meets all others; then members of a bucket that are
-still in different components meet each other. Every pair is verified by exact multiset overlap.
+still in different components meet each other, in blocks. Every link is verified by exact multiset overlap.
 
 Defined results: words are separated by ASCII white space and compared byte for byte; texts of one to four words
 have one shingle of all of them; null, empty and blank texts form one class (their multisets are equal); rows that
@@ -22,6 +22,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +33,9 @@ from tidemark.sources.lineage import settle
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 6
+SKETCH = -(-BANDS * ROWS // 64)  # 64-bit numbers with one bit of every signature component
+BITS = [f"bits_{k}" for k in range(SKETCH)]
+BLOCK = 1_024  # members of a bucket that meet in one task
 BYTES_AT_ONCE = 2_000_000
 SPARE = 3.0  # time allowed beyond the mean need of a signature; documents that need more are drawn again
 
@@ -174,13 +178,16 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             band = np.zeros((b - a, BANDS), dtype=U)
             for k in range(ROWS):
                 band = mix(band + bits[:, :, k])
-            brief = (mix(bits.reshape(b - a, size)) >> U(56)).astype(np.uint8)
+            brief = np.zeros((b - a, 8 * SKETCH), dtype=np.uint8)
+            packed = np.packbits((mix(bits.reshape(b - a, size)) >> U(63)).astype(np.uint8), axis=1)
+            brief[:, : packed.shape[1]] = packed
+            brief = brief.view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (b - a + 1) * BANDS, BANDS, dtype=np.int32)),
                                              pa.array(band.reshape(-1).view(np.int64)))
             yield pa.RecordBatch.from_arrays(
                 [ids.slice(a, b - a), pa.array(n.astype(np.int64)), pa.array(equal[0]), pa.array(equal[1]), lists,
-                 pa.array([x.tobytes() for x in brief], pa.binary())],
-                names=["doc_id", "n_shingles", "equal_a", "equal_b", "bands", "brief"])
+                 *(pa.array(np.ascontiguousarray(brief[:, k])) for k in range(SKETCH))],
+                names=["doc_id", "n_shingles", "equal_a", "equal_b", "bands", *BITS])
 
 
 def _multisets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,15 +210,17 @@ def overlap(a: np.ndarray, b: np.ndarray) -> float:
     return both / whole if whole else 1.0
 
 
-def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose signatures leave the similarity possible: five standard deviations are allowed."""
-    size = BANDS * ROWS
-    least = SIMILARITY - 5 * (SIMILARITY * (1 - SIMILARITY) / size) ** 0.5
-    for b in batches:
-        if not b.num_rows:
-            continue
-        x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), dtype=np.uint8).reshape(-1, size) for c in ("brief_a", "brief_b"))
-        yield b.select(["a", "b"]).filter(pa.array((x == y).mean(axis=1) >= least))
+def _may_link(a: str, b: str):
+    """Whether counts and signature bits of two rows leave the similarity possible.
+
+    Components of documents as similar as asked agree in (1 + similarity) / 2 of their bits; five standard
+    deviations less are allowed.
+    """
+    size, agree = BANDS * ROWS, (1 + SIMILARITY) / 2
+    most = size * (1 - agree + 5 * (agree * (1 - agree) / size) ** 0.5)
+    differ = sum((F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in BITS), F.lit(0))
+    n, m = F.col(f"{a}.n_shingles"), F.col(f"{b}.n_shingles")
+    return (differ <= F.lit(int(most))) & (n >= F.lit(SIMILARITY) * m) & (m >= F.lit(SIMILARITY) * n)
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,12 +230,8 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.select(["a", "b"]).filter(pa.array(same, pa.bool_()))
 
 
-def verified(pairs: DataFrame, signed: DataFrame, docs: DataFrame) -> DataFrame:
+def verified(near: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) of class representatives whose multisets overlap enough."""
-    brief = signed.select("doc_id", "brief")
-    near = pairs.join(brief.toDF("a", "brief_a"), "a").join(brief.toDF("b", "brief_b"), "b") \
-        .select("a", "b", "brief_a", "brief_b").mapInArrow(_likely, "a long, b long")
-    near = settle(near)
     ids = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     texts = docs.join(ids, "doc_id", "left_semi")
     sets = settle(texts.mapInArrow(_multisets, "doc_id long, shingles binary").dropDuplicates(["doc_id"]))
@@ -234,31 +239,127 @@ def verified(pairs: DataFrame, signed: DataFrame, docs: DataFrame) -> DataFrame:
         .select("a", "b", "shingles_a", "shingles_b").mapInArrow(_verify, "a long, b long")
 
 
+def _candidates(pdf: pd.DataFrame) -> np.ndarray:
+    """Matrix of a side's rows by the other side's: different components, similarity possible, first shared band."""
+    x, y = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+    size, agree = BANDS * ROWS, (1 + SIMILARITY) / 2
+    most = size * (1 - agree + 5 * (agree * (1 - agree) / size) ** 0.5)
+    ok = x["component"].to_numpy()[:, None] != y["component"].to_numpy()[None]
+    n, m = x["n_shingles"].to_numpy()[:, None], y["n_shingles"].to_numpy()[None]
+    ok &= (n >= SIMILARITY * m) & (m >= SIMILARITY * n)
+    differ = np.zeros(ok.shape, dtype=np.uint8)
+    for c in BITS:
+        differ += np.bitwise_count(x[c].to_numpy().view(U)[:, None] ^ y[c].to_numpy().view(U)[None])
+    ok &= differ <= most
+    if ok.any():
+        band = int(pdf["band"].iloc[0])
+        xs, ys = np.stack(x["bands"].to_numpy()), np.stack(y["bands"].to_numpy())
+        for k in range(band):  # an earlier band's bucket has the pair
+            ok &= xs[:, k][:, None] != ys[:, k][None]
+    return ok
+
+
+def _hopeful(pdf: pd.DataFrame) -> pd.DataFrame:
+    ok = _candidates(pdf)
+    return pd.concat([pdf[pdf["side"] == k][ok.any(axis=1 - k)] for k in (0, 1)])
+
+
+def units(shingles: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers and elements of multisets: the n-th copy of a shingle is an element of its own."""
+    row = np.repeat(np.arange(len(shingles)), [len(x) for x in shingles])
+    x = np.concatenate(shingles)
+    start = np.ones(len(x), dtype=bool)
+    start[1:] = (x[1:] != x[:-1]) | (row[1:] != row[:-1])
+    at = np.flatnonzero(start)
+    copy = np.arange(len(x)) - np.repeat(at, np.diff(np.append(at, len(x))))
+    return row, mix(x + copy.astype(U) * STEPS[1])
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Weighted Jaccard similarity of every left multiset with every right one, as a product of 0/1 tables."""
+    (i, x), (j, y) = units(left), units(right)
+    names, at = np.unique(np.concatenate([x, y]), return_inverse=True)
+    both = np.zeros((len(left), len(right)), dtype=np.float32)
+    for low in range(0, len(names), 8192):
+        tables = []
+        for rows, row, pos in ((len(left), i, at[: len(x)]), (len(right), j, at[len(x):])):
+            here = (pos >= low) & (pos < low + 8192)
+            t = np.zeros((rows, min(8192, len(names) - low)), dtype=np.float32)
+            t[row[here], pos[here] - low] = 1
+            tables.append(t)
+        both += tables[0] @ tables[1].T
+    whole = np.array([len(s) for s in left])[:, None] + np.array([len(s) for s in right])[None] - both
+    return both / np.maximum(whole, 1)
+
+
+def _cross(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One link for each pair of components that members of the two sides join."""
+    ok = _candidates(pdf)
+    x, y = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+    sets = [[np.frombuffer(b, dtype=U) for b in side["shingles"]] for side in (x, y)]
+    i, j = np.nonzero(ok)
+    if len(i) > 500:
+        i, j = np.nonzero(ok & (overlaps(*sets) >= SIMILARITY - 1e-6))
+    same = np.array([overlap(sets[0][a], sets[1][b]) >= SIMILARITY for a, b in zip(i, j)], dtype=bool)
+    out = pd.DataFrame({"a": x["doc_id"].to_numpy()[i[same]], "b": y["doc_id"].to_numpy()[j[same]],
+                        "ca": x["component"].to_numpy()[i[same]], "cb": y["component"].to_numpy()[j[same]]})
+    return out.drop_duplicates(["ca", "cb"])[["a", "b"]]
+
+
+def cross_links(members: DataFrame, part: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links between members of one bucket that the first links leave in different components.
+
+    Members outside the component of the bucket's smallest one meet those inside and each other, in blocks that
+    are compared within a task; what comes out is one link for each pair of components and block.
+    """
+    bucket = ["band", "hash"]
+    named = members.join(part, F.col("doc_id") == F.col("id"), "left").withColumn("component", F.coalesce("component", "doc_id")).drop("id")
+    home = part.select(F.col("id").alias("low_id"), F.col("component").alias("home"))
+    named = named.join(home, F.col("low") == F.col("low_id"), "left") \
+        .withColumn("outside", (F.col("component") != F.coalesce("home", "low")).cast("int"))
+    sizes = named.groupBy(*bucket).agg(F.sum("outside").alias("n_out"), F.sum(1 - F.col("outside")).alias("n_in")).filter("n_out > 0")
+    blocks = sizes.select(*bucket, *(F.greatest(F.lit(1), F.ceil(F.col(n) / F.lit(BLOCK))).cast("int").alias(c)
+                                     for n, c in (("n_out", "outs"), ("n_in", "ins"))))
+    mixed = named.select("doc_id", "component", "n_shingles", *BITS, "bands", *bucket, "outside").join(blocks, bucket) \
+        .withColumn("block", F.pmod(F.xxhash64("doc_id"), F.when(F.col("outside") == 1, F.col("outs")).otherwise(F.col("ins"))).cast("int"))
+    out_blocks, in_blocks = F.sequence(F.lit(0), F.col("outs") - 1), F.sequence(F.lit(0), F.col("ins") - 1)
+    # A task compares side 0 with side 1: block i outside with block j inside, or blocks i <= j outside.
+    place = lambda x, y, kind, side: F.struct(x.alias("i"), y.alias("j"), F.lit(kind).alias("kind"), F.lit(side).alias("side"))
+    me = F.col("block")
+    outside = F.concat(
+        F.transform(in_blocks, lambda j: place(me, j, 0, 0)),
+        F.transform(F.filter(out_blocks, lambda j: j >= me), lambda j: place(me, j, 1, 0)),
+        F.transform(F.filter(out_blocks, lambda i: i <= me), lambda i: place(i, me, 1, 1)))
+    inside = F.transform(out_blocks, lambda i: place(i, me, 0, 1))
+    dealt = mixed.withColumn("to", F.explode(F.when(F.col("outside") == 1, outside).otherwise(inside))).select(
+        "doc_id", "component", "n_shingles", *BITS, "bands", *bucket, "to.*")
+    task = [*bucket, "i", "j", "kind"]
+    hopeful = settle(dealt.groupBy(*task).applyInPandas(_hopeful, dealt.schema))
+    ids = hopeful.select("doc_id").distinct()
+    sets = docs.join(ids, "doc_id", "left_semi").mapInArrow(_multisets, "doc_id long, shingles binary").dropDuplicates(["doc_id"])
+    return hopeful.join(sets, "doc_id").groupBy(*task).applyInPandas(_cross, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, class_id (smallest id of its class), n_shingles, kept."""
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    signed = settle(rows.mapInArrow(_sign, "doc_id long, n_shingles long, equal_a long, equal_b long, bands array<long>, brief binary"))
+    signed = settle(rows.mapInArrow(_sign, "doc_id long, n_shingles long, equal_a long, equal_b long, bands array<long>, "
+                                    + ", ".join(f"{c} long" for c in BITS)))
     equal = ["n_shingles", "equal_a", "equal_b"]
     classes = settle(signed.groupBy(*equal).agg(F.min("doc_id").alias("leader")))
-    first = signed.join(classes.select("leader").distinct(), signed["doc_id"] == F.col("leader"), "left_semi") \
-        .filter("n_shingles > 0").dropDuplicates(["doc_id"])
-    first = settle(first)
-    dealt = first.select("doc_id", F.posexplode("bands").alias("band", "hash"))
-    groups = dealt.groupBy("band", "hash").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high")
-    members = settle(dealt.join(groups.select("band", "hash", "low"), ["band", "hash"]))
+    first = signed.filter("n_shingles > 0").join(classes.select("leader").distinct(), F.col("doc_id") == F.col("leader"), "left_semi") \
+        .dropDuplicates(["doc_id"])
+    bucket = ["band", "hash"]
+    dealt = settle(first.select("doc_id", "n_shingles", *BITS, "bands", F.posexplode("bands").alias(*bucket)))
+    groups = dealt.groupBy(*bucket).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high")
+    members = settle(dealt.join(groups.select(*bucket, "low"), bucket))
     texts = rows.filter(F.col("doc_id").isNotNull())
-    tried = settle(members.filter("doc_id <> low").select(F.col("low").alias("a"), F.col("doc_id").alias("b")).distinct())
-    links = settle(verified(tried, first, texts))
+    met = members.filter("doc_id <> low").alias("x").join(members.filter("doc_id = low").alias("y"), bucket)
+    tried = settle(met.filter(_may_link("x", "y")).select(F.col("y.doc_id").alias("a"), F.col("x.doc_id").alias("b")).distinct())
+    links = settle(verified(tried, texts))
     part = settle(components(links))
-    # Members of one bucket that no chain of links joins yet.
-    named = members.join(part, F.col("doc_id") == F.col("id"), "left").select(
-        "band", "hash", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    mixed = settle(named.join(named.groupBy("band", "hash").agg(F.min("component").alias("l"), F.max("component").alias("h"))
-                              .filter("l < h").select("band", "hash"), ["band", "hash"], "left_semi"))
-    left, right = mixed.toDF("band", "hash", "a", "ca"), mixed.toDF("band", "hash", "b", "cb")
-    more = left.join(right, ["band", "hash"]).filter("a < b and ca <> cb").select("a", "b").distinct() \
-        .join(tried, ["a", "b"], "left_anti")
-    part = components(links.unionAll(verified(settle(more), first, texts)))
+    more = settle(cross_links(members, part, texts))
+    part = components(links.unionAll(more))
     named = classes.join(part, F.col("leader") == F.col("id"), "left") \
         .select(*equal, F.coalesce("component", "leader").alias("class_id"))
     return signed.join(named, equal).select(

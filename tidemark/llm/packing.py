@@ -209,7 +209,7 @@ RANK_BITS = 48
 
 def pack(docs: DataFrame, files: tuple[str, str, str], capacity: int = CAPACITY) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id and offset in the sequence."""
-    pieces = token_pieces(docs, files, capacity).withColumn("draw", F.xxhash64("doc_id", "piece", "ids_crc32"))
+    pieces = settle(token_pieces(docs, files, capacity)).withColumn("draw", F.xxhash64("doc_id", "piece", "ids_crc32"))
     ranked = ordered_rank(pieces, [F.col("length"), F.col("draw")])
     # At most one row for each length up to the capacity.
     counts = ranked.groupBy("length").agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("first")).collect()
