@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import embeddings, fingerprints, minhash, mixing, packing, quality, rollups, sharding, surrogates
+from tidemark.llm import embeddings, fingerprints, minhash, mixing, packing, quality, repeats, rollups, sharding, surrogates
 from tidemark.llm.workers import importable
 from tidemark.sources.lineage import settle, stage_path
 
@@ -63,6 +63,11 @@ def op1(spark, sf_dir):
     return sharding.assign_shards(docs, ["doc_id"], SHARDS)
 
 
+@query("op2_suffix_array_dedup")
+def op2(spark, sf_dir):
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 @query("op3_document_fingerprints")
 def op3(spark, sf_dir):
     return fingerprints.compare_with_next(table(spark, sf_dir, "documents"))
