@@ -121,7 +121,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), total_sha
         key, *carry, F.when(F.col("source").isNull(), F.lit("z")).otherwise(F.concat(F.lit("s"), "source")).alias("source_key"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.xxhash64(F.lit(seed), F.col(key), F.col("text")).alias("draw"))
-    ranked = ordered_rank(sized, [F.col("source_key"), F.col("size"), F.col("draw")])
+    ranked = ordered_rank(settle(sized) if not carry else sized, [F.col("source_key"), F.col("size"), F.col("draw")])
     lengths = settle(ranked.groupBy("source_key", "size").agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("first")))
     sources = ordered_rank(lengths.groupBy("source_key").agg(F.sum(F.col("n") * F.col("size")).alias("source_size")),
                            [F.col("source_key")], name="place")
