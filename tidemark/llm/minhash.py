@@ -239,29 +239,41 @@ def verified(near: DataFrame, docs: DataFrame) -> DataFrame:
         .select("a", "b", "shingles_a", "shingles_b").mapInArrow(_verify, "a long, b long")
 
 
-def _candidates(pdf: pd.DataFrame) -> np.ndarray:
-    """Matrix of a side's rows by the other side's: different components, similarity possible, first shared band."""
-    x, y = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+TASK = ["band", "hash", "i", "j", "kind"]
+COLUMNS = ["side", "doc_id", "component", "n_shingles", *BITS]
+
+
+def meetings(pdf: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each meeting of two sides: their rows, and which pairs are in different components, may be as similar
+    as asked, and share no earlier band, whose bucket has them too."""
+    code = pdf.groupby(TASK, sort=False).ngroup().to_numpy()
+    order = np.argsort(code, kind="stable")
+    cuts = np.flatnonzero(np.diff(code[order], prepend=-1, append=-1))
+    side, _, component, n, *bits = (pdf[c].to_numpy() for c in COLUMNS)
+    bits, bands, band = [b.view(U) for b in bits], pdf["bands"].to_numpy(), pdf["band"].to_numpy()
     size, agree = BANDS * ROWS, (1 + SIMILARITY) / 2
     most = size * (1 - agree + 5 * (agree * (1 - agree) / size) ** 0.5)
-    ok = x["component"].to_numpy()[:, None] != y["component"].to_numpy()[None]
-    n, m = x["n_shingles"].to_numpy()[:, None], y["n_shingles"].to_numpy()[None]
-    ok &= (n >= SIMILARITY * m) & (m >= SIMILARITY * n)
-    differ = np.zeros(ok.shape, dtype=np.uint8)
-    for c in BITS:
-        differ += np.bitwise_count(x[c].to_numpy().view(U)[:, None] ^ y[c].to_numpy().view(U)[None])
-    ok &= differ <= most
-    if ok.any():
-        band = int(pdf["band"].iloc[0])
-        xs, ys = np.stack(x["bands"].to_numpy()), np.stack(y["bands"].to_numpy())
-        for k in range(band):  # an earlier band's bucket has the pair
-            ok &= xs[:, k][:, None] != ys[:, k][None]
-    return ok
+    for lo, hi in zip(cuts[:-1], cuts[1:]):
+        rows = order[lo:hi]
+        x, y = rows[side[rows] == 0], rows[side[rows] == 1]
+        if not len(x) or not len(y):
+            continue
+        ok = component[x][:, None] != component[y][None]
+        n_x, n_y = n[x][:, None], n[y][None]
+        ok &= (n_x >= SIMILARITY * n_y) & (n_y >= SIMILARITY * n_x)
+        ok &= sum(np.bitwise_count(b[x][:, None] ^ b[y][None]) for b in bits) <= most
+        if ok.any() and band[x[0]]:
+            of_x, of_y = (np.stack(bands[z])[:, : band[x[0]]] for z in (x, y))
+            for k in range(band[x[0]]):
+                ok &= of_x[:, k][:, None] != of_y[:, k][None]
+        if ok.any():
+            yield x, y, ok
 
 
 def _hopeful(pdf: pd.DataFrame) -> pd.DataFrame:
-    ok = _candidates(pdf)
-    return pd.concat([pdf[pdf["side"] == k][ok.any(axis=1 - k)] for k in (0, 1)])
+    """The rows that may link to one of the other side."""
+    keep = [z[ok.any(axis=1 - k)] for x, y, ok in meetings(pdf) for k, z in enumerate((x, y))]
+    return pdf.iloc[np.concatenate(keep) if keep else []]
 
 
 def units(shingles: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -293,17 +305,18 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
 
 
 def _cross(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One link for each pair of components that members of the two sides join."""
-    ok = _candidates(pdf)
-    x, y = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-    sets = [[np.frombuffer(b, dtype=U) for b in side["shingles"]] for side in (x, y)]
-    i, j = np.nonzero(ok)
-    if len(i) > 500:
-        i, j = np.nonzero(ok & (overlaps(*sets) >= SIMILARITY - 1e-6))
-    same = np.array([overlap(sets[0][a], sets[1][b]) >= SIMILARITY for a, b in zip(i, j)], dtype=bool)
-    out = pd.DataFrame({"a": x["doc_id"].to_numpy()[i[same]], "b": y["doc_id"].to_numpy()[j[same]],
-                        "ca": x["component"].to_numpy()[i[same]], "cb": y["component"].to_numpy()[j[same]]})
-    return out.drop_duplicates(["ca", "cb"])[["a", "b"]]
+    """One link for each pair of components that members of the two sides of a meeting join."""
+    sets = [np.frombuffer(b, dtype=U) for b in pdf["shingles"]]
+    ids, component = pdf["doc_id"].to_numpy(), pdf["component"].to_numpy()
+    out = [pd.DataFrame({"a": [], "b": []}, dtype="int64")]
+    for x, y, ok in meetings(pdf):
+        if ok.sum() > 500:
+            ok &= overlaps([sets[k] for k in x], [sets[k] for k in y]) >= SIMILARITY - 1e-6
+        i, j = np.nonzero(ok)
+        same = np.array([overlap(sets[x[a]], sets[y[b]]) >= SIMILARITY for a, b in zip(i, j)], dtype=bool)
+        a, b = x[i[same]], y[j[same]]
+        out.append(pd.DataFrame({"a": ids[a], "b": ids[b], "ca": component[a], "cb": component[b]}).drop_duplicates(["ca", "cb"])[["a", "b"]])
+    return pd.concat(out)
 
 
 def cross_links(members: DataFrame, part: DataFrame, docs: DataFrame) -> DataFrame:
@@ -333,11 +346,13 @@ def cross_links(members: DataFrame, part: DataFrame, docs: DataFrame) -> DataFra
     inside = F.transform(out_blocks, lambda i: place(i, me, 0, 1))
     dealt = mixed.withColumn("to", F.explode(F.when(F.col("outside") == 1, outside).otherwise(inside))).select(
         "doc_id", "component", "n_shingles", *BITS, "bands", *bucket, "to.*")
-    task = [*bucket, "i", "j", "kind"]
-    hopeful = settle(dealt.groupBy(*task).applyInPandas(_hopeful, dealt.schema))
+    # Many small meetings share a task's group; a large one is a block of each side.
+    groups = 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.withColumn("deal", F.pmod(F.xxhash64(*TASK), F.lit(groups)))
+    hopeful = settle(dealt.groupBy("deal").applyInPandas(_hopeful, dealt.schema))
     ids = hopeful.select("doc_id").distinct()
     sets = docs.join(ids, "doc_id", "left_semi").mapInArrow(_multisets, "doc_id long, shingles binary").dropDuplicates(["doc_id"])
-    return hopeful.join(sets, "doc_id").groupBy(*task).applyInPandas(_cross, "a long, b long").distinct()
+    return hopeful.join(sets, "doc_id").groupBy("deal").applyInPandas(_cross, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
