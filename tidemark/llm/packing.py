@@ -149,21 +149,22 @@ def solve_lp(lengths: np.ndarray, stock: np.ndarray, capacity: int) -> dict[Patt
 
 
 def pack_rest(lengths: np.ndarray, stock: np.ndarray, capacity: int) -> dict[Pattern, int]:
-    """Whole configurations for all of ``stock``: the fullest first, with long pieces rather than short ones."""
+    """Whole configurations for all of ``stock``: the longest piece with the fullest choice of others beside it."""
     stock, out = stock.copy(), {}
     while (open_ := np.flatnonzero(stock > 0)).size:
-        size = lengths[open_]
-        used = {int(open_[j]): m for j, m in dearest(size, worth_of(size, capacity), capacity)}
-        used = {k: int(min(m, stock[k])) for k, m in used.items()}
+        used = {int(open_[-1]): 1}
+        space = capacity - int(lengths[open_[-1]])
+        fit = open_[lengths[open_] <= space]
+        if len(fit):
+            for j, m in dearest(lengths[fit], worth_of(lengths[fit], capacity), space):
+                used[int(fit[j])] = used.get(int(fit[j]), 0) + m
+            used = {k: int(min(m, stock[k])) for k, m in used.items()}
         space = capacity - sum(int(lengths[k]) * m for k, m in used.items())
-        while space > 0:  # where the stock had too few
-            fit = open_[(size <= space) & (stock[open_] > [used.get(int(k), 0) for k in open_])]
-            if not len(fit):
-                break
-            k = int(fit[-1])
+        for k in fit[::-1].tolist():  # where the stock had too few
             m = min(space // int(lengths[k]), int(stock[k]) - used.get(k, 0))
-            used[k] = used.get(k, 0) + m
-            space -= m * int(lengths[k])
+            if m > 0:
+                used[k] = used.get(k, 0) + m
+                space -= m * int(lengths[k])
         times = min(int(stock[k]) // m for k, m in used.items())
         for k, m in used.items():
             stock[k] -= m * times
@@ -173,20 +174,25 @@ def pack_rest(lengths: np.ndarray, stock: np.ndarray, capacity: int) -> dict[Pat
 
 
 def plan_sequences(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[Pattern, int]]:
-    """Configurations, over (length, how many), with the number of sequences of each."""
+    """Configurations, over (length, how many), with the number of sequences of each.
+
+    Long pieces can leave the program without full configurations for them; then packing everything as the rest
+    is packed may need fewer sequences, and does the job.
+    """
     lengths = np.array(sorted(histogram), dtype=np.int64)
     stock = np.array([histogram[int(n)] for n in lengths], dtype=np.int64)
-    rest, whole = stock.copy(), {}
-    if len(lengths):
-        for pattern, amount in solve_lp(lengths, stock, capacity).items():
-            times = int(amount + 1e-9)
-            if times:
-                whole[pattern] = times
-                for k, m in pattern:
-                    rest[k] -= m * times
+    plans = []
+    for amounts in ((solve_lp(lengths, stock, capacity), {}) if len(lengths) else ({},)):
+        rest = stock.copy()
+        whole = {pattern: int(amount + 1e-9) for pattern, amount in amounts.items() if amount >= 1 - 1e-9}
+        for pattern, times in whole.items():
+            for k, m in pattern:
+                rest[k] -= m * times
         for pattern, times in pack_rest(lengths, rest, capacity).items():
             whole[pattern] = whole.get(pattern, 0) + times
-    return [(tuple((int(lengths[k]), m) for k, m in p), n) for p, n in whole.items()]
+        plans.append(whole)
+    best = min(plans, key=lambda p: sum(p.values()))
+    return [(tuple((int(lengths[k]), m) for k, m in p), n) for p, n in best.items()]
 
 
 def segments(plan: list[tuple[Pattern, int]]) -> pd.DataFrame:
