@@ -9,6 +9,7 @@ import json
 import os
 import statistics
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -20,7 +21,8 @@ from tidemark.session import build_session
 
 HEADLINE = [
     "flagship_top_funds", "wn_price_metrics", "wn_forward_panel", "fe_customer_features",
-    "cln_fill_within_key", "jn_priority_lookup", "rc_build_catalogue", "rc_recommend", "dr_detect_drift", "dr_population_drift", "ev_roc_auc_ovr", "ev_classification_report",
+    "cln_fill_within_key", "jn_priority_lookup", "rc_build_catalogue", "rc_recommend",
+    "wn_clamp_band", "jn_attach_benchmark", "rc_recommend_by_horizon", "dr_detect_drift", "dr_population_drift", "ev_roc_auc_ovr", "ev_classification_report",
     "ag_describe_columns", "ag_correlation_matrix", "tx_redact_pii", "pv_robust_vector_mean", "st_ttl_dedupe",
 ]
 
@@ -31,7 +33,8 @@ def main() -> None:
     repeat = int(os.environ.get("BENCH_REPEAT", "1"))
     spark = build_session(
         "tidemark-bench", master=f"local[{cpus}]", spark__sql__shuffle__partitions=str(max(4, int(cpus))),
-        spark__ui__enabled="false", spark__ui__showConsoleProgress="false", spark__driver__memory="12g")
+        spark__ui__enabled="false", spark__ui__showConsoleProgress="false", spark__driver__memory="12g",
+        spark__checkpoint__dir=f"file://{tempfile.mkdtemp(prefix='bench-')}")
     spark.sparkContext.setLogLevel("ERROR")
     load_all()
 

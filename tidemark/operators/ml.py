@@ -10,7 +10,7 @@ from pyspark.ml.classification import (
     DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest,
     RandomForestClassifier)
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator, MulticlassClassificationEvaluator
+from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.recommendation import ALS
@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from tidemark import rules
 from tidemark.functions import columns as C
 from tidemark.functions import vectors as V
+from tidemark.operators.evaluate import class_scores, confusion_matrix
+from tidemark.operators.ordering import ordered_rank
 from tidemark.operators.scoring import assemble
 from tidemark.sources.lineage import settle
 
@@ -88,15 +90,14 @@ def compare_classifiers(df: DataFrame, cols: Sequence[str], label: str, key: str
                         folds: int = 3, n_classes: int = 5) -> DataFrame:
     """Cross-validated macro scores per classifier, ranked.  Folds are hash buckets of the key."""
     data = settle(df.withColumn("fold", (C.hash_bucket(F.col(key), "fold") % folds).cast("int")))
-    f1 = MulticlassClassificationEvaluator(metricName="f1")
-    acc = MulticlassClassificationEvaluator(metricName="accuracy")
     rows = []
     for kind in kinds:
         scores = []
         for k in range(folds):
             model = train_classifier(data.where(F.col("fold") != k), cols, label, kind, n_classes)
             pred = predict(model, data.where(F.col("fold") == k), label)
-            scores.append((f1.evaluate(pred), acc.evaluate(pred)))
+            cells = confusion_matrix(pred.select(F.col("label").cast("int").alias("y"), F.col("prediction").cast("int").alias("yhat")), "y", "yhat")
+            scores.append(class_scores(cells).agg(F.avg("f1"), F.sum("hits") / F.sum("support")).first())
         rows.append((kind, sum(s[0] for s in scores) / folds, sum(s[1] for s in scores) / folds))
     table = df.sparkSession.createDataFrame(rows, "model string, f1 double, accuracy double")
     return table.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.col("f1").desc(), "model")))
@@ -371,7 +372,8 @@ def rank_pca(pca: dict, spark) -> DataFrame:
 def rank_nmf(df: DataFrame, key: str, cols: Sequence[str], rank: int = 5) -> DataFrame:
     """Norm of non-negative item factors of the (row, feature) matrix."""
     ids = {c: i for i, c in enumerate(cols)}
-    long = df.select(F.col(key).cast("int").alias("row"), *[F.col(c).cast("double").alias(c) for c in cols]).unpivot(
+    dense = ordered_rank(df.select(F.col(key).alias("_key"), *cols), [F.col("_key")], name="row")  # the model takes 32-bit ids
+    long = dense.select(F.col("row").cast("int").alias("row"), *[F.col(c).cast("double").alias(c) for c in cols]).unpivot(
         ["row"], list(cols), "feature", "value")
     item = F.create_map(*[F.lit(x) for kv in ids.items() for x in kv])[F.col("feature")]
     model = ALS(rank=rank, maxIter=10, regParam=0.01, nonnegative=True, userCol="row", itemCol="item", ratingCol="value",

@@ -43,17 +43,27 @@ def cosine_stats(df: DataFrame, vec: str, threshold: float = 0.0) -> DataFrame:
         F.avg("cosine").alias("mean_cosine"), F.min("cosine").alias("min_cosine"))
 
 
-def clip_and_noise(df: DataFrame, vec: str, limit: float = rules.CLIP_NORM, sigma: float = 0.0, seed: int = 42) -> DataFrame:
-    """Scale vectors to norm <= limit; with sigma > 0 add Gaussian noise of sigma*limit per element."""
+def clip_and_noise(df: DataFrame, vec: str, limit: float = rules.CLIP_NORM, sigma: float = 0.0, seed: int = 42, key: str | None = None) -> DataFrame:
+    """Scale vectors to norm <= limit; with sigma > 0 add Gaussian noise of sigma*limit per element.
+
+    Noise is drawn from a hash of (key, position, seed) by the Box-Muller transform, so it needs no shuffle, a
+    retried task repeats it, and rows stay apart even where keys repeat (they then share their noise).
+    """
     factor = F.least(F.lit(1.0), limit / (V.norm(F.col(vec)) + 1e-12))
-    clipped = V.scale(F.col(vec), factor)
     out = df.withColumn("_factor", factor).withColumn(vec, V.scale(F.col(vec), F.col("_factor"))).drop("_factor")
     if sigma <= 0:
         return out
-    # randn is evaluated per row, so positions are exploded, noised and folded back.
-    ids = [c for c in out.columns if c != vec]
-    noisy = out.select(*ids, F.posexplode(vec).alias("_i", "_x")).withColumn("_x", F.col("_x") + F.randn(seed) * sigma * limit)
-    return noisy.groupBy(*ids).agg(F.transform(F.sort_array(F.collect_list(F.struct("_i", "_x"))), lambda s: s["_x"]).alias(vec))
+    if key is None:
+        raise ValueError("noise needs the key that it is drawn for")
+
+    def uniform(i: Column, part: int) -> Column:
+        text = F.concat_ws("|", F.col(key).cast("string"), i.cast("string"), F.lit(f"{seed}|{part}"))
+        return (F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 48))
+
+    def noise(i: Column) -> Column:
+        return F.sqrt(-2.0 * F.ln(uniform(i, 1))) * F.cos(2.0 * F.pi() * uniform(i, 2))
+
+    return out.withColumn(vec, F.transform(vec, lambda x, i: x + noise(i) * F.lit(sigma * limit)))
 
 
 def skewed_stratified_sample(df: DataFrame, key: str, cls: str, shares: Mapping[str, float], n: int, seed: str = "skew") -> DataFrame:
@@ -137,16 +147,10 @@ def pseudo_label_quality(df: DataFrame, key: str, pred: str, true: str, waves: i
                                  F.corr("ra", "rb").alias("spearman"))
 
 
-def round_summary(log: DataFrame, rnd: str, cls: str, loss: str, hit: str, flagged: str, rounds: int, mu: float = 0.01) -> DataFrame:
-    """Per round: mean loss, accuracy, class entropy, flagged share and the decay schedules."""
+def round_summary(log: DataFrame, rnd: str, cls: str, loss: str, hit: str, flagged: str) -> DataFrame:
+    """Per round: mean loss, accuracy, class entropy and flagged share."""
     cells = log.groupBy(rnd, cls).agg(F.count(F.lit(1)).alias("n"), F.sum(loss).alias("l"), F.sum(F.col(hit).cast("int")).alias("h"),
                                       F.sum(F.col(flagged).cast("int")).alias("f"))
-    out = cells.groupBy(rnd).agg(F.sum("n").alias("n"), (F.sum("l") / F.sum("n")).alias("loss"), (F.sum("h") / F.sum("n")).alias("accuracy"),
+    return cells.groupBy(rnd).agg(F.sum("n").alias("n"), (F.sum("l") / F.sum("n")).alias("loss"), (F.sum("h") / F.sum("n")).alias("accuracy"),
                                  (F.ln(F.sum("n")) - F.sum(F.col("n") * F.ln("n")) / F.sum("n")).alias("entropy"),
                                  (F.sum("f") / F.sum("n")).alias("flagged_share"))
-    step = F.col(rnd) - 1
-    # A round after one with more than 30 % flagged clients gets a 1.5x pull; one row per round.
-    w = Window.partitionBy(F.lit(1)).orderBy(rnd)
-    boost = F.when(F.coalesce(F.lag("flagged_share").over(w), F.lit(0.0)) > 0.30, 1.5).otherwise(1.0)
-    return out.withColumns({"mu": mu * F.pow(F.lit(0.9), step) * boost,
-                            "alpha": F.greatest(F.lit(0.3), 1.5 - 1.2 * step / max(1, rounds - 1))})

@@ -263,7 +263,7 @@ def _finish(full: DataFrame, by: str, amount: float, cap: float) -> DataFrame:
         "amount": F.rint(F.col("_w") * amount).cast("bigint"),
         "cap_met": F.max("_amc").over(Window.partitionBy(by)) <= cap + 1e-6,
     }).drop("_w", "_amc")
-    return full.join(F.broadcast(diversification(full, [by])), by)  # one row per portfolio
+    return full.join(diversification(full, [by]), by)
 
 
 # --- horizons ---------------------------------------------------------------

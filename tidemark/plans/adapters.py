@@ -180,7 +180,8 @@ def catalogue(t: Tables) -> DataFrame:
 
 # --- performance snapshots and expense disclosures --------------------------
 PERF = [
-    f"{_fund_name} AS scheme_name",
+    # Names that no catalogue entry has stand for lookups that miss.
+    f"CASE WHEN l_partkey % 3 = 0 THEN 'Unlisted ' || p_name ELSE {_fund_name} END AS scheme_name",
     "CAST(l_shipdate AS DATE) AS nav_date",
     "l_orderkey AS o1", "l_linenumber AS o2", "l_suppkey AS o3", "CAST(l_quantity AS INT) AS o4",
     "CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE 'Index ' || l_returnflag END AS benchmark",
@@ -195,32 +196,29 @@ PERF = [
     "CASE WHEN l_partkey % 2 = 0 THEN NULL ELSE CAST(l_suppkey % 15 AS DOUBLE) END AS benchmark_return_5y",
 ]
 PERF_ORDER = ["nav_date", "o1", "o2", "o3", "o4"]
-common("perf_raw", f"SELECT {', '.join(PERF)} FROM lineitem JOIN part ON l_partkey = p_partkey "
-                   "WHERE l_partkey % 3 <> 0")
+common("perf_raw", f"SELECT {', '.join(PERF)} FROM lineitem JOIN part ON l_partkey = p_partkey")
 
 
 def performance(t: Tables) -> DataFrame:
-    li = t.lineitem.where("l_partkey % 3 <> 0")
-    return li.join(t.part, F.col("l_partkey") == F.col("p_partkey")).selectExpr(*PERF)
+    return t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).selectExpr(*PERF)
 
 
+_listed = "l_partkey % 5 < 3 AND p_size % 27 <> 7"
 DISCLOSURES = [
-    "CASE WHEN l_partkey % 4 = 1 THEN ' ' || CAST(l_partkey AS STRING) || '-' ELSE 'X' || CAST(l_partkey AS STRING) END AS scheme_code",
-    f"{_fund_name} AS scheme_name",
-    f"{_category} AS scheme_category",
+    f"CASE WHEN l_partkey % 4 = 1 AND {_listed} THEN ' ' || CAST(l_partkey AS STRING) || '-' ELSE 'X' || CAST(l_partkey AS STRING) END AS scheme_code",
+    f"CASE WHEN {_listed} THEN {_fund_name} ELSE 'Unlisted ' || p_name END AS scheme_name",
+    f"CASE WHEN p_size % 27 = 7 THEN 'Unlisted' ELSE {_category} END AS scheme_category",
     "CAST(l_shipdate AS DATE) AS rate_date",
     "l_orderkey AS o1", "l_linenumber AS o2", "l_suppkey AS o3", "CAST(l_quantity AS INT) AS o4",
     "CASE WHEN l_linenumber = 7 THEN NULL ELSE "
     "CAST(CAST(round(l_tax * 100) AS INT) AS DOUBLE) / 4 + CAST(l_partkey % 7 AS DOUBLE) / 10 END AS rate",
 ]
 RATE_ORDER = ["rate_date", "o1", "o2", "o3", "o4"]
-common("disclosures", f"SELECT {', '.join(DISCLOSURES)} FROM lineitem JOIN part ON l_partkey = p_partkey "
-                      "WHERE l_partkey % 5 < 3 AND p_size % 27 <> 7")
+common("disclosures", f"SELECT {', '.join(DISCLOSURES)} FROM lineitem JOIN part ON l_partkey = p_partkey")
 
 
 def disclosures(t: Tables) -> DataFrame:
-    li = t.lineitem.where("l_partkey % 5 < 3")
-    joined = li.join(t.part, F.col("l_partkey") == F.col("p_partkey")).where("p_size % 27 <> 7")
+    joined = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
     return joined.selectExpr(*DISCLOSURES)
 
 

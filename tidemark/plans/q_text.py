@@ -185,9 +185,16 @@ def _(t):
     return out.select("vec_id", F.posexplode("vec").alias("i", "x")).withColumn("x", F.round("x", 6))
 
 
-@query("pv_clip_and_noise")
+def _uniform(part):
+    return f"(('0x' || substr(md5(v.vec_id || '|' || CAST(i AS INTEGER) || '|42|{part}'), 1, 12))::BIGINT + 0.5) / 281474976710656.0"
+
+
+@query("pv_clip_and_noise", f"""
+SELECT v.vec_id, CAST(i AS INTEGER) AS i, round(x * f + 1.1 * sqrt(-2 * ln({_uniform(1)})) * cos(2 * pi() * {_uniform(2)}), 6) AS x
+FROM vecs v JOIN (SELECT vec_id, least(1.0, 1.0 / (sqrt(sum(x * x)) + 1e-12)) AS f FROM vecs GROUP BY 1) g ON v.vec_id = g.vec_id""", ["vecs"])
 def _(t):
-    return V.clip_and_noise(updates(t).select("vec_id", "vec"), "vec", 1.0, sigma=1.1).select("vec_id", F.size("vec").alias("dims"))
+    out = V.clip_and_noise(updates(t).select("vec_id", "vec"), "vec", 1.0, sigma=1.1, key="vec_id")
+    return out.select("vec_id", F.posexplode("vec").alias("i", "x")).withColumn("x", F.round("x", 6))
 
 
 SKEW = {"BUILDING": 0.5, "MACHINERY": 0.3, "FURNITURE": 0.1, "AUTOMOBILE": 0.05}
@@ -240,13 +247,12 @@ common("rlog", "SELECT " + ", ".join(_log) + " FROM events")
 
 
 @query("pv_round_summary", """
-SELECT round, n, round(loss, 6) AS loss, round(accuracy, 6) AS accuracy, round(entropy, 6) AS entropy, round(fs, 6) AS flagged_share,
- round(0.01 * pow(0.9, round - 1) * CASE WHEN coalesce(lag(fs) OVER (ORDER BY round), 0) > 0.30 THEN 1.5 ELSE 1 END, 8) AS mu, round(greatest(0.3, 1.5 - 1.2 * (round - 1) / 29), 6) AS alpha FROM (
+SELECT round, n, round(loss, 6) AS loss, round(accuracy, 6) AS accuracy, round(entropy, 6) AS entropy, round(fs, 6) AS flagged_share FROM (
 SELECT round, CAST(sum(c) AS BIGINT) AS n, sum(l) / sum(c) AS loss, sum(h) / sum(c) AS accuracy, ln(sum(c)) - sum(c * ln(c)) / sum(c) AS entropy, sum(f) / sum(c) AS fs FROM (
 SELECT round, event_type, count(*) AS c, sum(loss) AS l, sum(hit::INT) AS h, sum(flagged::INT) AS f FROM rlog GROUP BY 1, 2) GROUP BY 1)""", ["rlog"])
 def _(t):
-    out = V.round_summary(t.events.selectExpr(*_log), "round", "event_type", "loss", "hit", "flagged", 30)
-    return rnd(rnd(out, ["loss", "accuracy", "entropy", "flagged_share", "alpha"]), ["mu"], 8)
+    out = V.round_summary(t.events.selectExpr(*_log), "round", "event_type", "loss", "hit", "flagged")
+    return rnd(out, ["loss", "accuracy", "entropy", "flagged_share"])
 
 
 # --- streaming --------------------------------------------------------------

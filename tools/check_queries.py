@@ -9,6 +9,7 @@ import math
 import os
 import signal
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -97,7 +98,8 @@ def main() -> None:
     sf_dir, wanted = sys.argv[1], sys.argv[2:]
     spark = build_session(master="local[8]", spark__sql__shuffle__partitions="8",
                           spark__ui__enabled="false", spark__driver__memory="12g",
-                          spark__ui__showConsoleProgress="false")
+                          spark__ui__showConsoleProgress="false",
+                          spark__checkpoint__dir=f"file://{tempfile.mkdtemp(prefix='check-')}")
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)
     failed = []
