@@ -149,17 +149,22 @@ def test_texts_equal_the_tokenizer_file():
 
 def test_plan_is_near_the_bound():
     rng = np.random.default_rng(4)
-    stock = {int(n): int(c) for n, c in zip(range(1, 1024), rng.integers(1, 40, 1023))}
-    plan = packing.plan_sequences(stock)
-    used = collections.Counter()
-    for pattern, times in plan:
-        assert sum(n * m for n, m in pattern) <= 1024
-        for n, m in pattern:
-            used[n] += m * times
-    assert dict(used) == stock
-    # No sequence holds two pieces of over half its size, nor more than its size.
-    bound = max(sum(n * c for n, c in stock.items()) / 1024, sum(c for n, c in stock.items() if n > 512))
-    assert sum(t for _, t in plan) <= 1.005 * bound + 5
+    small = collections.Counter(rng.integers(1, 1025, 3000).tolist())
+    long = collections.Counter(rng.integers(300, 1001, 50_000).tolist())
+    lone = collections.Counter([*rng.integers(600, 1001, 5000).tolist(), *rng.integers(5, 200, 2500).tolist()])
+    for stock in ({int(n): int(c) for n, c in zip(range(1, 1024), rng.integers(1, 40, 1023))}, small, long, lone, {1024: 3}, {1: 1}):
+        used = collections.Counter()
+        plan = packing.plan_sequences(dict(stock))
+        for pattern, times in plan:
+            assert times > 0 and sum(n * m for n, m in pattern) <= 1024
+            for n, m in pattern:
+                used[n] += m * times
+        assert used == collections.Counter(stock)
+        lengths, counts = np.array(list(stock)), np.array(list(stock.values()))
+        # Pieces of over 1024 - x tokens need a sequence each, beside which none of x tokens or more fits.
+        bound = max(sum(c * (1024 if n > 1024 - x else n if n >= x else 0) for n, c in zip(lengths, counts)) / 1024 for x in range(513))
+        assert sum(t for _, t in plan) <= 1.006 * bound + 2
+    assert packing.plan_sequences({}) == []
 
 
 # --- mixing

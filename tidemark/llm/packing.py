@@ -3,8 +3,8 @@
 Piece lengths are counted; all that follows until the placement works on that histogram, which has at most
 ``capacity`` rows whatever the data. The linear program over configurations (multisets of lengths that fit a
 sequence) is solved by multiplicative weights: the price of a length falls with the share of its stock already
-covered, a knapsack by dynamic programming finds the dearest configuration, which then covers some more.
-Amounts are rounded down; what is left is packed by the same knapsack with lengths as prices. Places in the
+covered, a knapsack by dynamic programming finds the dearest configuration, which then covers some more, until
+all is covered. Amounts are rounded to whole sequences; the few pieces left are packed by the same knapsack. Places in the
 sequences follow from a piece's rank among those of its length.
 
 Defined results: null and empty texts are one piece that holds only the end token; repeated rows are packed one
@@ -29,7 +29,7 @@ from tidemark.sources.lineage import settle
 CAPACITY = 1024
 END_ID = 2
 RATE = 1.0  # how fast a price falls with the share covered
-STEP = 1.0  # of the scarcest length's stock that one round may cover
+LONG = 0.25  # of a sequence: what the longest piece is worth beyond its price in the bound
 SPECIAL = "<|endoftext|>"
 
 
@@ -123,31 +123,43 @@ def dearest(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> Pattern:
     return tuple(sorted(used.items()))
 
 
-def worth_of(lengths: np.ndarray, capacity: int, weight: np.ndarray | float = 1.0) -> np.ndarray:
-    """Prices by which a fuller configuration always wins; among equally full ones the weights decide."""
-    return lengths + 0.9 * (lengths / capacity) ** 2 * weight
+def bound_prices(lengths: np.ndarray, stock: np.ndarray, capacity: int) -> np.ndarray:
+    """Prices of which no configuration holds more than ``capacity``, so the stock's worth bounds the sequences needed.
+
+    Pieces shorter than some limit count nothing, and those that only such pieces fit beside count as whole
+    sequences; the limit with the highest bound is taken. Zero prices pieces by their length.
+    """
+    def prices(limit: int) -> np.ndarray:
+        return np.where(lengths > capacity - limit, capacity, np.where(lengths >= limit, lengths, 0))
+
+    return max(map(prices, range(capacity // 2 + 1)), key=lambda price: int((price * stock).sum()))
 
 
 def solve_lp(lengths: np.ndarray, stock: np.ndarray, capacity: int) -> dict[Pattern, float]:
-    """Amounts of full configurations, none using more than the stock of a length.
+    """Amounts of configurations that cover the stock of every length and use no more of any.
 
-    Multiplicative weights: a length loses weight as its stock is covered, and has none once it is. Ends when no
-    full configuration is left; as full ones waste nothing, their amounts are an optimum for what they cover.
+    Multiplicative weights: the prices of the best bound, plus a part for long pieces that falls with the share
+    of the length's stock already covered and ends once it is. A round adds its dearest configuration until the
+    scarcest length in it is covered, so there are at most as many rounds as lengths.
     """
+    base = bound_prices(lengths, stock, capacity)
     covered = np.zeros(len(lengths))
     amounts: dict[Pattern, float] = {}
     while (open_ := np.flatnonzero(covered < 1 - 1e-9)).size:
-        prices = worth_of(lengths[open_], capacity, np.exp(-RATE * covered[open_]))
+        prices = base[open_] + LONG * capacity * (lengths[open_] / capacity) ** 2 * np.exp(-RATE * covered[open_])
         pattern = tuple((int(open_[j]), m) for j, m in dearest(lengths[open_], prices, capacity))
-        if sum(int(lengths[k]) * m for k, m in pattern) < capacity:
-            break
         kinds, times = (np.array(x) for x in zip(*pattern))
-        add = float((np.minimum(1 - covered[kinds], STEP) * stock[kinds] / times).min())
+        add = float(((1 - covered[kinds]) * stock[kinds] / times).min())
         covered[kinds] += add * times / stock[kinds]
         amounts[pattern] = amounts.get(pattern, 0.0) + add
     return amounts
 
 
+def worth_of(lengths: np.ndarray, capacity: int) -> np.ndarray:
+    """Prices by which a fuller configuration always wins; among equally full ones longer pieces do."""
+    return lengths + 0.9 * (lengths / capacity) ** 2
+
+
 def pack_rest(lengths: np.ndarray, stock: np.ndarray, capacity: int) -> dict[Pattern, int]:
     """Whole configurations for all of ``stock``: the longest piece with the fullest choice of others beside it."""
     stock, out = stock.copy(), {}
@@ -176,23 +188,22 @@ def pack_rest(lengths: np.ndarray, stock: np.ndarray, capacity: int) -> dict[Pat
 def plan_sequences(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[Pattern, int]]:
     """Configurations, over (length, how many), with the number of sequences of each.
 
-    Long pieces can leave the program without full configurations for them; then packing everything as the rest
-    is packed may need fewer sequences, and does the job.
+    The program's amounts are rounded up, the largest first, as far as the stock goes; then the few pieces left are packed.
     """
+    if not histogram:
+        return []
     lengths = np.array(sorted(histogram), dtype=np.int64)
-    stock = np.array([histogram[int(n)] for n in lengths], dtype=np.int64)
-    plans = []
-    for amounts in ((solve_lp(lengths, stock, capacity), {}) if len(lengths) else ({},)):
-        rest = stock.copy()
-        whole = {pattern: int(amount + 1e-9) for pattern, amount in amounts.items() if amount >= 1 - 1e-9}
-        for pattern, times in whole.items():
+    rest = np.array([histogram[int(n)] for n in lengths], dtype=np.int64)
+    whole: dict[Pattern, int] = {}
+    for pattern, amount in sorted(solve_lp(lengths, rest, capacity).items(), key=lambda item: (-item[1], item[0])):
+        times = min(int(np.ceil(amount - 1e-9)), *(int(rest[k]) // m for k, m in pattern))
+        if times:
+            whole[pattern] = times
             for k, m in pattern:
                 rest[k] -= m * times
-        for pattern, times in pack_rest(lengths, rest, capacity).items():
-            whole[pattern] = whole.get(pattern, 0) + times
-        plans.append(whole)
-    best = min(plans, key=lambda p: sum(p.values()))
-    return [(tuple((int(lengths[k]), m) for k, m in p), n) for p, n in best.items()]
+    for pattern, times in pack_rest(lengths, rest, capacity).items():
+        whole[pattern] = whole.get(pattern, 0) + times
+    return [(tuple((int(lengths[k]), m) for k, m in p), n) for p, n in whole.items()]
 
 
 def segments(plan: list[tuple[Pattern, int]]) -> pd.DataFrame:
