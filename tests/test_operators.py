@@ -78,19 +78,25 @@ def test_bucketed_quantiles_equal_numpy(spark):
     rows = [("hot" if i % 3 else "cold", rnd.choice([rnd.gauss(0, 1), 1.0, 2.0])) for i in range(3000)]
     df = spark.createDataFrame(rows, "g string, v double")
     probs = [0.0, 0.01, 0.2, 0.5, 0.875, 1.0]
-    for limit in (None, 100):
-        got = {r["g"]: r["q"] for r in exact_quantiles(df, ["v"], probs, ["g"], small_rows=limit).collect()}
+    for parts in (None, 1, 7):
+        got = {r["g"]: r["q"] for r in exact_quantiles(df, ["v"], probs, ["g"], parts).collect()}
         for g in ("hot", "cold"):
             want = np.quantile([v for k, v in rows if k == g], probs)
-            assert np.allclose(got[g], want, atol=1e-12), (limit, g)
+            assert np.allclose(got[g], want, atol=1e-12), (parts, g)
 
 
-def test_bucketed_running_totals_equal_plain(spark):
+def test_running_totals_with_a_hot_group_and_nulls(spark):
     rnd = random.Random(7)
-    df = spark.createDataFrame([(rnd.choice("ab"), rnd.randint(0, 300), 1) for _ in range(2000)], "g string, v int, w int")
-    plain = running_totals(df, ["g"], "v", ["w"]).select("g", "v", "cum_w", "tot_w").orderBy("g", "v").collect()
-    split = running_totals(df, ["g"], "v", ["w"], small_rows=50).select("g", "v", "cum_w", "tot_w").orderBy("g", "v").collect()
-    assert plain == split
+    rows = [(rnd.choice(["a"] * 8 + ["b", None]), rnd.choice([None, 5, *range(300)]), 1) for _ in range(2000)]
+    df = spark.createDataFrame(rows, "g string, v int, w int")
+    for parts in (None, 1, 9):
+        got = {(r.g, r.v): (r.w, r.cum_w, r.tot_w) for r in running_totals(df, ["g"], "v", ["w"], parts).collect()}
+        low = lambda v: -1 if v is None else v
+        want = {(g, v): (sum(x == (g, v, 1) for x in rows), sum(x[0] == g and low(x[1]) <= low(v) for x in rows),
+                         sum(x[0] == g for x in rows)) for g, v, _ in set(rows)}
+        assert got == want
+    assert running_totals(df.limit(0), [], "v", ["w"]).count() == 0
+    assert running_totals(df, [], "v", ["w"], 5).agg(F.max("cum_w"), F.min("tot_w")).first() == (2000, 2000)
 
 
 # --- price series -----------------------------------------------------------

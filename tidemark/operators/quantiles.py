@@ -1,12 +1,10 @@
 """Exact order statistics and running totals that never put a whole group in one task.
 
 A window or ``percentile`` over one global (or one hot) group is a single-task
-job.  Both helpers here first collapse the input to distinct values, then check
-how many rows there are.  Below ``SMALL_ROWS`` the built-in aggregate or window
-is used; above it, values are cut into ordered buckets at approximate quantiles
-(literals fitted by one aggregate), summed inside each bucket in parallel, and
-shifted by the totals of the buckets before it.  The bucket cut points only
-decide how work is split, so the result is exact either way.
+job.  Here the input is first collapsed to distinct values, which are dealt to
+tasks by range and written once; each task sums its own range, and the totals of
+the ranges before it are added.  The ranges only decide how work is split, so
+the result is exact.  There is one path for every size.
 """
 
 from __future__ import annotations
@@ -16,66 +14,39 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SMALL_ROWS = 4_000_000
-ROWS_PER_BUCKET = 1_000_000
-MAX_BUCKETS = 2_048
-
-
-def fit_buckets(df: DataFrame, value: str, small_rows: int | None = None) -> list[float] | None:
-    """Return ordered cut points for ``value``, or None when the input is small enough."""
-    limit = SMALL_ROWS if small_rows is None else small_rows
-    rows = df.where(F.col(value).isNotNull()).count()
-    if rows <= limit:
-        return None
-    buckets = int(min(MAX_BUCKETS, max(8, rows // min(ROWS_PER_BUCKET, max(1, limit)))))
-    shares = [i / buckets for i in range(1, buckets)]
-    cuts = df.agg(F.percentile_approx(value, shares, 10_000).alias("c")).first()["c"]
-    return sorted({float(c) for c in cuts})
+from tidemark.sources.lineage import settle
 
 
 def bucket_of(value: Column, cuts: list[float]) -> Column:
-    """Index of the ordered bucket a value falls in: the number of cut points below it."""
+    """Index of the bin a value falls in: the number of cut points below it."""
     array = F.array(*[F.lit(c) for c in cuts])
     return F.size(F.filter(array, lambda c: c < value))
 
 
-def running_totals(
-    df: DataFrame,
-    by: Sequence[str],
-    value: str,
-    measures: Sequence[str],
-    small_rows: int | None = None,
-) -> DataFrame:
-    """One row per (by, value) with ``m``, inclusive ``cum_m`` and group total ``tot_m``."""
+def running_totals(df: DataFrame, by: Sequence[str], value: str, measures: Sequence[str], parts: int | None = None) -> DataFrame:
+    """One row per (by, value) with ``m``, inclusive ``cum_m`` and group total ``tot_m``.
+
+    ``parts`` fixes the number of ranges; by default Spark sizes them.
+    """
     by = list(by)
+    order = [F.col(c) for c in [*by, value]]
     collapsed = df.groupBy(*by, value).agg(*[F.sum(m).alias(m) for m in measures])
-    cuts = fit_buckets(df, value, small_rows)
-    part = by or [F.lit(0)]
-    if cuts is None:
-        # Size checked above: at most SMALL_ROWS rows reach these windows in total.
-        run = Window.partitionBy(*part).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-        whole = Window.partitionBy(*part)
-        return collapsed.select(
-            "*",
-            *[F.sum(m).over(run).alias(f"cum_{m}") for m in measures],
-            *[F.sum(m).over(whole).alias(f"tot_{m}") for m in measures],
-        )
-    cut = collapsed.withColumn("bucket", bucket_of(F.col(value), cuts))
-    inside = Window.partitionBy(*by, "bucket").orderBy(value).rowsBetween(
-        Window.unboundedPreceding, 0)
-    # Offsets: at most len(cuts) + 1 rows per group.
-    before = Window.partitionBy(*part).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*part)
+    dealt = collapsed.repartitionByRange(parts, *order) if parts else collapsed.repartitionByRange(*order)
+    ranged = settle(dealt.withColumn("_part", F.spark_partition_id()))
+    keys = [*by, "_part"]
+    inside = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    # One row for each range that a group has rows in.
+    whole = Window.partitionBy(*by)
+    before = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        cut.groupBy(*by, "bucket").agg(*[F.sum(m).alias(m) for m in measures])
+        ranged.groupBy(*keys).agg(*[F.sum(m).alias(m) for m in measures])
         .select(
-            *by, "bucket",
+            *keys,
             *[F.coalesce(F.sum(m).over(before), F.lit(0)).alias(f"off_{m}") for m in measures],
             *[F.sum(m).over(whole).alias(f"tot_{m}") for m in measures],
         )
     )
-    summed = cut.select("*", *[F.sum(m).over(inside).alias(f"in_{m}") for m in measures])
-    keys = [*by, "bucket"]
+    summed = ranged.select("*", *[F.sum(m).over(inside).alias(f"in_{m}") for m in measures])
     joined = summed.alias("s").join(
         offsets.alias("o"), [F.col(f"s.{k}").eqNullSafe(F.col(f"o.{k}")) for k in keys])
     return joined.select(
@@ -90,7 +61,7 @@ def exact_quantiles(
     cols: Sequence[str],
     probs: Sequence[float],
     by: Sequence[str] = (),
-    small_rows: int | None = None,
+    parts: int | None = None,
 ) -> DataFrame:
     """Linear-interpolation quantiles per (by, feature) as rows (by..., feature, n, q ARRAY)."""
     by = list(by)
@@ -99,15 +70,7 @@ def exact_quantiles(
         .unpivot(by, list(cols), "feature", "value")
         .where(F.col("value").isNotNull())
     )
-    cuts = fit_buckets(long, "value", small_rows)
-    counted = long.groupBy(*by, "feature", "value").agg(F.count(F.lit(1)).alias("w"))
-    if cuts is None:
-        shares = ", ".join(repr(float(p)) + "D" for p in probs)
-        return counted.groupBy(*by, "feature").agg(
-            F.sum("w").alias("n"),
-            F.expr(f"percentile(value, array({shares}), w)").alias("q"),
-        )
-    ranked = running_totals(counted, [*by, "feature"], "value", ["w"], small_rows)
+    ranked = running_totals(long.withColumn("w", F.lit(1)), [*by, "feature"], "value", ["w"], parts)
     first, last = F.col("cum_w") - F.col("w"), F.col("cum_w") - 1
 
     def at_rank(rank: Column) -> Column:
@@ -121,8 +84,8 @@ def exact_quantiles(
 
     def interpolate(i: int, p: float) -> Column:
         pos = F.lit(float(p)) * (F.col("n") - 1)
-        part = pos - F.floor(pos)
-        return F.col(f"lo{i}") * (1 - part) + F.col(f"hi{i}") * part
+        lo, hi = F.col(f"lo{i}"), F.col(f"hi{i}")
+        return F.when(lo == hi, lo).otherwise((F.ceil(pos) - pos) * lo + (pos - F.floor(pos)) * hi)
 
     return picked.select(
         *by, "feature", "n", F.array(*[interpolate(i, p) for i, p in enumerate(probs)]).alias("q"))

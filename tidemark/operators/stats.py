@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.quantiles import (
-    bucket_of, exact_quantiles, fit_buckets, fitted_quantiles, running_totals, value_ranks)
+    bucket_of, exact_quantiles, fitted_quantiles, running_totals, value_ranks)
 
 
 def to_long(df: DataFrame, ids: Sequence[str], cols: Sequence[str]) -> DataFrame:
@@ -261,7 +261,7 @@ def ks_two_sample(baseline: DataFrame, current: DataFrame, cols: Sequence[str])
     """Two-sample Kolmogorov-Smirnov statistic and asymptotic p-value per feature.
 
     Both samples are collapsed to counts per distinct value and accumulated with
-    ``running_totals``, which splits large features into ordered buckets.
+    ``running_totals``, which splits features into ordered ranges.
     """
     zero = F.lit(0)
     one = F.lit(1)
