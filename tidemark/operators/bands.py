@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark import rules
 from tidemark.functions import columns as C
 from tidemark.operators import catalogue as G
+from tidemark.operators.ordering import ordered_rank
 from tidemark.operators.quantiles import exact_quantiles, grouped_quantile_columns
 from tidemark.sources.lineage import settle
 
@@ -142,22 +143,11 @@ def rank_values(df: DataFrame, col: str, out: str = "rank") -> DataFrame:
 
 
 def cohort_waves(df: DataFrame, key: str, n: int, seed: str = "waves") -> DataFrame:
-    """Near-equal shuffled cohorts: hash order cut into n equal parts.
-
-    Positions come from running totals over (md5 prefix) buckets, so no global
-    window sorts all keys in one task.
-    """
-    prefix = F.substring(F.md5(F.concat(F.col(key).cast("string"), F.lit("|" + seed))), 1, 3)
-    spread = df.select(key, F.md5(F.concat(F.col(key).cast("string"), F.lit("|" + seed))).alias("_h"),
-                       prefix.alias("_p"))
-    # 4096 hash prefixes: the offset window sees at most that many rows.
-    sizes = spread.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-    run = Window.partitionBy(F.lit(1)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_p", F.coalesce(F.sum("_n").over(run), F.lit(0)).alias("_off"),
-                           F.sum("_n").over(Window.partitionBy(F.lit(1))).alias("_tot"))
-    inside = Window.partitionBy("_p").orderBy("_h", key)
-    pos = spread.withColumn("_rn", F.row_number().over(inside)).join(offsets, "_p")
-    at = F.col("_off") + F.col("_rn") - 1
+    """Near-equal shuffled cohorts: hash order, placed by range, cut into n equal parts."""
+    spread = df.select(key, F.md5(F.concat(F.col(key).cast("string"), F.lit("|" + seed))).alias("_h"))
+    placed = ordered_rank(spread, [F.col("_h"), F.col(key)], "_at")
+    pos = placed.withColumn("_tot", placed.agg(F.count(F.lit(1))).scalar())
+    at = F.col("_at")
     small = F.floor(F.col("_tot") / n)
     extra = F.col("_tot") % n
     edge = extra * (small + 1)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import vectors as V
 from tidemark.operators.cleaning import neighbours
 from tidemark.operators.quantiles import running_totals
+from tidemark.sources.lineage import settle
 
 
 def confusion_matrix(df: DataFrame, y: str = "y", yhat: str = "yhat") -> DataFrame:
@@ -77,11 +78,11 @@ def auc_summary(auc: DataFrame) -> DataFrame:
                    (F.sum(F.col("auc") * F.col("support")) / F.sum("support")).alias("weighted_auc"))
 
 
-def macro_roc_auc(df: DataFrame, y: str, probs: Sequence[str], slices: int = 256) -> DataFrame:
+def macro_roc_auc(df: DataFrame, y: str, probs: Sequence[str]) -> DataFrame:
     """Area of the mean curve: every class interpolated at the union of false-positive rates.
 
-    The rate axis is cut into slices and only slice edges are carried, so no
-    class is scanned by a single task.
+    Points are dealt to tasks by rate and only the edges of these ranges are carried,
+    so no class is scanned by a single task.
     """
     n = len(probs)
     pts = roc_points(df, y, probs)
@@ -93,12 +94,13 @@ def macro_roc_auc(df: DataFrame, y: str, probs: Sequence[str], slices: int = 256
     origin = df.limit(1).select(F.lit(0.0).alias("fpr"), F.explode(classes).alias("cls"), F.lit(0.0).alias("tpr"))
     known = marks.join(top, ["cls", "fpr"], "left").select("cls", "fpr", "tpr")
     known = known.unionByName(origin.select("cls", "fpr", "tpr")).groupBy("cls", "fpr").agg(F.max("tpr").alias("tpr"))
-    slot = F.floor(F.col("fpr") * slices)
+    known = settle(known.repartitionByRange("fpr").withColumn("slot", F.spark_partition_id()))
+    slot = F.col("slot")
     at = known.withColumn("pt", F.when(F.col("tpr").isNotNull(), F.struct("fpr", "tpr")))
     near = neighbours(at, ["pt"], ["cls"], ["fpr"], slot)
     x0, y0, x1, y1 = (F.col(f"{s}_pt.{c}") for s in ("prev", "next") for c in ("fpr", "tpr"))
     value = F.when(x1 > x0, y0 + (y1 - y0) * (F.col("fpr") - x0) / (x1 - x0)).otherwise(y0)
-    mean = near.select("fpr", value.alias("t")).groupBy("fpr").agg((F.sum("t") / n).alias("t"))
+    mean = near.select("fpr", "slot", value.alias("t")).groupBy("fpr", "slot").agg((F.sum("t") / n).alias("t"))
     steps = neighbours(mean.withColumn("pt", F.struct("fpr", "t")), ["pt"], [], ["fpr"], slot, exclusive=True)
     area = (F.col("fpr") - F.col("prev_pt.fpr")) * (F.col("t") + F.col("prev_pt.t")) / 2
     return steps.select(area.alias("a")).agg(F.sum("a").alias("macro_auc"))

@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml.feature import PCA, VectorAssembler
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import rules
 from tidemark.functions import columns as C
 from tidemark.operators.bands import label_by_quantiles
+from tidemark.operators.ordering import ordered_rank
 from tidemark.operators.quantiles import fitted_quantiles
 
 
@@ -89,20 +90,13 @@ def holdout_split(df: DataFrame, key: str, shares: Mapping[str, float], seed: st
 
 
 def stratified_split(df: DataFrame, key: str, cls: str, share: float = 0.8, seed: str = "strata") -> DataFrame:
-    """Exact per-class train share by hash order.
-
-    Rank inside a class is the size of the lower hash buckets plus the rank in
-    the own bucket, so a dominant class is ranked in 4096 parallel pieces.
-    """
+    """Exact per-class train share by hash order; rows are placed by range, so a dominant class spreads over tasks."""
     h = F.md5(F.concat(F.col(key).cast("string"), F.lit("|" + seed)))
-    rows = df.withColumns({"_h": h, "_p": F.substring(h, 1, 3)})
-    sizes = rows.groupBy(cls, "_p").agg(F.count(F.lit(1)).alias("_n"))
-    run = Window.partitionBy(cls).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(cls, "_p", F.coalesce(F.sum("_n").over(run), F.lit(0)).alias("_off"),
-                           F.sum("_n").over(Window.partitionBy(cls)).alias("_tot"))
-    ranked = rows.withColumn("_r", F.row_number().over(Window.partitionBy(cls, "_p").orderBy("_h", key)))
-    pos = ranked.join(offsets, [cls, "_p"])
-    train = F.col("_off") + F.col("_r") <= F.rint(F.col("_tot") * share)
+    placed = ordered_rank(df.withColumn("_h", h), [F.col(cls), F.col("_h"), F.col(key)], "_at")
+    # One row per class.
+    sizes = placed.groupBy(F.col(cls).alias("_cls")).agg(F.min("_at").alias("_low"), F.count(F.lit(1)).alias("_tot"))
+    pos = placed.join(sizes, F.col(cls).eqNullSafe(F.col("_cls")))
+    train = F.col("_at") - F.col("_low") < F.rint(F.col("_tot") * share)
     return pos.withColumn("split", F.when(train, "train").otherwise("validation")).select(*df.columns, "split")
 
 
