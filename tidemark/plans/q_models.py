@@ -96,14 +96,14 @@ def _trial_sql(scenarios, names):
 SELECT scenario, {_band(expr)} AS b FROM features f, base_cuts, (VALUES {vals}) AS s(scenario, {', '.join(W5)})) GROUP BY 1"""
 
 
-common("trials", _trial_sql(S.scenario_weights(W5, 60), [str(i) for i in range(60)]), ["features", "base_cuts"])
+common("trials", _trial_sql(S.scenario_weights(W5, 500), [str(i) for i in range(500)]), ["features", "base_cuts"])
 
 
 @query("jn_scenario_cross", "SELECT scenario, " + ", ".join(f"round(share{i}, 6) AS share{i}" for i in range(5)) + " FROM trials", ["trials"])
 def _(t):
     f = A.features(t)
     cuts = T.fitted_quantiles(f.withColumn("s", S.weighted_sum(W5)), ["s"], rules.LABEL_QUANTILES)["s"]
-    out = S.scenario_shares(f, S.scenario_weights(W5, 60), cuts)
+    out = S.scenario_shares(f, S.scenario_weights(W5, 500), cuts)
     return rnd(out, [f"share{i}" for i in range(5)]).drop("n")
 
 
@@ -112,7 +112,7 @@ _dev = "greatest(" + ", ".join(f"abs(share{i} - {x})" for i, x in enumerate(S.TA
 
 @query("ml_weight_sensitivity", f"SELECT count(*) AS trials, round(avg({_dev}), 6) AS mean_dev, round(quantile_cont({_dev}, 0.95), 6) AS p95_dev FROM trials", ["trials"])
 def _(t):
-    return rnd(S.weight_sensitivity(A.features(t), W5, 60), ["mean_dev", "p95_dev"])
+    return rnd(S.weight_sensitivity(A.features(t), W5), ["mean_dev", "p95_dev"])
 
 
 _sweep, _names = [dict(W5)], ["base"]
