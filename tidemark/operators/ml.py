@@ -42,7 +42,7 @@ def with_class_weight(df: DataFrame, label: str, out: str = "weight") -> DataFra
 def classifier_stage(kind: str, n_features: int, n_classes: int):
     """Estimator by name on the ``features``/``label``/``weight`` columns."""
     if kind == "mlp":
-        return MultilayerPerceptronClassifier(layers=[n_features, 64, 32, n_classes], maxIter=60, seed=SEED)
+        return MultilayerPerceptronClassifier(layers=[n_features, 256, 128, 64, 32, n_classes], maxIter=100, seed=SEED)
     if kind == "svm":
         return OneVsRest(classifier=LinearSVC(maxIter=30, regParam=0.01), weightCol="weight")
     if kind == "boosted":
@@ -179,7 +179,7 @@ def base_predictions(models: dict, df: DataFrame, cols: Sequence[str]) -> DataFr
 
 def out_of_fold(df: DataFrame, cols: Sequence[str], label: str, key: str, folds: int = 3,
                 names: Sequence[str] | None = None, trees: int = 20) -> DataFrame:
-    """Every row predicted by models that never saw its fold."""
+    """Every row predicted by models that never saw its fold; rows with equal ``key`` share a fold."""
     data = settle(df.withColumn("fold", (C.hash_bucket(F.col(key), "oof") % folds).cast("int")))
     parts = None
     for k in range(folds):
@@ -213,7 +213,8 @@ def blend(models: Sequence[str]) -> Column:
 
 def segment_models(df: DataFrame, cols: Sequence[str], label: str, equity: Column, masked: Sequence[str],
                    min_rows: int = 200, trees: int = 40) -> dict:
-    """Separate models for benchmarked and other funds; too small a segment gets none."""
+    """Separate models for benchmarked and other funds; a segment under ``min_rows`` gets none, which the
+    ``strategy`` column of ``score_funds`` shows."""
     data = df.withColumn("_eq", equity.cast("int"))
     counts = {r["_eq"]: r["n"] for r in data.groupBy("_eq").agg(F.count(F.lit(1)).alias("n")).collect()}
     names = ["forest", "boosted", "boosted_deep"]
@@ -230,8 +231,8 @@ def segment_models(df: DataFrame, cols: Sequence[str], label: str, equity: Colum
 
 def score_funds(df: DataFrame, cols: Sequence[str], strategy: str, models: dict | None = None, segments: dict | None = None,
                 stack=None, equity: Column | None = None, masked: Sequence[str] = ()) -> DataFrame:
-    """Ensemble score by strategy: 'segment', 'stack', 'blend', or 'auto' for the first of these
-    whose models were given."""
+    """Ensemble score by strategy: 'segment', 'stack', 'blend', or 'auto' for the first of these whose models
+    were given. Input columns stay as they came; ``strategy`` names the one that scored."""
     if strategy == "auto":
         complete = bool(segments) and {"equity", "other"} <= set(segments)
         strategy = "segment" if complete else "stack" if stack is not None else "blend"
@@ -242,20 +243,20 @@ def score_funds(df: DataFrame, cols: Sequence[str], strategy: str, models: dict
         parts = []
         for flag, name in ((1, "equity"), (0, "other")):
             part = data.where(F.col("_eq") == flag)
-            original = part
-            if flag == 0:
-                part = part.withColumns({c: F.lit(0.0) for c in masked if c in cols})
+            hidden = [c for c in masked if c in cols] if flag == 0 else []
+            part = part.withColumns({f"_own_{c}": F.col(c) for c in hidden}).withColumns({c: F.lit(0.0) for c in hidden})
             scored = base_predictions(segments[name], part, cols)
             parts.append(scored.withColumn("score", C.clip(blend(list(segments[name])), 0, 1)).select(
-                *[c for c in original.columns if c not in masked and c != "_eq"], "score"))
-        return parts[0].unionByName(parts[1])
+                *[F.col(f"_own_{c}" if c in hidden else c).alias(c) for c in df.columns], "score"))
+        return parts[0].unionByName(parts[1]).withColumn("strategy", F.lit(strategy))
     scored = base_predictions(models, df, cols)
     if strategy == "stack":
         names = [f"p_{n}" for n in models]
         data = VectorAssembler(inputCols=names, outputCol="stack").transform(scored)
-        return stack.transform(data).withColumn("score", C.clip(F.col("stacked"), -0.5, 1.0)).drop("stack", "stacked")
+        return stack.transform(data).withColumn("score", C.clip(F.col("stacked"), -0.5, 1.0)).drop("stack", "stacked") \
+            .withColumn("strategy", F.lit(strategy))
     if strategy == "blend":
-        return scored.withColumn("score", C.clip(blend(list(models)), 0, 1))
+        return scored.withColumns({"score": C.clip(blend(list(models)), 0, 1), "strategy": F.lit(strategy)})
     raise ValueError(f"unknown strategy {strategy!r}")
 
 
@@ -277,7 +278,7 @@ def importance_table(rows: DataFrame, top: int = 10) -> DataFrame:
 
 # --- clustering -------------------------------------------------------------
 
-def fit_kmeans(df: DataFrame, vec: str, k: int = 5, seeds: Sequence[int] = (42, 43, 44), max_iter: int = 30):
+def fit_kmeans(df: DataFrame, vec: str, k: int = 5, seeds: Sequence[int] = tuple(range(42, 62)), max_iter: int = 30):
     """Best of several seeded k-means runs by training cost."""
     data = settle(df.select(vec)).withColumn("features", array_to_vector(F.transform(F.col(vec), lambda x: x.cast("double"))))
     fits = [KMeans(k=k, seed=s, maxIter=max_iter).fit(data) for s in seeds]

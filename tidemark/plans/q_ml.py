@@ -55,14 +55,17 @@ for _k in ("mlp", "svm", "boosted", "tree", "forest", "logistic"):
 
 @query("ml_compare_classifiers")
 def _(t):
-    return M.compare_classifiers(labelled(t), RF, "tier_ord", "key", ["tree", "forest", "logistic"], folds=2)
+    return M.compare_classifiers(labelled(t), RF, "tier_ord", "key", ["tree", "forest", "logistic"], folds=5)
 
 
-@query("snk_save_and_load_model", "SELECT CAST(o_custkey AS BIGINT) AS key FROM orders GROUP BY 1")
+@query("snk_save_and_load_model", "SELECT CAST(o_custkey AS BIGINT) AS key, FALSE AS changed FROM orders GROUP BY 1")
 def _(t):
     model = M.train_classifier(labelled(t), RF, "tier_ord", "tree")
     back = sinks.load_model(sinks.save_model(model, scratch(t, "model")))
-    return M.predict(back, labelled(t), "tier_ord").where("prediction IS NOT NULL").select("key")
+    before = M.predict(model, labelled(t), "tier_ord").select("key", F.col("prediction").alias("before"), F.col("p").alias("p_before"))
+    after = M.predict(back, labelled(t), "tier_ord").select("key", "prediction", "p")
+    return before.join(after, "key").select(
+        "key", (~F.col("before").eqNullSafe(F.col("prediction")) | ~F.col("p_before").eqNullSafe(F.col("p"))).alias("changed"))
 
 
 @query("rc_advise_all")
@@ -134,9 +137,10 @@ def _(t):
 
 @query("ml_stack_ridge")
 def _(t):
-    oof = settle(M.out_of_fold(panel_rows(t), PCOLS, "label_best", "row_key", 2, ["forest", "boosted"], trees=10))
-    stack = M.stack_ridge(oof, "label_best", ["p_forest", "p_boosted"])
-    rows = [("forest", float(stack.coefficients[0])), ("boosted", float(stack.coefficients[1])), ("intercept", float(stack.intercept))]
+    oof = settle(M.out_of_fold(panel_rows(t), PCOLS, "label_best", "key", 5))
+    names = list(M.base_models())
+    stack = M.stack_ridge(oof, "label_best", [f"p_{n}" for n in names])
+    rows = [*((n, float(w)) for n, w in zip(names, stack.coefficients)), ("intercept", float(stack.intercept))]
     return t.spark.createDataFrame(rows, "model string, weight double")
 
 
@@ -144,10 +148,10 @@ def _(t):
 def _(t):
     rows = panel_rows(t)
     eq = F.col("benchmarked") > 0
-    seg = M.segment_models(rows, PCOLS, "label_best", eq, ["benchmarked"], min_rows=50, trees=10)
-    # A small catalogue has too few rows per segment: the whole-panel blend scores it instead.
+    seg = M.segment_models(rows, PCOLS, "label_best", eq, ["benchmarked"], trees=10)
+    # A small catalogue has too few rows in a segment: the whole-panel blend scores it, and the result says so.
     whole = {} if len(seg) == 2 else M.fit_fund_ensemble(rows, PCOLS, "label_best", ["forest", "boosted", "boosted_deep"], trees=10)
-    return M.score_funds(rows, PCOLS, "auto", models=whole, segments=seg, equity=eq, masked=["benchmarked"]).select("row_key", "score")
+    return M.score_funds(rows, PCOLS, "auto", models=whole, segments=seg, equity=eq, masked=["benchmarked"]).select("row_key", "score", "strategy")
 
 
 @query("ml_score_funds")
@@ -174,13 +178,13 @@ def _(t):
 @query("ml_fit_kmeans")
 def _(t):
     u = updates(t)
-    model = M.fit_kmeans(u, "vec", 5, (42, 43))
+    model = M.fit_kmeans(u, "vec", 5)
     return M.assign_clusters(model, u, "vec").select("vec_id", "cluster")
 
 
 @query("ml_elbow_table")
 def _(t):
-    return M.elbow_table(updates(t), "vec", [2, 3, 4])
+    return M.elbow_table(updates(t), "vec", range(2, 11))
 
 
 @query("ml_cluster_to_label", """
@@ -298,6 +302,6 @@ def _(t):
     models = M.fit_fund_ensemble(rows, PCOLS, "label_best", names, trees=10)
     preds = [f"p_{n}" for n in names]
     inside = M.r2_table(M.base_predictions(models, rows, PCOLS), "label_best", preds)
-    oof = M.r2_table(M.out_of_fold(rows, PCOLS, "label_best", "row_key", 2, names, trees=10), "label_best", preds)
+    oof = M.r2_table(M.out_of_fold(rows, PCOLS, "label_best", "key", 5, names, trees=10), "label_best", preds)
     from tidemark.operators.evaluate import generalisation_gaps
     return generalisation_gaps(inside.join(oof.withColumnRenamed("r2", "cv_r2"), "model"))
