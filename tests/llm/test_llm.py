@@ -233,6 +233,25 @@ def test_links_match_brute_force(sp):
     assert all(got[k].n_links == 0 and got[k].kept for k in range(300, 305))
 
 
+def test_no_link_is_lost_with_many_lists(sp, monkeypatch):
+    """Pairs just over the limit, and members of wide cells, in vectors without clusters."""
+    monkeypatch.setattr(embeddings, "LEAST_GROUP", 128, raising=False)
+    rng = np.random.default_rng(11)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    base = unit(rng.normal(size=(1500, 64)))
+    side = rng.normal(size=base.shape)
+    side = unit(side - (side * base).sum(axis=1)[:, None] * base)
+    pair = 0.902 * base + np.sqrt(1 - 0.902 ** 2) * side
+    wide = unit(np.repeat(unit(rng.normal(size=(60, 64))), 12, axis=0) + rng.normal(size=(720, 64)) * 0.05)
+    x = np.concatenate([base, pair, wide])
+    rows = [(k, [float(c) for c in v]) for k, v in enumerate(x)]
+    got = {r.vec_id: r.n_links for r in embeddings.link_vectors(sp.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    near = x @ x.T >= 0.9
+    np.fill_diagonal(near, False)
+    assert near.sum() > 3000
+    assert [got[k] for k in range(len(x))] == near.sum(axis=1).tolist()
+
+
 # --- surrogates
 def test_surrogates(sp, docs):
     text = ("Frau Anna Schmidt wrote to a.b@mail9.example.com and A.B@mail9.example.com, called +1 (456) 555-2186, paid by "

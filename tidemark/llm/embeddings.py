@@ -2,9 +2,12 @@
 
 Coarse centres and subspace codebooks are fitted on at most ``SAMPLE`` vectors; every vector is indexed. Inside
 its list a vector joins the first leader within half the linking angle, so all members of a cell link to each
-other without being compared, and a group of near copies of any size becomes a few cells. Leaders search the
-``PROBES`` nearest lists: table-lookup distances to the codes select candidates, exact cosines in double precision
-decide. Two cells link wholly where angle and radii prove it, not at all where they exclude it; only the members
+other without being compared, and a group of near copies of any size becomes a few cells. Leaders search every
+list that may hold a link: the angles from its centre, the plane between the centres, the radii of the cells and
+the linking angle bound what it can hold, so no link is lost. Lists are searched in groups of bounded size, each
+pair of groups once: table-lookup distances and the error of each code select candidates, exact cosines in double
+precision decide. On vectors without clusters few lists are excluded and the search grows with the square of the
+cells. Two cells link wholly where angle and radii prove it, not at all where they exclude it; only the members
 of cells in between are compared, in blocks. Counts are sums of cell sizes; pairs of members are never written.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components link with nothing and are
@@ -29,12 +32,14 @@ from tidemark.sources.lineage import settle
 COSINE = 0.9
 SAMPLE = 20_000
 SUBSPACES, CODES = 8, 64
-PROBES = 8
-BLOCK = 4_096  # rows of a list that one task clusters or searches
+BLOCK = 4_096  # rows of a list that one task clusters
+GROUP = 16_384  # cells on each side of one search task
+LEAST_GROUP, LEAST_GROUPS = 512, 8  # smaller tables are dealt to so many groups
 MEMBER_BLOCK = 512
 ROUNDS = 12
 SEED = 5
 SLACK = 1e-9
+LIMIT = math.acos(COSINE)
 
 
 def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -68,22 +73,68 @@ class Quantiser:
         rest = x - self.centres[at]
         return at, np.stack([nearest(rest[:, s], b) for s, b in zip(self.slices, self.books)], axis=1).astype(np.uint8)
 
-    def probes(self, x: np.ndarray) -> np.ndarray:
-        score = x @ self.centres.T - (self.centres ** 2).sum(axis=1) / 2
-        n = min(PROBES, len(self.centres))
-        return np.argpartition(-score, n - 1, axis=1)[:, :n]
-
-    def decoded(self, at: int, codes: np.ndarray) -> np.ndarray:
+    def decoded(self, at: np.ndarray, codes: np.ndarray) -> np.ndarray:
         return self.centres[at] + np.concatenate([b[codes[:, k]] for k, b in enumerate(self.books)], axis=1)
 
-    def lookup(self, at: int, queries: np.ndarray, codes: np.ndarray) -> np.ndarray:
-        """Squared distances of queries to coded vectors of a list: sums of one table entry a subspace."""
-        rest = queries - self.centres[at]
-        out = np.zeros((len(queries), len(codes)))
+    def lookup(self, queries: np.ndarray, at: np.ndarray, codes: np.ndarray, norms: np.ndarray) -> np.ndarray:
+        """Squared distances of unit queries to coded vectors with squared norms: one table entry a subspace."""
+        dots = np.take((queries @ self.centres.T).astype(np.float32), at, axis=1)
         for k, (s, book) in enumerate(zip(self.slices, self.books)):
-            table = ((rest[:, s][:, None, :] - book[None]) ** 2).sum(axis=2)
-            out += table[:, codes[:, k]]
-        return out
+            dots += np.take((queries[:, s] @ book.T).astype(np.float32), codes[:, k], axis=1)
+        return (1 + norms).astype(np.float32) - 2 * dots
+
+
+class Bound:
+    """Which lists may hold a link of a cell, from the extent of the cells in each list."""
+
+    def __init__(self, centres: np.ndarray, extents: dict):
+        self.centres, self.half = centres, (centres ** 2).sum(axis=1) / 2
+        norm = np.sqrt(2 * self.half)
+        self.axes = centres / np.where(norm > 0, norm, 1)[:, None]
+        # Empty lists hold no link.
+        low, high, wide = (np.array([extents[k][c] if k in extents else empty for k in range(len(centres))])
+                           for c, empty in (("low", np.inf), ("high", -np.inf), ("wide", 0.0)))
+        flat = (norm < 1e-6) & np.isfinite(high)  # no direction to measure angles from
+        self.low, self.high, self.wide = np.where(flat, -np.inf, low), np.where(flat, np.inf, high), wide
+        square = 2 * (self.half[:, None] + self.half[None] - centres @ centres.T)
+        self.apart = np.sqrt(np.maximum(square, 0))
+
+    def near(self, x: np.ndarray, radius: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Rows by lists. Vectors of a list lie on its side of the plane between its centre and any other."""
+        reach = (LIMIT + radius + 1e-6)[:, None]
+        angle = np.arccos(np.clip(x @ self.axes.T, -1, 1))
+        score = x @ self.centres.T - self.half
+        beyond = score[np.arange(len(x)), at][:, None] - score
+        return (angle - reach <= self.high) & (angle + reach >= self.low) \
+            & (beyond <= 2 * np.sin((reach + self.wide) / 2) * self.apart[at] + 1e-6)
+
+    def lists(self) -> np.ndarray:
+        """Lists by lists: whether any cells of both may link."""
+        angle = np.arccos(np.clip(self.axes @ self.axes.T, -1, 1))
+        return angle - LIMIT - 1e-6 <= self.high[:, None] + self.high[None]
+
+
+class Groups:
+    """Lists dealt to groups of cells: large ones to several, small ones together."""
+
+    def __init__(self, counts: list[int]):
+        size = min(GROUP, max(LEAST_GROUP, -(-sum(counts) // LEAST_GROUPS)))
+        self.first, self.parts, self.n, room = [], [], 0, 0
+        for c in counts:
+            parts = max(1, -(-c // size))
+            if parts > 1 or c > room:
+                self.n, room = self.n + parts, size if parts == 1 else 0
+            room -= c if parts == 1 else 0
+            self.first.append(self.n - parts)
+            self.parts.append(parts)
+        self.first, self.parts, self.n = np.array(self.first).clip(0), np.array(self.parts), max(1, self.n)
+        self.holds = np.zeros((self.n, len(counts)), dtype=np.float32)
+        for k, (f, p) in enumerate(zip(self.first, self.parts)):
+            self.holds[f: f + p, k] = 1
+
+    def of(self, cell: np.ndarray, at: np.ndarray) -> np.ndarray:
+        mixed = cell.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
+        return self.first[at] + (mixed % self.parts[at].astype(np.uint64)).astype(np.int64)
 
 
 def _vectors(column: pd.Series, width: int, kind=np.float64) -> np.ndarray:
@@ -133,36 +184,77 @@ def _lead(width: int):
     return lead
 
 
-def _search(quantiser: Quantiser, width: int):
-    """Link state of the leaders that ask one block of a list."""
-    limit = math.acos(COSINE)
+def _extent(bound: Bound, width: int):
+    """Angles from the list's centre within which each cell lies."""
+    def extent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            cosine = (_vectors(b["unit"], width) * bound.axes[b["list"].to_numpy()]).sum(axis=1)
+            angle = np.arccos(np.clip(cosine, -1, 1))
+            yield pd.DataFrame({"list": b["list"], "low": angle - b["radius"], "high": angle + b["radius"], "radius": b["radius"]})
+
+    return extent
+
+
+def _deal(bound: Bound, groups: Groups, width: int):
+    """Each cell to the searches of its own group, and as one that asks to the later groups that may hold its links."""
+    meet = np.triu(groups.holds @ bound.lists().astype(np.float32) @ groups.holds.T > 0, 1) | np.eye(groups.n, dtype=bool)
+    step = max(1, 16_384 // groups.n)
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for whole in batches:
+            for i in range(0, len(whole), step):
+                b = whole.iloc[i: i + step]
+                at = b["list"].to_numpy()
+                own = groups.of(b["cell"].to_numpy(), at)
+                near = bound.near(_vectors(b["unit"], width), b["radius"].to_numpy(), at).astype(np.float32) @ groups.holds.T > 0
+                row, to = np.nonzero(near & (np.arange(groups.n) > own[:, None]))
+                yield b.iloc[row].assign(ask=own[row], has=to, asks=True)
+                row, by = np.nonzero(meet[:, own].T)
+                yield b.iloc[row].assign(ask=by, has=own[row], asks=False)
 
+    return deal
+
+
+def _search(quantiser: Quantiser, bound: Bound, width: int):
+    """Link state of the cells of two groups, each pair once."""
     def search(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        asks, has = pdf[pdf["asks"]], pdf[~pdf["asks"]]
+        has = pdf[~pdf["asks"]].sort_values("list")
+        same = key[0] == key[1]
+        asks = has if same else pdf[pdf["asks"]].sort_values("list")
         out = []
         if len(asks) and len(has):
-            at, x = int(key[0]), _vectors(has["unit"], width)
+            x, at = _vectors(has["unit"], width), has["list"].to_numpy()
             codes = _vectors(has["codes"], len(quantiser.books), np.uint8)
-            error = ((x - quantiser.decoded(at, codes)) ** 2).sum(axis=1)
+            coded = quantiser.decoded(at, codes)
+            error, norms = np.sqrt(((x - coded) ** 2).sum(axis=1)), (coded ** 2).sum(axis=1)
             has_id, has_r = has["cell"].to_numpy(), has["radius"].to_numpy()
+            half = np.stack([np.cos(has_r / 2), np.sin(has_r / 2)])
             for i in range(0, len(asks), 512):
                 some = asks.iloc[i: i + 512]
                 q, q_id, q_r = _vectors(some["unit"], width), some["cell"].to_numpy(), some["radius"].to_numpy()
-                reach = np.minimum(limit + q_r[:, None] + has_r[None], math.pi)
-                # The lookup error is near the code's own; five deviations of its mixed term are allowed.
-                chord = 2 * np.sin(reach / 2)
-                spare = 5 * 2 * chord * np.sqrt(error)[None] / math.sqrt(width)
-                a, b = np.nonzero((quantiser.lookup(at, q, codes) <= chord ** 2 + error[None] + spare) & (q_id[:, None] != has_id[None]))
-                cosine = np.einsum("ij,ij->i", q[a], x[b])
-                radii = q_r[a] + has_r[b]
-                angle = np.arccos(np.clip(cosine, -1, 1))
-                single = radii == 0
-                whole = np.where(single, cosine >= COSINE, angle + radii <= limit - SLACK)
-                part = ~single & ~whole & (angle - radii <= limit + SLACK)
-                on = whole | part
-                out.append(pd.DataFrame({"a": np.minimum(q_id[a], has_id[b])[on], "b": np.maximum(q_id[a], has_id[b])[on], "whole": whole[on]}))
+                on = np.flatnonzero(bound.near(q, q_r, some["list"].to_numpy()).any(axis=0)[at])
+                # Chord of the linking angle and both radii; a code is off by its error at most.
+                turn = (LIMIT + q_r) / 2
+                most = (2 * np.stack([np.sin(turn), np.cos(turn)], axis=1) @ half[:, on] + error[on]).astype(np.float32)
+                a, b = np.nonzero(quantiser.lookup(q, at[on], codes[on], norms[on]) <= most * most + np.float32(1e-4))
+                b = on[b]
+                once = q_id[a] < has_id[b] if same else q_id[a] != has_id[b]
+                a, b = a[once], b[once]
+                # Candidates in slices: wide cells have many.
+                for k in range(0, len(a), 65_536):
+                    out.append(linked(q, x, q_id, has_id, q_r, has_r, a[k: k + 65_536], b[k: k + 65_536]))
         return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "whole": []}).astype({"a": "int64", "b": "int64", "whole": bool})
 
+    def linked(q, x, q_id, has_id, q_r, has_r, a, b) -> pd.DataFrame:
+        cosine = np.einsum("ij,ij->i", q[a], x[b])
+        radii = q_r[a] + has_r[b]
+        angle = np.arccos(np.clip(cosine, -1, 1))
+        single = radii == 0
+        whole = np.where(single, cosine >= COSINE, angle + radii <= LIMIT - SLACK)
+        part = ~single & ~whole & (angle - radii <= LIMIT + SLACK)
+        on = whole | part
+        return pd.DataFrame({"a": np.minimum(q_id[a], has_id[b])[on], "b": np.maximum(q_id[a], has_id[b])[on], "whole": whole[on]})
+
     return search
 
 
@@ -211,21 +303,15 @@ def _link_width(spark, units: DataFrame, distinct: DataFrame, width: int, sample
             _lead(width), "id long, copies long, unit binary, cell long, angle double, list long, codes binary"))
     size = members.groupBy("cell").agg(F.sum("copies").alias("size"), F.max("angle").alias("radius"), F.count(F.lit(1)).alias("vectors"))
     cells = settle(members.filter("id = cell").select("cell", "unit", "list", "codes").join(size, "cell"))
-    counts = {r["list"]: r["count"] for r in cells.groupBy("list").count().collect()}
-    blocks = F.element_at(F.array(*[F.lit(-(-counts.get(k, 1) // BLOCK)) for k in range(len(quantiser.centres))]), F.col("list").cast("int") + 1)
-
-    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            at = quantiser.probes(_vectors(b["unit"], width))
-            yield b.loc[b.index.repeat(at.shape[1])].assign(list=at.reshape(-1))
-
-    schema = "cell long, unit binary, radius double, list long"
-    asks = cells.select("cell", "unit", "radius").mapInPandas(ask, schema).withColumn("codes", F.lit(None).cast("binary")) \
-        .withColumn("block", F.explode(F.sequence(F.lit(0), blocks.cast("int") - 1))).withColumn("asks", F.lit(True))
-    has = cells.select("cell", "unit", "radius", "list", "codes") \
-        .withColumn("block", F.pmod(F.xxhash64("cell"), blocks).cast("int")).withColumn("asks", F.lit(False))
-    pairs = settle(has.unionByName(asks).groupBy("list", "block").applyInPandas(
-        _search(quantiser, width), "a long, b long, whole boolean").groupBy("a", "b").agg(F.max("whole").alias("whole")))
+    # One row a list.
+    extents = {r["list"]: r for r in cells.select("list", "unit", "radius").mapInPandas(
+        _extent(Bound(quantiser.centres, {}), width), "list long, low double, high double, radius double")
+        .groupBy("list").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("radius").alias("wide"), F.count(F.lit(1)).alias("n")).collect()}
+    bound = Bound(quantiser.centres, extents)
+    groups = Groups([extents[k]["n"] if k in extents else 0 for k in range(len(quantiser.centres))])
+    schema = "cell long, unit binary, list long, codes binary, radius double, ask long, has long, asks boolean"
+    pairs = settle(cells.select("cell", "unit", "list", "codes", "radius").mapInPandas(_deal(bound, groups, width), schema)
+                   .groupBy("ask", "has").applyInPandas(_search(quantiser, bound, width), "a long, b long, whole boolean"))
     whole = pairs.filter("whole").select("a", "b")
     piece = F.pmod(F.xxhash64(F.lit(1), "id"), F.ceil(F.col("vectors") / F.lit(MEMBER_BLOCK)))
     partly = pairs.filter("not whole").select("a", "b")
