@@ -279,6 +279,16 @@ def test_colliding_surrogates_draw_again(sp, monkeypatch):
     assert sorted(r.entity for r in few) == list("01234") and sorted(r.surrogate for r in few) == list("56789")
 
 
+def test_more_names_than_short_surrogates(sp):
+    """A Greek name has 2,187 short surrogates for a gender."""
+    words = ["".join("αβγδεζηθ"[k // 8 ** j % 8] for j in range(4)).capitalize() for k in range(3000)]
+    drawn = {surrogates.surrogate(surrogates.KEY, "name-m", w, a) for w in words for a in range(4)}
+    assert len(drawn) > 4 * 2187
+    rows = [(1, "name-m", w) for w in words]
+    got = surrogates.distinct_surrogates(sp.createDataFrame(rows, "doc_id long, kind string, entity string")).collect()
+    assert len(got) == 3000 == len({r.surrogate for r in got}) and not {r.surrogate for r in got} & set(words)
+
+
 # --- quality
 def test_quality_held_out(sp):
     docs, labels = (sp.read.parquet(f"{SF}/{t}.parquet").select(*c) for t, c in (("documents", ["doc_id", "text"]), ("labels", ["doc_id", "quality"])))

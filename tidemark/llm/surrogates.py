@@ -4,7 +4,8 @@ A surrogate is a keyed hash of the entity spelled in the entity's own form: digi
 letters of the same case and script, separators kept, card numbers with a right or wrong check digit like the
 original, names with the title's gender. The same entity gets the same surrogate wherever it stands, whatever
 its separators. Surrogates are checked over the corpus: two entities never share one, and none equals an entity
-that occurs. Entities that fail draw again, all but the smallest of those that share, until none fails.
+that occurs. Entities that fail draw again, all but the smallest of those that share, until none fails; names,
+addresses and passwords get longer with each attempt, so that any number of entities finds surrogates.
 
 Defined results: null texts stay null, empty ones empty; texts without entities are unchanged; repeated rows get
 equal texts; empty tables give empty results; all columns are kept, with ``text`` (and ``n_chars`` where there
@@ -112,7 +113,7 @@ def surrogate(key: str, kind: str, entity: str, attempt: int) -> str:
     if kind == "email":
         name, _, host = entity.partition("@")
         head, dot, top = host.rpartition(".")
-        return like(draw, name) + "@" + like(draw, head) + dot + top
+        return like(draw, name + "a" * attempt) + "@" + like(draw, head) + dot + top
     if kind == "phone":
         lead, _, rest = entity.partition("|")
         return lead + "|" + like(draw, rest)
@@ -128,9 +129,9 @@ def surrogate(key: str, kind: str, entity: str, attempt: int) -> str:
         words = []
         for k, _ in enumerate(entity.split(" ")):
             last = ends[kind[-1]] if k == 0 else ends["m"] + ends["f"]
-            words.append("".join(parts[draw.below(len(parts))] for _ in range(3)) + last[draw.below(len(last))])
+            words.append("".join(parts[draw.below(len(parts))] for _ in range(3 + attempt)) + last[draw.below(len(last))])
         return " ".join(w.capitalize() for w in words)
-    return like(draw, entity)
+    return like(draw, entity + "a" * attempt if kind == "password" else entity)
 
 
 def render(kind: str, seen: str, new: str) -> str:
