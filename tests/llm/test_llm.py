@@ -289,6 +289,22 @@ def test_more_names_than_short_surrogates(sp):
     assert len(got) == 3000 == len({r.surrogate for r in got}) and not {r.surrogate for r in got} & set(words)
 
 
+def test_bare_mentions_and_other_shapes(sp):
+    shapes = ["+33 1 23 45 67 89", "+49 30 123456", "+44 7911 123456", "07911 123456", "555-1234", "3782 822463 10005",
+              "2001:db8::8a2e:370:7334", "fe80:0:0:0:0:0:0:1"]
+    text = ("Earlier Doe came. Mr. John Doe wrote. Later John Doe paid, Doe's son and Mr Doe and Dr Doe too; Herr Prof. Karl Weiß "
+            "and Dr. Maria Roe left. Roe slept, Karl read at 12:30:45 by std::sort. " + "; ".join(shapes) + ".")
+    df = sp.createDataFrame([(1, text), (2, "John and Doe without titles.")], "doc_id long, text string")
+    got = {r.doc_id: r for r in surrogates.replace_personal_data(df).collect()}
+    new = got[1].text
+    for secret in ["John", "Doe", "Karl", "Weiß", "Maria", "Roe", *shapes]:
+        assert secret not in new
+    words = new.replace("'", " ").replace(".", " ").replace(",", " ").replace(";", " ").split()
+    first, last = words[words.index("Mr") + 1: words.index("wrote")]
+    assert new.startswith(f"Earlier {last} came. Mr. {first} {last} wrote. Later {first} {last} paid, {last}'s son and Mr {last} and Dr {last} too;")
+    assert "12:30:45 by std::sort" in new and got[2].text == "John and Doe without titles." and got[1].n_entities == 10 + len(shapes)
+
+
 # --- quality
 def test_quality_held_out(sp):
     docs, labels = (sp.read.parquet(f"{SF}/{t}.parquet").select(*c) for t, c in (("documents", ["doc_id", "text"]), ("labels", ["doc_id", "quality"])))

@@ -3,7 +3,8 @@
 A surrogate is a keyed hash of the entity spelled in the entity's own form: digits for digits, letters for
 letters of the same case and script, separators kept, card numbers with a right or wrong check digit like the
 original, names with the title's gender. The same entity gets the same surrogate wherever it stands, whatever
-its separators. Surrogates are checked over the corpus: two entities never share one, and none equals an entity
+its separators. Names are found after titles; their words are entities of their own, so that parts of a name keep
+their surrogate, and every other mention of these words in the document is replaced as well, before or after. Surrogates are checked over the corpus: two entities never share one, and none equals an entity
 that occurs. Entities that fail draw again, all but the smallest of those that share, until none fails; names,
 addresses and passwords get longer with each attempt, so that any number of entities finds surrogates.
 
@@ -15,6 +16,7 @@ is one) replaced and ``n_entities`` added.
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import json
 import re
 from collections.abc import Iterator
@@ -30,26 +32,31 @@ KEY = "tidemark-surrogates"  # a deployment passes its own secret
 
 MALE = "Mr Herr Herrn Señor Sr Monsieur Don г-н κ.".split()
 FEMALE = "Mrs Ms Miss Frau Señora Sra Srta Madame Mme Mlle Doña г-жа κα".split()
-TITLES = {t: "m" for t in MALE} | {t: "f" for t in FEMALE}
+NEUTRAL = "Dr Prof Professor Mx д-р".split()
+TITLES = {t: "m" for t in MALE} | {t: "f" for t in FEMALE} | {t: "n" for t in NEUTRAL}
+TITLE = "(?:" + "|".join(sorted(map(re.escape, TITLES), key=len, reverse=True)) + ")"
 CAPITAL = r"[^\W\d_a-zà-öø-ÿа-яα-ω][^\W\d_]+"
 PATTERN = re.compile(
     r"(?P<email>[\w.%+-]+@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,})"
     r"|(?<![\w.])(?P<ip>(?:\d{1,3}\.){3}\d{1,3})(?!\d|\.\d)"
+    r"|(?<![\w:.])(?P<ip6>(?=[0-9A-Fa-f]{0,4}:[0-9A-Fa-f]{0,4}:)[0-9A-Fa-f:]{2,39})(?![\w:]|\.\d)"
     r"|(?<!\w)(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?!\w)"
     r"|(?<!\w)(?P<awskey>AKIA[A-Z0-9]{16})(?!\w)"
-    r"|(?<!\w)(?P<card>\d{13,19}|\d{4}(?:[ -]\d{4}){3})(?!\w)"
+    r"|(?<!\w)(?P<card>\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{4,5})(?!\w)"
     r"|(?<!\w)(?P<ssn>\d{3}-\d{2}-\d{4})(?!\w)"
-    r"|(?<!\w)(?P<phone>(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3,4}[ .-]\d{3,4}|\+\d{8,15})(?!\w)"
+    r"|(?<!\w)(?P<phone>(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3,4}[ .-]\d{3,4}|\+\d{8,15}"
+    r"|(?=\+(?:[ .()-]{0,3}\d){7,15}(?!\w))\+\d{1,3}(?:[ .-]?(?:\(\d{1,4}\)|\d{1,8})){1,7}|0\d{2,5}[ .-]\d{5,8}|0\d(?:[ .-]\d\d){4}|\d{3}-\d{4})(?!\w)"
     r"|(?i:password|passwd|secret|token)\s?[=:]\s?(?P<password>[\w!#$%&*+/-]{6,})"
     r"|[\"'](?P<hexkey>[0-9a-f]{32,64})[\"']"
-    r"|(?<!\w)(?:" + "|".join(sorted(map(re.escape, TITLES), key=len, reverse=True)) + r")\.? (?P<name>" + CAPITAL + r"(?: " + CAPITAL + r")?)")
+    r"|(?<!\w)(?:" + TITLE + r"\.? )+(?!" + TITLE + r"(?!\w))(?P<name>" + CAPITAL + r"(?: " + CAPITAL + r")?)")
+WORD = re.compile(r"(?<!\w)" + CAPITAL)
 TITLE_WORDS = tuple(t + " " for t in TITLES) + tuple(t + ". " for t in TITLES)
 
 # Syllables that names are made of, for each script and gender.
 SYLLABLES = {
-    "latin": ("be da fo ga ka le mi no ra sa ti vo wi zu".split(), {"m": "ren tor mund bert las nik".split(), "f": "lina ra sia nette mara lisa".split()}),
-    "cyrillic": ("ба ве го да ко ли ма не ра са ти".split(), {"m": "мир слав тор дан".split(), "f": "мила лина сия рина".split()}),
-    "greek": ("βα δε γο κα λε μι νο ρα σα".split(), {"m": "νης ρος μος".split(), "f": "λια ρινα μαρα".split()}),
+    "latin": ("be da fo ga ka le mi no ra sa ti vo wi zu".split(), {"m": "ren tor mund bert las nik".split(), "f": "lina ra sia nette mara lisa".split(), "n": "vin dal rell quis".split()}),
+    "cyrillic": ("ба ве го да ко ли ма не ра са ти".split(), {"m": "мир слав тор дан".split(), "f": "мила лина сия рина".split(), "n": "вен лук рад".split()}),
+    "greek": ("βα δε γο κα λε μι νο ρα σα".split(), {"m": "νης ρος μος".split(), "f": "λια ρινα μαρα".split(), "n": "θων ξις".split()}),
 }
 
 
@@ -79,6 +86,8 @@ def canonical(kind: str, text: str) -> str:
         return lead + "|" + re.sub(r"\D", "", text[len(lead):])
     if kind == "email":
         return text.lower()
+    if kind == "ip6":
+        return ipaddress.ip_address(text).exploded
     return text
 
 
@@ -106,6 +115,8 @@ def surrogate(key: str, kind: str, entity: str, attempt: int) -> str:
     draw = Draw(key, kind, entity, attempt)
     if kind == "ip":
         return ".".join(str(n) for n in (1 + draw.below(223), draw.below(256), draw.below(256), 1 + draw.below(254)))
+    if kind == "ip6":
+        return ":".join(f"{draw.below(65536):04x}" for _ in range(8))
     if kind == "card":
         body = entity[0] + like(draw, entity[1:-1])
         check = (10 - luhn(body + "0")) % 10
@@ -126,11 +137,8 @@ def surrogate(key: str, kind: str, entity: str, attempt: int) -> str:
     if kind[:4] == "name":
         script = "cyrillic" if re.search("[Ѐ-ӿ]", entity) else "greek" if re.search("[Ͱ-Ͽ]", entity) else "latin"
         parts, ends = SYLLABLES[script]
-        words = []
-        for k, _ in enumerate(entity.split(" ")):
-            last = ends[kind[-1]] if k == 0 else ends["m"] + ends["f"]
-            words.append("".join(parts[draw.below(len(parts))] for _ in range(3 + attempt)) + last[draw.below(len(last))])
-        return " ".join(w.capitalize() for w in words)
+        last = ends[kind[-1]]
+        return ("".join(parts[draw.below(len(parts))] for _ in range(3 + attempt)) + last[draw.below(len(last))]).capitalize()
     return like(draw, entity + "a" * attempt if kind == "password" else entity)
 
 
@@ -146,20 +154,57 @@ def render(kind: str, seen: str, new: str) -> str:
     return new
 
 
-def found(text: str) -> Iterator[tuple[int, int, str, str]]:
-    """(start, end, kind, text) of the entities."""
+def titled(text: str) -> Iterator[tuple[int, int, str, str]]:
+    """Entities by their own form, and names after titles."""
     for m in PATTERN.finditer(text):
         kind = m.lastgroup
         a, b = m.span(kind)
         if kind == "ip" and any(int(p) > 255 for p in m[kind].split(".")):
             continue
+        if kind == "ip6":
+            try:
+                ipaddress.ip_address(m[kind])
+            except ValueError:
+                continue
+            if m[kind] == "::":
+                continue
         if kind == "name":
-            title = text[m.start(): a].strip()
-            yield a, b, "name-" + (TITLES.get(title) or TITLES[title.removesuffix(".")]), m[kind]
+            genders = [TITLES.get(t) or TITLES[t.removesuffix(".")] for t in text[m.start(): a].split()]
+            yield a, b, "name-" + next((g for g in genders if g != "n"), "n"), m[kind]
         else:
             yield a, b, kind, m[kind]
 
 
+def found(text: str) -> list[tuple[int, int, str, str]]:
+    """(start, end, kind, text) of the entities, with the bare mentions of names that have a title in the text."""
+    seen = list(titled(text))
+    known = {}
+    # A title without gender takes that of another title of the same name.
+    for _, _, kind, t in sorted((x for x in seen if x[2][:4] == "name"), key=lambda x: x[2] == "name-n"):
+        kind = next((known[w] for w in t.split(" ") if w in known), kind) if kind == "name-n" else kind
+        for w in t.split(" "):
+            known.setdefault(w, kind)
+    if not known:
+        return seen
+    out, at = [], 0
+    for start, end, kind, t in [*seen, (len(text), len(text), "", "")]:
+        for m in WORD.finditer(text, at, start):
+            gender = known.get(m[0])
+            if gender and out and out[-1][1] == m.start() - 1 >= at and text[out[-1][1]] == " " and out[-1][2] == gender:
+                out[-1] = (out[-1][0], m.end(), gender, text[out[-1][0]: m.end()])
+            elif gender:
+                out.append((m.start(), m.end(), gender, m[0]))
+        if kind:
+            out.append((start, end, known[t.split(" ")[0]] if kind == "name-n" else kind, t))
+        at = end
+    return out
+
+
+def parts_of(kind: str, text: str) -> list[str]:
+    """What draws a surrogate of its own: each word of a name."""
+    return text.split(" ") if kind[:4] == "name" else [text]
+
+
 CLUE = np.zeros(256, dtype=bool)
 CLUE[[*range(48, 58), 64, 61, 58, 34, 39]] = True
 
@@ -183,7 +228,7 @@ def _entities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = set()
         for k in np.flatnonzero(suspects(batch)):
             doc_id, text = batch.column("doc_id")[int(k)].as_py(), batch.column("text")[int(k)].as_py()
-            rows |= {(doc_id, kind, canonical(kind, t)) for _, _, kind, t in found(text)}
+            rows |= {(doc_id, kind, canonical(kind, p)) for _, _, kind, t in found(text) for p in parts_of(kind, t)}
         if rows:
             ids, kinds, names = zip(*rows)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(kinds), pa.array(names)], names=["doc_id", "kind", "entity"])
@@ -228,8 +273,11 @@ def _replace(key: str):
                 again = {(x["kind"], x["entity"]): x["attempt"] for x in json.loads(again)} if again else {}
                 text, out, at = texts[k], [], 0
                 for start, end, kind, seen in found(text):
-                    entity = canonical(kind, seen)
-                    out += [text[at:start], render(kind, seen, surrogate(key, kind, entity, again.get((kind, entity), 0)))]
+                    new = []
+                    for part in parts_of(kind, seen):
+                        entity = canonical(kind, part)
+                        new.append(render(kind, part, surrogate(key, kind, entity, again.get((kind, entity), 0))))
+                    out += [text[at:start], " ".join(new)]
                     at = end
                     counts[k] += 1
                 texts[k] = "".join([*out, text[at:]])
