@@ -1,15 +1,14 @@
-"""Removal of byte strings of a fixed length that occur more than once in the corpus: a sampled suffix sort.
+"""Removal of byte strings of a fixed length that occur more than once in the corpus: winnowed anchors and hash groups.
 
 A full suffix array writes a name and a place for every byte on every level of its recursion, many times the input.
-Here, as with a difference cover, only a sample of the suffixes is sorted and the others follow from the sample;
-but the sample is chosen by content, so that equal strings have their samples at equal places. The anchor of a
-start is the place of the least 16-byte hash among the next ``WINDOW`` ones, so the starts of one anchor are a
-run that ends at it. Anchors are named by the bytes that all their starts cover and sorted by name; anchors whose
-name is unlike both neighbours' are dropped, with all their starts. Of the others, those that agree with another
-one over the bytes of all their starts are settled at once. The starts of the rest, and of one of each settled
-kind with the same name, are compared exactly, each by its own ``length`` bytes.
-
-Equality is that of 64-bit hashes over the exact bytes, always together with the anchor's 64-bit name.
+Nothing is sorted or ranked here: anchors are chosen by content, so that equal strings have their anchors at equal
+places. The anchor of a start is the place of the least 16-byte hash among the next ``WINDOW`` ones, so the starts
+of one anchor are a run that ends at it. Anchors are grouped by the hash of the bytes that all their starts cover;
+those whose hash occurs once are dropped, with all their starts. Of the others, those that agree with another one
+over the bytes of all their starts are settled at once. The starts of the rest, and of one of each settled kind
+with the same hash, are compared each by the hash of its own ``length`` bytes.
+
+Equality is that of 64-bit hashes over the exact bytes, always together with the anchor's 64-bit hash.
 
 Defined results: null texts count as empty; texts shorter than ``length`` keep all; equal texts of that length at
 least are removed whole; rows that repeat a document are copies of each other; overlaps within one text count;
