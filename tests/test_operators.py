@@ -25,7 +25,7 @@ from tidemark.operators import series as W
 from tidemark.operators import stats as T
 from tidemark.operators.quantiles import exact_quantiles, running_totals
 from tidemark.sources import readers
-from tidemark.streaming.dedupe import ttl_dedupe
+from tidemark.streaming.dedupe import run_stateful, ttl_dedupe, ttl_dedupe_stream
 
 DAY = dt.date(2020, 1, 1)
 
@@ -306,6 +306,30 @@ def test_ttl_chain_against_a_loop(spark):
     assert got == want
 
 
+def test_ttl_stream_marks_what_the_batch_marks(spark, tmp_path):
+    """Out of order, with a hot key, equal times, null columns, and a restart between the lots."""
+    rng = random.Random(5)
+    start = dt.datetime(2024, 1, 1)
+    rows = [(rng.choice(["hot", "hot", "b", None]), start + dt.timedelta(seconds=rng.randrange(0, 40_000)), k, None if k % 5 else "x")
+            for k in range(400)]
+    rows += [(*rows[3][:2], 9_000, "same time"), rows[7]]
+    schema, folder = "k string, ts timestamp, i int, note string", str(tmp_path / "in")
+    late = sorted(rows, key=lambda r: r[1] + dt.timedelta(seconds=rng.randrange(0, 3_500)))
+    end = [("end", start + dt.timedelta(days=9), -1, None)]
+    for lot in (late[:150], late[150:], end):
+        spark.createDataFrame(lot, schema).write.mode("append").parquet(folder)
+        arrivals = spark.readStream.schema(schema).parquet(folder)
+        run_stateful(ttl_dedupe_stream(arrivals), str(tmp_path / "out"), str(tmp_path / "ckpt"))
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert got.columns == ["k", "ts", "i", "note", "fresh"]
+    stored, want = {}, []
+    for k, ts, i, note in sorted(rows, key=lambda r: r[1]):
+        if k not in stored or ts >= stored[k] + dt.timedelta(hours=1):
+            stored[k] = ts
+        want.append((k, ts, i, note, ts == stored[k]))
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+
+
 def test_kde_blocks_agree_with_brute_force(spark):
     rnd = np.random.default_rng(4)
     x, y = rnd.random((60, 2)), rnd.integers(0, 2, 60)

@@ -256,22 +256,35 @@ def _(t):
 
 
 # --- streaming --------------------------------------------------------------
-@query("st_ttl_dedupe", """
+_FRESH = """
 WITH RECURSIVE pts AS (SELECT DISTINCT md5(event_type || ':' || props) AS k, ts FROM events),
 chain AS (SELECT k, min(ts) AS t FROM pts GROUP BY k UNION ALL SELECT c.k, min(p.ts) AS t FROM chain c JOIN pts p ON p.k = c.k AND p.ts >= c.t + INTERVAL 1 HOUR GROUP BY c.k)
-SELECT e.event_id, c.t IS NOT NULL AS fresh FROM events e LEFT JOIN chain c ON c.k = md5(e.event_type || ':' || e.props) AND c.t = e.ts""")
+SELECT e.event_id, c.t IS NOT NULL AS fresh FROM events e LEFT JOIN chain c ON c.k = md5(e.event_type || ':' || e.props) AND c.t = e.ts"""
+
+
+def requests(t):
+    return t.events.select("event_id", F.col("ts").cast("timestamp").alias("ts"), ST.request_key(F.col("event_type"), F.col("props")).alias("k"))
+
+
+@query("st_ttl_dedupe", _FRESH)
 def _(t):
-    req = t.events.select("event_id", "ts", ST.request_key(F.col("event_type"), F.col("props")).alias("k"))
-    return ST.ttl_dedupe(req).select("event_id", "fresh")
+    return ST.ttl_dedupe(requests(t)).select("event_id", "fresh")
 
 
-@query("st_ttl_dedupe_stream")
+@query("st_ttl_dedupe_stream", _FRESH)
 def _(t):
-    path = scratch(t, "requests")
-    t.events.select("event_id", F.col("ts").cast("timestamp").alias("ts"), ST.request_key(F.col("event_type"), F.col("props")).alias("k")).write.parquet(path)
-    arrivals = t.spark.readStream.schema("event_id bigint, ts timestamp, k string").parquet(path)
-    out = SD.run_to_table(ST.ttl_dedupe_stream(arrivals), scratch(t, "fresh"), scratch(t, "ckpt"))
-    return t.spark.read.parquet(out)
+    """All events arrive up to 50 minutes late and out of order, in two lots; the stream is stopped in between and
+    goes on from its checkpoint. A last row, far ahead in time, moves the watermark past all others."""
+    path, out, checkpoint = scratch(t, "requests"), scratch(t, "fresh"), scratch(t, "ckpt")
+    rows = requests(t)
+    due = F.unix_seconds("ts") + F.pmod(F.xxhash64("event_id"), F.lit(3000))
+    middle = rows.select(F.avg(due)).scalar()
+    ahead = rows.agg(F.lit(None).cast("bigint").alias("event_id"), (F.max("ts") + F.expr("INTERVAL 3 DAYS")).alias("ts"), F.lit("").alias("k"))
+    for lot in (rows.where(due <= middle), rows.where(due > middle), ahead):
+        lot.write.mode("append").parquet(path)
+        arrivals = t.spark.readStream.schema("event_id bigint, ts timestamp, k string").parquet(path)
+        ST.run_stateful(ST.ttl_dedupe_stream(arrivals), out, checkpoint)
+    return t.spark.read.parquet(out).select("event_id", "fresh")
 
 
 @query("st_drift_on_stream", "SELECT key, round(m, 4) AS max_delta, top AS top_feature, m > 0.25 AS drifted FROM drifted", ["drifted"])
