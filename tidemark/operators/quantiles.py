@@ -1,10 +1,11 @@
 """Exact order statistics and running totals that never put a whole group in one task.
 
 A window or ``percentile`` over one global (or one hot) group is a single-task
-job.  Here the input is first collapsed to distinct values, which are dealt to
+job.  Quantiles are selected by counting: see ``exact_quantiles``.  Where every
+value is wanted, the input is collapsed to distinct values, which are dealt to
 tasks by range and written once; each task sums its own range, and the totals of
 the ranges before it are added.  The ranges only decide how work is split, so
-the result is exact.  There is one path for every size.
+both are exact.  There is one path for every size.
 """
 
 from __future__ import annotations
@@ -56,41 +57,111 @@ def running_totals(df: DataFrame, by: Sequence[str], value: str, measures: Seque
     )
 
 
-def exact_quantiles(
-    df: DataFrame,
-    cols: Sequence[str],
-    probs: Sequence[float],
-    by: Sequence[str] = (),
-    parts: int | None = None,
-) -> DataFrame:
-    """Linear-interpolation quantiles per (by, feature) as rows (by..., feature, n, q ARRAY)."""
+SMALL = 4_096  # values of one bucket that are sorted in an array
+STEPS = 4_096  # parts that a larger bucket is cut into
+
+
+def magnitude_bucket(v: Column) -> Column:
+    """A bucket number that never falls as ``v`` grows: sign and sixteenths of the binary logarithm."""
+    a = F.abs(v)
+    step = F.floor(F.log2(F.least(a, F.lit(1.7e308))) * 16) + 20_000
+    return (F.when(F.isnan(v), 70_000).when(a == float("inf"), F.when(v > 0, 60_000).otherwise(-60_000))
+            .when(v > 0, step).when(v < 0, -step).otherwise(0).cast("int"))
+
+
+def _part_of(v: Column, lo: Column, hi: Column) -> Column:
+    """Equal parts of [lo, hi]; the last holds ``hi`` alone, so a bucket of two values always splits."""
+    return F.when(v >= hi, F.lit(STEPS)).otherwise(F.floor((v * 0.5 - lo * 0.5) / (hi * 0.5 - lo * 0.5) * STEPS)).cast("int")
+
+
+def _wanted(counts: DataFrame, groups: list[str], keys: list[str], probs: Sequence[float] | None) -> DataFrame:
+    """Buckets of ``counts`` (n, lo, hi) that hold a wanted rank, with those ranks counted from the bucket's start.
+
+    At the first level the ranks follow from the group's size ``total``; below it they come as ``ranks`` of the
+    bucket that was cut. A group has at most as many rows here as there are bucket numbers.
+    """
+    inside = Window.partitionBy(*groups, *keys[:-1])
+    before = F.coalesce(F.sum("n").over(inside.orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = counts.withColumn("_before", before)
+    if probs is not None:
+        placed = placed.withColumn("total", F.sum("n").over(inside))
+        spots = [f(F.lit(float(p)) * (F.col("total") - 1)).cast("long") for p in probs for f in (F.floor, F.ceil)]
+        placed = placed.withColumn("ranks", F.array_distinct(F.array(*spots))).withColumn("base", F.lit(0).cast("long"))
+    held = F.filter(F.transform("ranks", lambda r: r - F.col("_before")), lambda r: (r >= 0) & (r < F.col("n")))
+    return placed.withColumn("base", F.col("base") + F.col("_before")).withColumn("ranks", held).where(F.size("ranks") > 0).drop("_before")
+
+
+def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """Linear-interpolation quantiles per (by, feature) as rows (by..., feature, n, q ARRAY).
+
+    Selection without sorting: values are counted by magnitude in one hash aggregate; only buckets that hold a
+    wanted rank are looked at again, cut into equal parts until they have one value or at most ``SMALL``, which one
+    array sorts. Two passes over ``df`` do up to some hundred thousand rows, each further one a factor of some
+    thousand; what is written in between are the few buckets, never values. Settle a costly ``df`` before.
+    """
     by = list(by)
-    long = (
+    groups = [*by, "feature"]
+    rows = (
         df.select(*by, *[F.col(c).cast("double").alias(c) for c in cols])
         .unpivot(by, list(cols), "feature", "value")
         .where(F.col("value").isNotNull())
+        .withColumn("_k0", magnitude_bucket(F.col("value")))
     )
-    ranked = running_totals(long.withColumn("w", F.lit(1)), [*by, "feature"], "value", ["w"], parts)
-    first, last = F.col("cum_w") - F.col("w"), F.col("cum_w") - 1
-
-    def at_rank(rank: Column) -> Column:
-        return F.max(F.when((first <= rank) & (rank <= last), F.col("value")))
-
-    picks = []
-    for i, p in enumerate(probs):
-        pos = F.lit(float(p)) * (F.col("tot_w") - 1)
-        picks += [at_rank(F.floor(pos)).alias(f"lo{i}"), at_rank(F.ceil(pos)).alias(f"hi{i}")]
-    picked = ranked.groupBy(*by, "feature").agg(F.max("tot_w").alias("n"), *picks)
+    keys, found, level = ["_k0"], [], 0
+    summary = (F.count(F.lit(1)).alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+    wanted = settle(_wanted(rows.groupBy(*groups, *keys).agg(*summary), groups, keys, probs))
+    while True:
+        single = F.col("lo").eqNullSafe(F.col("hi"))
+        found.append(wanted.where(single).select(*groups, "total", F.explode("ranks").alias("rank"), "base", F.col("lo").alias("value"))
+                     .withColumn("rank", F.col("rank") + F.col("base")).drop("base"))
+        open_ = wanted.where(~single).select(*[F.col(c).alias(f"_{c}") for c in groups], *[F.col(k).alias(f"_{k}") for k in keys],
+                                             "total", "ranks", "base", "n", "lo", "hi")
+        same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in groups] + [F.col(k) == F.col(f"_{k}") for k in keys]
+        most = open_.agg(F.max("n")).first()[0] or 0
+        if most == 0:
+            break
+        near = rows.join(open_, same[0] if len(same) == 1 else _all(same)).drop(*[f"_{c}" for c in [*groups, *keys]])
+        short = near.where(F.col("n") <= SMALL).groupBy(*groups, *keys).agg(
+            F.sort_array(F.collect_list("value")).alias("_v"), *[F.first(c).alias(c) for c in ("total", "ranks", "base")])
+        found.append(short.select(*groups, "total", "base", "_v", F.explode("ranks").alias("rank")).select(
+            *groups, "total", (F.col("rank") + F.col("base")).alias("rank"), F.get("_v", F.col("rank").cast("int")).alias("value")))
+        if most <= SMALL:
+            break
+        level += 1
+        rows = near.where(F.col("n") > SMALL).withColumn(f"_k{level}", _part_of(F.col("value"), F.col("lo"), F.col("hi")))
+        carried = [F.first(c).alias(c) for c in ("total", "ranks", "base")]
+        keys = [*keys, f"_k{level}"]
+        counts = rows.groupBy(*groups, *keys).agg(*summary, *carried)
+        rows = rows.select(*groups, *keys, "value")
+        wanted = settle(_wanted(counts, groups, keys, None))
+
+    picked = found[0]
+    for more in found[1:]:
+        picked = picked.unionByName(more)
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when(F.col("rank") == rank.cast("long"), F.col("value")))
+
+    ends = [(F.lit(float(p)) * (F.col("total") - 1)) for p in probs]
+    found_at = picked.groupBy(*groups).agg(F.max("total").alias("n"), *[
+        at(f(pos)).alias(f"{name}{i}") for i, pos in enumerate(ends) for f, name in ((F.floor, "lo"), (F.ceil, "hi"))])
 
     def interpolate(i: int, p: float) -> Column:
         pos = F.lit(float(p)) * (F.col("n") - 1)
         lo, hi = F.col(f"lo{i}"), F.col(f"hi{i}")
         return F.when(lo == hi, lo).otherwise((F.ceil(pos) - pos) * lo + (pos - F.floor(pos)) * hi)
 
-    return picked.select(
+    return found_at.select(
         *by, "feature", "n", F.array(*[interpolate(i, p) for i, p in enumerate(probs)]).alias("q"))
 
 
+def _all(conditions: list[Column]) -> Column:
+    out = conditions[0]
+    for c in conditions[1:]:
+        out = out & c
+    return out
+
+
 def fitted_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> dict[str, list]:
     """Global quantiles as a dict feature -> values (one bounded row per column)."""
     rows = exact_quantiles(df, cols, probs).collect()
