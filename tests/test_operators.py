@@ -73,16 +73,33 @@ def test_chunked_fill_equals_plain_fill(spark):
     assert [tuple(r) for r in plain] == [tuple(r) for r in chunked]
 
 
-def test_bucketed_quantiles_equal_numpy(spark):
+@pytest.mark.parametrize("small, steps", [(4096, 4096), (7, 4), (1, 2)])
+def test_selected_quantiles_equal_numpy(spark, monkeypatch, small, steps):
+    """Ties, a hot group, an empty and a one-row one, huge and tiny values; small limits force many levels."""
+    from tidemark.operators import quantiles as Q
+
+    monkeypatch.setattr(Q, "SMALL", small)
+    monkeypatch.setattr(Q, "STEPS", steps)
     rnd = random.Random(5)
-    rows = [("hot" if i % 3 else "cold", rnd.choice([rnd.gauss(0, 1), 1.0, 2.0])) for i in range(3000)]
-    df = spark.createDataFrame(rows, "g string, v double")
+    rows = [("hot" if i % 3 else "cold", rnd.choice([rnd.gauss(0, 1), 1.0, 2.0, 0.0, -0.0, 1e300 * rnd.random(), -1e-300, None])) for i in range(900)]
+    rows += [("one", 7.0), (None, 1.5), (None, 2.5), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
     probs = [0.0, 0.01, 0.2, 0.5, 0.875, 1.0]
-    for parts in (None, 1, 7):
-        got = {r["g"]: r["q"] for r in exact_quantiles(df, ["v"], probs, ["g"], parts).collect()}
-        for g in ("hot", "cold"):
-            want = np.quantile([v for k, v in rows if k == g], probs)
-            assert np.allclose(got[g], want, atol=1e-12), (parts, g)
+    got = {r["g"]: (r["n"], r["q"]) for r in exact_quantiles(df, ["v"], probs, ["g"]).collect()}
+    assert set(got) == {"hot", "cold", "one", None}
+    for g, (n, q) in got.items():
+        values = [v for k, v in rows if k == g and v is not None]
+        assert n == len(values) and np.allclose(q, np.quantile(values, probs), rtol=1e-12, atol=1e-12), g
+    both = exact_quantiles(df.withColumn("w", -F.col("v")), ["v", "w"], [0.25]).collect()
+    values = np.array([v for _, v in rows if v is not None])
+    assert {r.feature: r.q[0] for r in both} == pytest.approx({"v": np.quantile(values, 0.25), "w": np.quantile(-values, 0.25)})
+    assert exact_quantiles(df.limit(0), ["v"], probs).count() == 0
+
+
+def test_quantiles_of_not_numbers_and_infinities(spark):
+    rows = [(float("nan"),), (float("inf"),), (float("-inf"),), (1.0,), (2.0,)]
+    got = exact_quantiles(spark.createDataFrame(rows, "v double"), ["v"], [0.0, 0.25, 0.5, 0.75, 1.0]).first()["q"]
+    assert got[:4] == [float("-inf"), 1.0, 2.0, float("inf")] and math.isnan(got[4])
 
 
 def test_running_totals_with_a_hot_group_and_nulls(spark):
@@ -369,3 +386,60 @@ def test_last_row_versus_last_value(spark):
     df = spark.createDataFrame([("a", 1, 1.0, "x"), ("a", 2, None, "y")], "k string, o int, v double, s string")
     assert tuple(J.latest_per_key(df, ["k"], ["o"]).select("v", "s").first()) == (None, "y")
     assert tuple(J.last_non_null_per_key(df, "k", ["o"], ["v", "s"]).select("v", "s").first()) == (1.0, "y")
+
+
+def plain_information(x, y, k):
+    from tidemark.operators import neighbours as N
+
+    def psi(n):
+        return -N.EULER + sum(1 / q for q in range(1, n))
+
+    d = np.maximum(abs(x[:, None] - x), abs(y[:, None] - y))
+    np.fill_diagonal(d, np.inf)
+    r = np.sort(d, axis=1)[:, k - 1] - N.HAIR
+    counts = [np.maximum((abs(v[:, None] - v) < r[:, None]).sum(1), 1) for v in (x, y)]
+    return max(0.0, psi(len(x)) + psi(k) - np.mean([psi(int(a)) + psi(int(b)) for a, b in zip(*counts)]))
+
+
+@pytest.mark.parametrize("cell_rows", [16, 1_024])
+def test_neighbour_information_equals_all_pairs(spark, cell_rows):
+    """Ties, a constant, nulls, and cells so small that most points visit others."""
+    from tidemark.operators import neighbours as N
+
+    rng = np.random.default_rng(1)
+    y = rng.normal(size=300)
+    cols = {"a": y + rng.normal(size=300), "b": rng.normal(size=300), "c": np.round(y), "d": np.ones(300), "e": rng.exponential(size=300) ** 4}
+    rows = [(f"k{i}", float(y[i]), *(float(v[i]) for v in cols.values())) for i in range(300)]
+    rows += [("n1", None, *[1.0] * 5), ("n2", 0.5, None, 1.0, None, 1.0, 2.0)]
+    df = spark.createDataFrame(rows, "k string, y double, a double, b double, c double, d double, e double")
+    got = {r.feature: r.mi for r in N.neighbour_information(df, "y", list(cols), "k", 4, cell_rows).collect()}
+    z = N.standardised(df, ["y", *cols], "k").toPandas()
+    for c in cols:
+        some = z.dropna(subset=["y", c])
+        assert got[c] == pytest.approx(plain_information(some[c].to_numpy(), some["y"].to_numpy(), 4), abs=1e-9), c
+    with pytest.raises(ValueError):
+        N.neighbour_information(df.limit(3), "y", ["a"], "k", 4)
+
+
+def test_digamma(spark):
+    from tidemark.operators.neighbours import EULER, digamma
+
+    got = [r[0] for r in spark.range(1, 200).orderBy("id").select(digamma(F.col("id"))).collect()]
+    assert np.allclose(got, -EULER + np.concatenate([[0.0], np.cumsum(1 / np.arange(1, 199))]), atol=1e-13)
+
+
+def test_factorisation_against_numpy(spark):
+    rng = np.random.default_rng(3)
+    x = np.maximum(rng.random((120, 2)) @ rng.random((2, 6)) + 0.02 * rng.normal(size=(120, 6)), 0)
+    df = spark.createDataFrame([(float(i), *map(float, r)) for i, r in enumerate(x)], "i double, " + ", ".join(f"f{j} double" for j in range(6))).repartition(3)
+    cols = [f"f{j}" for j in range(6)]
+    h = M.fit_nmf(df, cols, 2, rounds=150, steps=20)
+    w, a, b = np.ones((120, 2)), x @ h.T, h @ h.T
+    for _ in range(2_000):
+        w = w * a / (w @ b + 1e-12)
+    u, s, v = np.linalg.svd(x, full_matrices=False)
+    best = np.linalg.norm(x - (u[:, :2] * s[:2]) @ v[:2])
+    assert (h >= 0).all() and np.linalg.norm(x - w @ h) < 1.05 * best
+    assert np.allclose(np.linalg.norm(w, axis=0), np.linalg.norm(h, axis=1), rtol=1e-2)  # the size is split evenly
+    with pytest.raises(ValueError):
+        M.fit_nmf(df.withColumn("f0", F.lit(-1.0)), cols, 2)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest,
@@ -13,7 +16,6 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.recommendation import ALS
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,8 +24,8 @@ from tidemark import rules
 from tidemark.functions import columns as C
 from tidemark.functions import vectors as V
 from tidemark.operators.evaluate import class_scores, confusion_matrix
-from tidemark.operators.ordering import ordered_rank
 from tidemark.operators.scoring import assemble
+from tidemark.session import importable
 from tidemark.sources.lineage import settle
 
 SEED = 42
@@ -370,17 +372,62 @@ def rank_pca(pca: dict, spark) -> DataFrame:
     return spark.createDataFrame(rows, "feature string, pca double")
 
 
-def rank_nmf(df: DataFrame, key: str, cols: Sequence[str], rank: int = 5) -> DataFrame:
-    """Norm of non-negative item factors of the (row, feature) matrix."""
-    ids = {c: i for i, c in enumerate(cols)}
-    dense = ordered_rank(df.select(F.col(key).alias("_key"), *cols), [F.col("_key")], name="row")  # the model takes 32-bit ids
-    long = dense.select(F.col("row").cast("int").alias("row"), *[F.col(c).cast("double").alias(c) for c in cols]).unpivot(
-        ["row"], list(cols), "feature", "value")
-    item = F.create_map(*[F.lit(x) for kv in ids.items() for x in kv])[F.col("feature")]
-    model = ALS(rank=rank, maxIter=10, regParam=0.01, nonnegative=True, userCol="row", itemCol="item", ratingCol="value",
-                seed=SEED).fit(long.withColumn("item", item))
-    names = F.create_map(*[F.lit(x) for c, i in ids.items() for x in (i, c)])
-    return model.itemFactors.select(names[F.col("id")].alias("feature"), V.norm(F.col("features")).alias("nmf"))
+TINY = 1e-12
+NMF_ROUNDS, NMF_STEPS = 40, 20
+
+
+def nmf_start(cols: Sequence[str], rank: int) -> list[list[float]]:
+    """Positive start of the feature factors, from a hash of factor and column."""
+    return [[0.1 + int(hashlib.md5(f"{i}|{c}".encode()).hexdigest()[:8], 16) / 2 ** 32 for c in cols] for i in range(rank)]
+
+
+def fit_nmf(df: DataFrame, cols: Sequence[str], rank: int = 5, rounds: int = NMF_ROUNDS, steps: int = NMF_STEPS) -> np.ndarray:
+    """Feature factors (rank x columns) of a non-negative factorisation by multiplicative updates.
+
+    For given feature factors the factors of a row depend on this row alone, so they are found by ``steps`` updates
+    in the pass that needs them and never stored; there are no row ids. What a round brings back are two Gram sums
+    of rank x columns and rank x rank numbers, added up in the tasks; the feature factors then take ``steps``
+    updates. Each factor's size is split evenly between its two sides. Nulls count 0; negative values are refused.
+    """
+    importable(df.sparkSession)
+    data = settle(df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in cols]))
+    low = data.agg(F.min(F.least(*cols) if len(cols) > 1 else F.col(cols[0]))).first()[0]
+    if low is None or low < 0:
+        raise ValueError("the factorisation needs rows, and no negative values")
+    h = np.array(nmf_start(cols, rank))
+    for _ in range(rounds):
+        p, g = _nmf_sums(data, h, steps)
+        for _ in range(steps):
+            h = h * p / (g @ h + TINY)
+    sizes = np.sqrt(np.sqrt(np.diag(g)) / np.maximum(np.linalg.norm(h, axis=1), TINY))
+    return h * sizes[:, None]
+
+
+def _nmf_sums(data: DataFrame, h: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
+    k, m = h.shape
+    square = h @ h.T
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(k * (m + k))
+        for b in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], axis=1)
+            a, w = x @ h.T, np.ones((len(x), k))
+            for _ in range(steps):
+                w = w * a / (w @ square + TINY)
+            total += np.concatenate([(w.T @ x).ravel(), (w.T @ w).ravel()])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["cell", "value"])
+
+    got = data.mapInArrow(sums, "cell long, value double").groupBy("cell").agg(F.sum("value").alias("value")).collect()
+    out = np.zeros(k * (m + k))
+    for r in got:
+        out[r["cell"]] = r["value"]
+    return out[: k * m].reshape(k, m), out[k * m:].reshape(k, k)
+
+
+def rank_nmf(df: DataFrame, cols: Sequence[str], rank: int = 5) -> DataFrame:
+    """Euclidean norm of every feature's column of the feature factors."""
+    norms = np.linalg.norm(fit_nmf(df, cols, rank), axis=0)
+    return df.sparkSession.createDataFrame([(c, float(v)) for c, v in zip(cols, norms)], "feature string, nmf double")
 
 
 def hybrid_rank(scores: DataFrame, weights: Mapping[str, float] = rules.RANK_WEIGHTS) -> DataFrame:

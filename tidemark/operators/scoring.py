@@ -46,14 +46,21 @@ def assemble(df: DataFrame, cols: Sequence[str], out: str = "features") -> DataF
 
 def fit_pca(df: DataFrame, cols: Sequence[str], k: int = 5,
             weights: Mapping[str, float] = rules.FEATURE_WEIGHTS) -> dict:
-    """Means, sign-corrected loadings per component and explained shares (all column-sized)."""
+    """Means, loadings per component and explained shares (all column-sized).
+
+    The first component points to positively weighted features; the sign of each further one is that of its first
+    loading of at least half the largest size, so results do not depend on the solver.
+    """
     model = PCA(k=min(k, len(cols)), inputCol="features", outputCol="pcs").fit(assemble(df, cols))
-    pc = model.pc.toArray()
+    pc = model.pc.toArray().copy()
     means = df.agg(*[F.avg(F.coalesce(F.col(c), F.lit(0.0))).alias(c) for c in cols]).first().asDict()
     positive = [i for i, c in enumerate(cols) if weights.get(c, 1.0) > 0]
     sign = 1.0 if pc[positive, 0].sum() >= 0 else -1.0
+    for j in range(pc.shape[1]):
+        size = abs(pc[:, j])
+        pc[:, j] *= sign if j == 0 else 1.0 if pc[(size >= size.max() / 2).argmax(), j] >= 0 else -1.0
     return {"columns": list(cols), "means": [means[c] for c in cols], "sign": sign,
-            "loadings": [(pc[:, j] * (sign if j == 0 else 1.0)).tolist() for j in range(pc.shape[1])],
+            "loadings": [pc[:, j].tolist() for j in range(pc.shape[1])],
             "explained": model.explainedVariance.toArray().tolist()}
 
 

@@ -9,10 +9,12 @@ from tidemark.functions import vectors as V
 from tidemark.operators import bands as B
 from tidemark.operators import fundfeatures as X
 from tidemark.operators import ml as M
+from tidemark.operators import neighbours as N
 from tidemark.operators import panel as PN
 from tidemark.operators import scoring as S
 from tidemark.operators import stats as T
 from tidemark.plans import adapters as A
+from tidemark.plans.matrix_sql import factor_sql, information_sql
 from tidemark.plans.q_cleaning import scratch
 from tidemark.plans.q_funds import built, fund_features, stored_metrics
 from tidemark.plans.q_models import P, bank_features
@@ -229,14 +231,27 @@ def _(t):
 
 
 # --- ranking ----------------------------------------------------------------
-@query("ml_rank_pca")
-def _(t):
+common("rank_pca", f"SELECT {RF!r}[i] AS feature, sum(share * abs(load[i])) AS pca FROM risk_axes, (SELECT unnest(range(1, 16)) AS i) WHERE k <= 8 GROUP BY 1", ["risk_axes"])
+
+
+def pca_ranks(t):
     return M.rank_pca(S.fit_pca(bank_features(t), RF, 8), t.spark)
 
 
-@query("ml_rank_nmf")
+@query("ml_rank_pca", "SELECT feature, round(pca, 6) AS pca FROM rank_pca", ["rank_pca"])
+def _(t):
+    return rnd(pca_ranks(t), ["pca"])
+
+
+common("rank_factors", factor_sql("risk_rows", M.nmf_start(RF, 5), M.NMF_ROUNDS, M.NMF_STEPS, M.TINY), ["risk_rows"])
+common("rank_nmf", f"""
+SELECT {RF!r}[j + 1] AS feature, sqrt(list_sum([(h[i * 15 + j + 1] ** 2) * sqrt(g[i * 6 + 1]) / sqrt(list_sum([y ** 2 for y in h[i * 15 + 1: i * 15 + 15]])) for i in range(5)])) AS nmf
+FROM rank_factors, (SELECT unnest(range(15)) AS j)""", ["rank_factors"])
+
+
+@query("ml_rank_nmf", "SELECT feature, round(nmf, 5) AS nmf FROM rank_nmf", ["rank_nmf"])
 def _(t):
-    return M.rank_nmf(labelled(t), "key", RF)
+    return rnd(M.rank_nmf(bank_features(t), RF), ["nmf"], 5)
 
 
 def _rank(c):
@@ -262,24 +277,41 @@ SELECT '{c}' AS feature, sum(n / t * ln(n * t / (nx * ny))) AS mi FROM (SELECT n
 SELECT {_code(c)} AS x, {_code('f2')} AS y, count(*)::DOUBLE AS n FROM features, mi_cuts GROUP BY 1, 2))""" for c in FX), ["features", "mi_cuts"])
 
 
-@query("ml_rank_mutual_information", "SELECT feature, round(mi, 6) AS mi FROM mis", ["mis"])
+@query("ml_rank_binned_information", "SELECT feature, round(mi, 6) AS mi FROM mis", ["mis"])
 def _(t):
     return rnd(T.mutual_information(A.features(t), "f2", FX), ["mi"])
 
 
-common("rawrank", "SELECT s.feature, s.spearman, m.mi, CASE s.feature " + " ".join(f"WHEN '{c}' THEN (SELECT stddev_samp({c}) / avg({c}) FROM features)" for c in FX) + " END AS pca, CASE s.feature "
-       + " ".join(f"WHEN '{c}' THEN (SELECT avg({c}) / max({c}) FROM features)" for c in FX) + " END AS nmf FROM spear s JOIN mis m ON s.feature = m.feature", ["spear", "mis", "features"])
+# The fifteen features against the weighted score, as the ranking uses them.
+_weighted = " + ".join(f"({w}) * {c}" for c, w in rules.FEATURE_WEIGHTS.items())
+# Nine decimals: values that tie but for the order of their sums tie in both.
+common("scored_rows", f"SELECT *, {_weighted} AS risk_score FROM (SELECT Customer_ID, {', '.join(f'round({c}, 9) AS {c}' for c in RF)} FROM bank_features)", ["bank_features"])
+common("rank_mi", information_sql("scored_rows", "Customer_ID", "risk_score", RF, 5, N.JITTER, N.HAIR), ["scored_rows"])
+common("rank_rho", " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, abs(corr(a, b)) AS spearman FROM (SELECT {_rank(c)} AS a, {_rank('risk_score')} AS b FROM scored_rows)" for c in RF), ["scored_rows"])
+
+
+def scored_rows(t):
+    return S.risk_score_weighted(rnd(bank_features(t), RF, 9))
+
+
+@query("ml_rank_mutual_information", "SELECT feature, round(mi, 6) AS mi FROM rank_mi", ["rank_mi"])
+def _(t):
+    return rnd(N.neighbour_information(scored_rows(t), "risk_score", RF, "Customer_ID"), ["mi"])
+
+
+common("rawrank", "SELECT * FROM rank_pca JOIN rank_nmf USING (feature) JOIN rank_mi USING (feature) JOIN rank_rho USING (feature)",
+       ["rank_pca", "rank_nmf", "rank_mi", "rank_rho"])
 _nm = {c: f"CASE WHEN max({c}) OVER () - min({c}) OVER () < 1e-12 THEN 0.5 ELSE ({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ()) END" for c in rules.RANK_WEIGHTS}
 
 
-@query("ml_hybrid_rank", "SELECT feature, round(hybrid, 6) AS hybrid, CAST(row_number() OVER (ORDER BY hybrid DESC, feature) AS INTEGER) AS place FROM (SELECT feature, "
+@query("ml_hybrid_rank", "SELECT feature, round(hybrid, 5) AS hybrid, CAST(row_number() OVER (ORDER BY hybrid DESC, feature) AS INTEGER) AS place FROM (SELECT feature, "
        + " + ".join(f"{w} * {_nm[c]}" for c, w in rules.RANK_WEIGHTS.items()) + " AS hybrid FROM rawrank)", ["rawrank"])
 def _(t):
-    f = A.features(t)
-    raw = T.spearman_with(f, "f2", FX, "key").join(T.mutual_information(f, "f2", FX), "feature")
-    wide = f.agg(*[x for c in FX for x in ((F.stddev_samp(c) / F.avg(c)).alias(f"{c}__p"), (F.avg(c) / F.max(c)).alias(f"{c}__n"))])
-    more = T.stacked(wide, [{"feature": F.lit(c), "pca": F.col(f"{c}__p"), "nmf": F.col(f"{c}__n")} for c in FX])
-    return rnd(M.hybrid_rank(raw.join(more, "feature")), ["hybrid"]).select("feature", "hybrid", "place")
+    f = scored_rows(t)
+    raw = (pca_ranks(t).join(M.rank_nmf(bank_features(t), RF), "feature").join(N.neighbour_information(f, "risk_score", RF, "Customer_ID"), "feature")
+           .join(T.spearman_with(f, "risk_score", RF, "Customer_ID"), "feature"))
+    return rnd(M.hybrid_rank(raw), ["hybrid"], 5).select("feature", "hybrid", "place")
 
 
 @query("ml_lr_sign_alignment")

@@ -11,6 +11,7 @@ from tidemark.operators import evaluate as E
 from tidemark.operators import scoring as S
 from tidemark.operators import stats as T
 from tidemark.plans import adapters as A
+from tidemark.plans.matrix_sql import eigen_sql
 from tidemark.plans.registry import common, query, shared
 from tidemark.sources.lineage import settle
 
@@ -45,22 +46,44 @@ def _(t):
     return rnd(S.risk_matrix(bank_features(t)), [*_dims, "composite"]).select("Customer_ID", *_dims, "composite")
 
 
-@query("rc_risk_score_pca")
+RF = rules.RISK_FEATURES
+common("risk_rows", "SELECT Customer_ID, [" + ", ".join(f"coalesce({c}, 0)::DOUBLE" for c in RF) + "] AS x FROM bank_features", ["bank_features"])
+common("risk_cov", "SELECT [" + ", ".join(f"covar_samp(x[{i + 1}], x[{j + 1}])" for i in range(15) for j in range(15)) + "] AS a FROM risk_rows", ["risk_rows"])
+common("risk_eigen", eigen_sql("risk_cov", 15), ["risk_cov"])
+_positive = [i + 1 for i, c in enumerate(RF) if rules.FEATURE_WEIGHTS[c] > 0]
+common("risk_axes", f"""
+SELECT k, share, [v * CASE WHEN k = 1 THEN CASE WHEN {' + '.join(f'load[{i}]' for i in _positive)} >= 0 THEN 1 ELSE -1 END
+  WHEN list_filter(load, lambda u: abs(u) >= list_max([abs(y) for y in load]) / 2)[1] >= 0 THEN 1 ELSE -1 END for v in load] AS load
+FROM (SELECT row_number() OVER (ORDER BY lam DESC) AS k, lam / sum(lam) OVER () AS share, load FROM risk_eigen)""", ["risk_eigen"])
+common("risk_pca", """
+SELECT Customer_ID, list_sum([(x[i] - m[i]) * load[i] for i in range(1, 16)]) AS risk_score FROM risk_rows,
+ (SELECT load FROM risk_axes WHERE k = 1), (SELECT [""" + ", ".join(f"avg(x[{i + 1}])" for i in range(15)) + "] AS m FROM risk_rows)", ["risk_rows", "risk_axes"])
+
+
+@query("rc_risk_score_pca", "SELECT Customer_ID, round(risk_score, 6) AS risk_score FROM risk_pca", ["risk_pca"])
 def _(t):
     f = bank_features(t)
-    return S.risk_score_pca(f, S.fit_pca(f, rules.RISK_FEATURES)).select("Customer_ID", "risk_score")
+    return rnd(S.risk_score_pca(f, S.fit_pca(f, RF)), ["risk_score"]).select("Customer_ID", "risk_score")
+
+
+_label = " + ".join(f"(risk_score > q[{i + 1}])::INT" for i in range(4))
 
 
-@query("rc_assign_risk_label")
+@query("rc_assign_risk_label", f"""
+SELECT Customer_ID, round(risk_score, 6) AS risk_score, {_label} AS tier_ord, {list(rules.TIERS)!r}[{_label} + 1] AS risk_label
+FROM risk_pca, (SELECT quantile_cont(risk_score, {list(rules.LABEL_QUANTILES)}) AS q FROM risk_pca)""", ["risk_pca"])
 def _(t):
     f = bank_features(t)
-    return S.assign_risk_label(f, S.fit_pca(f, rules.RISK_FEATURES)).select("Customer_ID", "risk_score", "tier_ord", "risk_label")
+    return rnd(S.assign_risk_label(f, S.fit_pca(f, RF)), ["risk_score"]).select("Customer_ID", "risk_score", "tier_ord", "risk_label")
 
 
-@query("ml_pca_summary")
+@query("ml_pca_summary", f"""
+SELECT k::INT AS component, {RF!r}[i] AS feature, round(load[i], 5) AS loading, round(share, 6) AS explained,
+  round((SELECT sum(share) FROM risk_axes b WHERE b.k <= a.k), 6) AS cumulative
+FROM risk_axes a, (SELECT unnest(range(1, 16)) AS i) WHERE k <= 5""", ["risk_axes"])
 def _(t):
     f = bank_features(t)
-    return S.pca_summary(f, S.fit_pca(f, rules.RISK_FEATURES))
+    return rnd(rnd(S.pca_summary(f, S.fit_pca(f, RF)), ["loading"], 5), ["explained", "cumulative"])
 
 
 _hash = "(('0x' || substr(md5({k}::VARCHAR || '|{s}'), 1, 8))::BIGINT % 10000)"

@@ -78,6 +78,8 @@ def with_common(names, body: str) -> str:
     if not ordered:
         return body
     parts = [f"{n} AS (\n{COMMON[n][1].strip()}\n)" for n in ordered]
+    if body.upper().startswith("WITH RECURSIVE "):
+        return "WITH RECURSIVE " + ",\n".join(parts) + ",\n" + body[len("WITH RECURSIVE "):]
     if body.upper().startswith("WITH "):
         return "WITH " + ",\n".join(parts) + ",\n" + body[5:]
     return "WITH " + ",\n".join(parts) + "\n" + body
