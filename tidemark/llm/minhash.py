@@ -12,9 +12,10 @@ representatives to buckets. A bucket's smallest member meets all others; then me
 still in different components meet each other, in blocks. Every link is verified by exact multiset overlap.
 
 Defined results: words are separated by ASCII white space and compared byte for byte; texts of one to four words
-have one shingle of all of them; null, empty and blank texts form one class (their multisets are equal); rows that
-repeat an id and text count as one document; rows without an id belong to the class of their equal texts and link
-no further; empty tables give empty results; columns other than key and text are not read.
+have one shingle of all of them; null, empty and blank texts form one class (their multisets are equal); rows are
+told apart by their multisets' 128-bit digests, not by id, so rows that repeat an id or have none link like others;
+a class without any id has a null class_id; ``near_duplicates`` marks every row that has its class's id as kept,
+``one_of_each`` keeps one row; empty tables give empty results; columns other than key and text are not read.
 """
 
 from __future__ import annotations
@@ -165,15 +166,21 @@ def text_slices(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, int,
         a = b
 
 
+EQUAL = ["n_shingles", "equal_a", "equal_b"]  # what tells multisets apart
+EQUAL_TYPES = ", ".join(f"{c} long" for c in EQUAL)
+
+
+def multiset_keys(shingles: np.ndarray, at: np.ndarray) -> list[pa.Array]:
+    """Size and 128-bit digest of each multiset."""
+    sums = [np.concatenate([np.zeros(1, U), np.cumsum(mix(shingles + U(k)), dtype=U)]) for k in (1, 2)]
+    return [pa.array(np.diff(at).astype(np.int64)), *(pa.array((s[at[1:]] - s[at[:-1]]).view(np.int64)) for s in sums)]
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size = BANDS * ROWS
     for batch in batches:
-        ids = batch.column("doc_id")
         for a, b, data, bounds in text_slices(batch, "text"):
             shingles, at = shingle_hashes(data, bounds)
-            n = np.diff(at)
-            sums = [np.concatenate([np.zeros(1, U), np.cumsum(mix(shingles + U(k)), dtype=U)]) for k in (1, 2)]
-            equal = [(s[at[1:]] - s[at[:-1]]).view(np.int64) for s in sums]
             bits = signatures(shingles, at, size).view(U).reshape(b - a, BANDS, ROWS)
             band = np.zeros((b - a, BANDS), dtype=U)
             for k in range(ROWS):
@@ -185,9 +192,9 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (b - a + 1) * BANDS, BANDS, dtype=np.int32)),
                                              pa.array(band.reshape(-1).view(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [ids.slice(a, b - a), pa.array(n.astype(np.int64)), pa.array(equal[0]), pa.array(equal[1]), lists,
+                [*(batch.column(c).slice(a, b - a) for c in ("doc_id", "text_key")), *multiset_keys(shingles, at), lists,
                  *(pa.array(np.ascontiguousarray(brief[:, k])) for k in range(SKETCH))],
-                names=["doc_id", "n_shingles", "equal_a", "equal_b", "bands", *BITS])
+                names=["doc_id", "text_key", *EQUAL, "bands", *BITS])
 
 
 def _multisets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,9 +202,8 @@ def _multisets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b, data, bounds in text_slices(batch, "text"):
             shingles, at = shingle_hashes(data, bounds)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(a, b - a),
-                 pa.array([shingles[i:j].tobytes() for i, j in zip(at[:-1], at[1:])], pa.binary())],
-                names=["doc_id", "shingles"])
+                [*multiset_keys(shingles, at), pa.array([shingles[i:j].tobytes() for i, j in zip(at[:-1], at[1:])], pa.binary())],
+                names=[*EQUAL, "shingles"])
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> float:
@@ -230,17 +236,25 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.select(["a", "b"]).filter(pa.array(same, pa.bool_()))
 
 
-def verified(near: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of class representatives whose multisets overlap enough."""
-    ids = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.join(ids, "doc_id", "left_semi")
-    sets = settle(texts.mapInArrow(_multisets, "doc_id long, shingles binary").dropDuplicates(["doc_id"]))
+def multisets(wanted: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
+    """(class_no, shingles) of the classes in ``wanted``, from the text of one row of each."""
+    named = classes.select("class_no", *EQUAL, "rep").join(wanted.select("class_no").distinct(), "class_no", "left_semi")
+    reps = named.select(F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_key").alias("rep_key"))
+    texts = rows.join(reps, F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("text_key") == F.col("rep_key")), "left_semi")
+    sets = texts.select("text").mapInArrow(_multisets, f"{EQUAL_TYPES}, shingles binary")
+    return named.select("class_no", *EQUAL).join(sets.dropDuplicates(EQUAL), EQUAL).select("class_no", "shingles")
+
+
+def verified(near: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes whose multisets overlap enough."""
+    sets = settle(multisets(near.select(F.explode(F.array("a", "b")).alias("class_no")), classes, rows))
     return near.join(sets.toDF("a", "shingles_a"), "a").join(sets.toDF("b", "shingles_b"), "b") \
         .select("a", "b", "shingles_a", "shingles_b").mapInArrow(_verify, "a long, b long")
 
 
 TASK = ["band", "hash", "i", "j", "kind"]
-COLUMNS = ["side", "doc_id", "component", "n_shingles", *BITS]
+COLUMNS = ["side", "class_no", "component", "n_shingles", *BITS]
+MEETING_ROWS = 2 * BLOCK  # rows that share a task's group
 
 
 def meetings(pdf: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -307,7 +321,7 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
 def _cross(pdf: pd.DataFrame) -> pd.DataFrame:
     """One link for each pair of components that members of the two sides of a meeting join."""
     sets = [np.frombuffer(b, dtype=U) for b in pdf["shingles"]]
-    ids, component = pdf["doc_id"].to_numpy(), pdf["component"].to_numpy()
+    ids, component = pdf["class_no"].to_numpy(), pdf["component"].to_numpy()
     out = [pd.DataFrame({"a": [], "b": []}, dtype="int64")]
     for x, y, ok in meetings(pdf):
         if ok.sum() > 500:
@@ -319,22 +333,24 @@ def _cross(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(out)
 
 
-def cross_links(members: DataFrame, part: DataFrame, docs: DataFrame) -> DataFrame:
+def cross_links(members: DataFrame, part: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
     """Links between members of one bucket that the first links leave in different components.
 
     Members outside the component of the bucket's smallest one meet those inside and each other, in blocks that
-    are compared within a task; what comes out is one link for each pair of components and block.
+    are compared within a task; what comes out is one link for each pair of components and block. Sketches and
+    bands join only the rows that meet.
     """
     bucket = ["band", "hash"]
-    named = members.join(part, F.col("doc_id") == F.col("id"), "left").withColumn("component", F.coalesce("component", "doc_id")).drop("id")
+    named = members.join(part, F.col("class_no") == F.col("id"), "left").withColumn("component", F.coalesce("component", "class_no")).drop("id")
     home = part.select(F.col("id").alias("low_id"), F.col("component").alias("home"))
     named = named.join(home, F.col("low") == F.col("low_id"), "left") \
         .withColumn("outside", (F.col("component") != F.coalesce("home", "low")).cast("int"))
     sizes = named.groupBy(*bucket).agg(F.sum("outside").alias("n_out"), F.sum(1 - F.col("outside")).alias("n_in")).filter("n_out > 0")
-    blocks = sizes.select(*bucket, *(F.greatest(F.lit(1), F.ceil(F.col(n) / F.lit(BLOCK))).cast("int").alias(c)
-                                     for n, c in (("n_out", "outs"), ("n_in", "ins"))))
-    mixed = named.select("doc_id", "component", "n_shingles", *BITS, "bands", *bucket, "outside").join(blocks, bucket) \
-        .withColumn("block", F.pmod(F.xxhash64("doc_id"), F.when(F.col("outside") == 1, F.col("outs")).otherwise(F.col("ins"))).cast("int"))
+    blocks = settle(sizes.select(*bucket, "n_out", "n_in", *(
+        F.greatest(F.lit(1), F.ceil(F.col(n) / F.lit(BLOCK))).cast("int").alias(c) for n, c in (("n_out", "outs"), ("n_in", "ins")))))
+    n_dealt = blocks.agg(F.sum(F.col("n_out") * (F.col("ins") + F.col("outs") + 1) + F.col("n_in") * F.col("outs"))).first()[0] or 0
+    mixed = named.select("class_no", "component", *bucket, "outside").join(blocks.drop("n_out", "n_in"), bucket) \
+        .withColumn("block", F.pmod(F.xxhash64("class_no"), F.when(F.col("outside") == 1, F.col("outs")).otherwise(F.col("ins"))).cast("int"))
     out_blocks, in_blocks = F.sequence(F.lit(0), F.col("outs") - 1), F.sequence(F.lit(0), F.col("ins") - 1)
     # A task compares side 0 with side 1: block i outside with block j inside, or blocks i <= j outside.
     place = lambda x, y, kind, side: F.struct(x.alias("i"), y.alias("j"), F.lit(kind).alias("kind"), F.lit(side).alias("side"))
@@ -345,37 +361,62 @@ def cross_links(members: DataFrame, part: DataFrame, docs: DataFrame) -> DataFra
         F.transform(F.filter(out_blocks, lambda i: i <= me), lambda i: place(i, me, 1, 1)))
     inside = F.transform(out_blocks, lambda i: place(i, me, 0, 1))
     dealt = mixed.withColumn("to", F.explode(F.when(F.col("outside") == 1, outside).otherwise(inside))).select(
-        "doc_id", "component", "n_shingles", *BITS, "bands", *bucket, "to.*")
-    # Many small meetings share a task's group; a large one is a block of each side.
-    groups = 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.withColumn("deal", F.pmod(F.xxhash64(*TASK), F.lit(groups)))
+        "class_no", "component", *bucket, "to.*")
+    # Small meetings share a task's group, as many groups as the counted rows ask for; a large one is a block of each side.
+    dealt = dealt.withColumn("deal", F.pmod(F.xxhash64(*TASK), F.lit(int(n_dealt) // MEETING_ROWS + 1)))
+    dealt = dealt.join(classes.select("class_no", "n_shingles", *BITS, "bands"), "class_no")
     hopeful = settle(dealt.groupBy("deal").applyInPandas(_hopeful, dealt.schema))
-    ids = hopeful.select("doc_id").distinct()
-    sets = docs.join(ids, "doc_id", "left_semi").mapInArrow(_multisets, "doc_id long, shingles binary").dropDuplicates(["doc_id"])
-    return hopeful.join(sets, "doc_id").groupBy("deal").applyInPandas(_cross, "a long, b long").distinct()
+    return hopeful.join(multisets(hopeful, classes, rows), "class_no").groupBy("deal").applyInPandas(_cross, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, class_id (smallest id of its class), n_shingles, kept."""
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    signed = settle(rows.mapInArrow(_sign, "doc_id long, n_shingles long, equal_a long, equal_b long, bands array<long>, "
+def _grouped(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Signed rows, and (multiset key, group, class_id) of every class of equal multisets.
+
+    Only (class, band, hash) goes through the shuffle on buckets: 24 short rows a class.
+    """
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("text_key"), F.col(text).alias("text"))
+    signed = settle(rows.mapInArrow(_sign, f"doc_id long, text_key long, {EQUAL_TYPES}, bands array<long>, "
                                     + ", ".join(f"{c} long" for c in BITS)))
-    equal = ["n_shingles", "equal_a", "equal_b"]
-    classes = settle(signed.groupBy(*equal).agg(F.min("doc_id").alias("leader")))
-    first = signed.filter("n_shingles > 0").join(classes.select("leader").distinct(), F.col("doc_id") == F.col("leader"), "left_semi") \
-        .dropDuplicates(["doc_id"])
+    rep = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_key")
+    classes = settle(signed.groupBy(*EQUAL).agg(F.min(rep).alias("rep"), *(F.first(c).alias(c) for c in ("bands", *BITS)))
+                     .withColumn("class_no", F.monotonically_increasing_id()))
     bucket = ["band", "hash"]
-    dealt = settle(first.select("doc_id", "n_shingles", *BITS, "bands", F.posexplode("bands").alias(*bucket)))
-    groups = dealt.groupBy(*bucket).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high")
-    members = settle(dealt.join(groups.select(*bucket, "low"), bucket))
-    texts = rows.filter(F.col("doc_id").isNotNull())
-    met = members.filter("doc_id <> low").alias("x").join(members.filter("doc_id = low").alias("y"), bucket)
-    tried = settle(met.filter(_may_link("x", "y")).select(F.col("y.doc_id").alias("a"), F.col("x.doc_id").alias("b")).distinct())
-    links = settle(verified(tried, texts))
+    dealt = classes.filter("n_shingles > 0").select("class_no", F.posexplode("bands").alias(*bucket))
+    shared = dealt.groupBy(*bucket).agg(F.min("class_no").alias("low"), F.max("class_no").alias("high")).filter("low < high")
+    members = settle(dealt.join(shared.select(*bucket, "low"), bucket))
+    sketch = classes.select("class_no", "n_shingles", *BITS)
+    met = members.filter("class_no <> low").select(F.col("low").alias("a"), F.col("class_no").alias("b")).distinct() \
+        .join(sketch.alias("x"), F.col("b") == F.col("x.class_no")).join(sketch.alias("y"), F.col("a") == F.col("y.class_no"))
+    tried = settle(met.filter(_may_link("x", "y")).select("a", "b"))
+    links = settle(verified(tried, classes, rows))
     part = settle(components(links))
-    more = settle(cross_links(members, part, texts))
-    part = components(links.unionAll(more))
-    named = classes.join(part, F.col("leader") == F.col("id"), "left") \
-        .select(*equal, F.coalesce("component", "leader").alias("class_id"))
-    return signed.join(named, equal).select(
+    more = settle(cross_links(members, part, classes, rows))
+    part = settle(components(links.unionAll(more)))
+    # Unlinked classes are groups of their own; only linked ones look for the smallest id of their group.
+    leader = classes.select("class_no", F.col("rep.doc_id").alias("leader"))
+    least = part.join(leader, F.col("id") == F.col("class_no")).groupBy("component").agg(F.min("leader").alias("least"))
+    linked = part.join(least, "component").select("id", "component", "least")
+    named = classes.select(*EQUAL, "class_no", F.col("rep.doc_id").alias("leader")).join(linked, F.col("class_no") == F.col("id"), "left") \
+        .select(*EQUAL, F.coalesce("component", "class_no").alias("group"), F.when(F.col("id").isNull(), F.col("leader")).otherwise(F.col("least")).alias("class_id"))
+    return signed, named
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per row of ``docs``: doc_id, class_id (smallest id of its class), n_shingles, kept."""
+    signed, named = _grouped(docs, key, text)
+    return signed.select("doc_id", *EQUAL).join(named, EQUAL).select(
         "doc_id", "class_id", "n_shingles", (F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of ``docs``, all its columns, for each class: the one with the smallest id, null last."""
+    signed, named = _grouped(docs, key, text)
+    rows = signed.groupBy(*EQUAL, "doc_id", "text_key").agg(F.count(F.lit(1)).alias("n"))
+    pick = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_key", "n")).alias("pick")
+    picked = settle(rows.join(named, EQUAL).groupBy("group").agg(pick).select("pick.*"))
+    here = F.col(f"`{key}`").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(f"`{text}`")) == F.col("_text_key"))
+
+    def rows_of(some: str) -> DataFrame:
+        return docs.join(picked.filter(some).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_text_key")), here, "left_semi")
+
+    return rows_of("n = 1").unionAll(rows_of("n > 1").dropDuplicates([key, text]))
