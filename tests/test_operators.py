@@ -347,16 +347,33 @@ def test_ttl_stream_marks_what_the_batch_marks(spark, tmp_path):
     assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
 
 
-def test_kde_blocks_agree_with_brute_force(spark):
-    rnd = np.random.default_rng(4)
-    x, y = rnd.random((60, 2)), rnd.integers(0, 2, 60)
-    df = spark.createDataFrame([(float(a), float(b), int(c)) for (a, b), c in zip(x, y)], "a double, b double, c int")
-    got = {(r["a"], r["b"], r["c"]): r["log_score"] for r in M.kde_scores(df, df, ["a", "b"], "c", block_rows=16).collect()}
-    for q in x[:10]:
-        for c in (0, 1):
-            d = ((x[y == c] - q) ** 2).sum(1)
-            want = np.log(np.exp(-d / (2 * 0.25 ** 2)).sum()) - np.log((y == c).sum()) - 2 * np.log(0.25) - np.log(2 * np.pi) + np.log((y == c).mean())
-            assert abs(got[(q[0], q[1], c)] - want) < 1e-9
+def test_kernel_scores_equal_full_sums(spark):
+    """Every row is a query; log scores equal the full sums, and clustered data need few of the kernels."""
+    from tidemark.operators import density as KD
+
+    rng = np.random.default_rng(4)
+    centres = rng.random((12, 4)) * 9
+    x = centres[rng.integers(0, 12, 1500)] + 0.05 * rng.normal(size=(1500, 4))
+    rows = [(i, int(i % 3) if i % 50 else None, *map(float, v)) for i, v in enumerate(x)]
+    rows += [(5000, 1, None, 0.0, 0.0, 0.0), (5001, None, 9.0, 9.0, 9.0, 9.0), rows[7]]
+    df = spark.createDataFrame(rows, "k long, c int, x0 double, x1 double, x2 double, x3 double").repartition(3)
+    cols = ["x0", "x1", "x2", "x3"]
+    got = KD.kernel_scores(df, KD.kernel_trees(df, cols, "c", "k"), cols, 0.2).collect()
+    assert len(got) == len(rows) and df.columns == list(got[0].asDict())[:6]
+    points = {c: np.array([[v or 0.0 for v in r[2:]] for r in rows if r[1] == c]) for c in range(3)}
+    n = sum(map(len, points.values()))
+    for r in got:
+        q = np.array([r[c] or 0.0 for c in cols])
+        want = []
+        for c in range(3):
+            e = -((points[c] - q) ** 2).sum(axis=1) / 0.08
+            want.append(e.max() + np.log(np.exp(e - e.max()).sum()) - 4 * math.log(0.2) - 2 * math.log(2 * math.pi) + math.log(1 / n))
+        assert np.allclose(r.log_scores, want, atol=1e-6) and r.predicted == int(np.argmax(want))
+    assert np.mean([r.kernels for r in got]) < 0.5 * n
+    few = KD.kernel_trees(df, cols, "c", "k", support=60)
+    assert sum(len(t.points) for _, t in few.values()) <= 60 and len(few) == 3
+    none = KD.kernel_scores(df, {}, cols).select("predicted", F.size("log_scores")).distinct().collect()
+    assert [tuple(r) for r in none] == [(None, 0)]
 
 
 def test_epsilon_bands(spark):
@@ -443,3 +460,58 @@ def test_factorisation_against_numpy(spark):
     assert np.allclose(np.linalg.norm(w, axis=0), np.linalg.norm(h, axis=1), rtol=1e-2)  # the size is split evenly
     with pytest.raises(ValueError):
         M.fit_nmf(df.withColumn("f0", F.lit(-1.0)), cols, 2)
+
+
+def plain_silhouette(x, own):
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    out = []
+    for i, c in enumerate(own):
+        same = (own == c) & (np.arange(len(own)) != i)
+        b = min(d[i, own == o].mean() for o in set(own) - {c})
+        out.append(0.0 if not same.any() else (b - d[i, same].mean()) / max(d[i, same].mean(), b))
+    return np.array(out)
+
+
+def test_many_starts_equal_one_by_one(spark):
+    import hashlib
+
+    from tidemark.operators import clustering as CL
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(90, 3)) + rng.integers(0, 4, 90)[:, None] * 3.0
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
+    df = spark.createDataFrame([*rows, (900, None)], "k long, v array<double>").repartition(4)
+    runs = CL.fit_starts(df, "v", "k", [2, 4], range(6), rounds=40)
+    assert len(runs) == 12
+    for r in runs:
+        order = sorted(range(90), key=lambda i: (hashlib.md5(f"{i}|{r.number}".encode()).hexdigest(), i))
+        c = x[order[: r.k]]
+        for _ in range(40):
+            own = ((x[:, None] - c[None]) ** 2).sum(axis=2).argmin(axis=1)
+            c = np.array([x[own == j].mean(axis=0) if (own == j).any() else c[j] for j in range(r.k)])
+        cost = ((x[:, None] - c[None]) ** 2).sum(axis=2).min(axis=1).sum()
+        assert np.allclose(r.centres, c) and r.cost == pytest.approx(cost)
+    best = CL.best_start(runs, 4)
+    assert best.cost == min(r.cost for r in runs if r.k == 4)
+    got = {r.k: r.cluster for r in CL.assign_clusters(best, df, "v").collect()}
+    own = ((x[:, None] - best.centres[None]) ** 2).sum(axis=2).argmin(axis=1)
+    assert got == {**{i: int(c) for i, c in enumerate(own)}, 900: None}
+    table = {r.k: r for r in M.elbow_table(df.where("v IS NOT NULL"), "v", "k", [2, 4], range(6)).collect()}
+    assert table[4].inertia == pytest.approx(best.cost) and table[4].silhouette == pytest.approx(plain_silhouette(x, own).mean()) and table[4].error == 0
+
+
+def test_silhouette_with_all_and_with_some_references(spark):
+    from tidemark.operators import clustering as CL
+
+    rng = np.random.default_rng(6)
+    own = np.array([0] * 150 + [1] * 60 + [2])
+    x = rng.normal(size=(211, 4)) + own[:, None] * 2.0
+    df = spark.createDataFrame([(i, int(c), [float(v) for v in r]) for i, (c, r) in enumerate(zip(own, x))] + [(999, None, [0.0] * 4), (998, 1, None)],
+                               "k long, c int, v array<double>").repartition(3)
+    want = plain_silhouette(x, own)
+    exact = {r.scope: (r.silhouette, r.n, r.error) for r in CL.silhouette(df, "c", "v", "k").collect()}
+    assert exact["all"] == (pytest.approx(want.mean()), 211, 0.0) and exact["2"] == (0.0, 1, 0.0)
+    assert all(exact[str(c)][0] == pytest.approx(want[own == c].mean()) for c in (0, 1))
+    rough = {r.scope: r for r in CL.silhouette(df, "c", "v", "k", references=50).collect()}
+    assert rough["all"].n == 211 and 0 < rough["all"].error < 0.1
+    assert abs(rough["all"].silhouette - want.mean()) < 5 * rough["all"].error

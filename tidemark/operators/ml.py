@@ -12,10 +12,8 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest,
     RandomForestClassifier)
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,6 +21,7 @@ from pyspark.sql import functions as F
 from tidemark import rules
 from tidemark.functions import columns as C
 from tidemark.functions import vectors as V
+from tidemark.operators.clustering import assign_clusters, best_start, fit_starts, silhouette
 from tidemark.operators.evaluate import class_scores, confusion_matrix
 from tidemark.operators.scoring import assemble
 from tidemark.session import importable
@@ -105,50 +104,6 @@ def compare_classifiers(df: DataFrame, cols: Sequence[str], label: str, key: str
     return table.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.col("f1").desc(), "model")))
 
 
-def kde_scores(df: DataFrame, train: DataFrame, cols: Sequence[str], label: str, bandwidth: float = 0.25,
-               block_rows: int = 4_096) -> DataFrame:
-    """Exact per-class Gaussian-kernel log density plus log prior for every distinct query point.
-
-    Training rows are collapsed to weighted support points and cut into hash
-    blocks of bounded size; query points are collapsed too, replicated once per
-    block and joined on the block number, so each pair is summed inside an array
-    fold and never becomes a row.  Results keep a running log-sum-exp per block.
-    """
-    support = settle(train.groupBy(label, *cols).agg(F.count(F.lit(1)).cast("double").alias("w")))
-    n_rows = support.count()
-    blocks = max(1, math.ceil(n_rows / block_rows * 1.5))
-    priors = support.groupBy(label).agg(F.sum("w").alias("_n_class"))
-    total = support.agg(F.sum("w").alias("t")).scalar()
-    bucket = F.pmod(F.xxhash64(*cols), F.lit(blocks).cast("bigint"))
-    packed = support.withColumn("_block", bucket).groupBy("_block", label).agg(
-        F.collect_list(F.struct(F.col("w").alias("w"), F.array(*cols).alias("x"))).alias("_pts"))
-    points = df.select(*cols).distinct().withColumn("_q", F.array(*[F.col(c).cast("double") for c in cols]))
-    asked = points.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
-    h2 = 2.0 * bandwidth * bandwidth
-
-    def exponent(p: Column) -> Column:
-        gap = F.zip_with(F.col("_q"), p["x"], lambda x, y: (x - y) * (x - y))
-        return F.ln(p["w"]) - F.aggregate(gap, F.lit(0.0), lambda acc, v: acc + v) / h2
-
-    near = asked.join(packed, "_block").withColumn("_e", F.transform("_pts", exponent)).withColumn("_m", F.array_max("_e"))
-    part = near.withColumn("_s", F.aggregate(F.transform("_e", lambda v: F.exp(v - F.col("_m"))), F.lit(0.0), lambda x, v: x + v))
-    peak = part.groupBy(*cols, label).agg(F.collect_list(F.struct(
-        F.col("_m").alias("m"), F.col("_s").alias("s"))).alias("_parts"))  # one entry per block
-    peak = peak.withColumn("_top", F.array_max(F.transform("_parts", lambda x: x["m"])))
-    summed = F.aggregate("_parts", F.lit(0.0), lambda acc, x: acc + x["s"] * F.exp(x["m"] - F.col("_top")))
-    dims = len(cols)
-    const = dims * math.log(bandwidth) + dims / 2.0 * math.log(2 * math.pi)
-    out = peak.join(priors, label)
-    density = F.col("_top") + F.ln(summed) - F.ln("_n_class") - const
-    return out.select(*cols, label, (density + F.ln(F.col("_n_class") / total)).alias("log_score"))
-
-
-def kde_classify(df: DataFrame, train: DataFrame, cols: Sequence[str], label: str, **kw) -> DataFrame:
-    best = kde_scores(df, train, cols, label, **kw).groupBy(*cols).agg(
-        F.max_by(label, F.struct(F.col("log_score"), -F.col(label))).alias("predicted"))
-    return df.join(best, list(cols))
-
-
 # --- fund ensemble ----------------------------------------------------------
 
 def base_models(trees: int = 40) -> dict:
@@ -280,18 +235,6 @@ def importance_table(rows: DataFrame, top: int = 10) -> DataFrame:
 
 # --- clustering -------------------------------------------------------------
 
-def fit_kmeans(df: DataFrame, vec: str, k: int = 5, seeds: Sequence[int] = tuple(range(42, 62)), max_iter: int = 30):
-    """Best of several seeded k-means runs by training cost."""
-    data = settle(df.select(vec)).withColumn("features", array_to_vector(F.transform(F.col(vec), lambda x: x.cast("double"))))
-    fits = [KMeans(k=k, seed=s, maxIter=max_iter).fit(data) for s in seeds]
-    return min(fits, key=lambda m: m.summary.trainingCost)
-
-
-def assign_clusters(model, df: DataFrame, vec: str, out: str = "cluster") -> DataFrame:
-    data = df.withColumn("features", array_to_vector(F.transform(F.col(vec), lambda x: x.cast("double"))))
-    return model.transform(data).withColumnRenamed("prediction", out).drop("features")
-
-
 def cluster_to_label(df: DataFrame, cluster: str, label: str) -> DataFrame:
     """Majority label, purity and size per cluster (lowest label on ties)."""
     cells = df.groupBy(F.col(cluster).alias("cluster"), F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n"))
@@ -354,13 +297,15 @@ def squared_silhouette(df: DataFrame, cluster: str, vec: str) -> DataFrame:
     return per.unionByName(whole)
 
 
-def elbow_table(df: DataFrame, vec: str, ks: Sequence[int]) -> DataFrame:
-    data = settle(df.select(vec)).withColumn("features", array_to_vector(F.transform(F.col(vec), lambda x: x.cast("double"))))
+def elbow_table(df: DataFrame, vec: str, key: str, ks: Sequence[int], starts: Sequence[int] = tuple(range(20))) -> DataFrame:
+    """Least cost over all starts and the silhouette of that run, for every k; all runs share their passes."""
+    runs = fit_starts(df, vec, key, ks, starts)
     rows = []
     for k in ks:
-        m = KMeans(k=k, seed=SEED, maxIter=20).fit(data)
-        rows.append((k, float(m.summary.trainingCost), float(ClusteringEvaluator().evaluate(m.transform(data)))))
-    return df.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double")
+        best = best_start(runs, k)
+        s = silhouette(assign_clusters(best, df, vec), "cluster", vec, key).where("scope = 'all'").first()
+        rows.append((k, best.cost, s["silhouette"], s["error"]))
+    return df.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double, error double")
 
 
 # --- feature ranking --------------------------------------------------------

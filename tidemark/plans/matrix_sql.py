@@ -84,3 +84,23 @@ counts AS (
   FROM radii a JOIN points b ON a.feature = b.feature GROUP BY 1, 2)
 SELECT feature, greatest({digamma_sql('n')} + {digamma_sql(str(k))} - near, 0.0) AS mi
 FROM (SELECT feature, count(*) AS n, avg({digamma_sql('nx')} + {digamma_sql('ny')}) AS near FROM counts GROUP BY 1)"""
+
+
+def lloyd_sql(rows: str, key: str, dims: int, ks: Sequence[int], starts: int, rounds: int) -> str:
+    """Body (k, start, cost, c): flat centres of every run after ``rounds`` over the lists ``v`` of ``rows``."""
+    flat = lambda k: ", ".join(
+        f"coalesce(avg(v[{j + 1}]) FILTER (WHERE own = {i}), any_value(c)[{i * dims + j + 1}])" for i in range(k) for j in range(dims))
+    most = max(ks)
+    far = f"[list_distance(v, c[i * {dims} + 1: (i + 1) * {dims}]) for i in range(k)]"
+    return f"""
+WITH RECURSIVE firsts AS MATERIALIZED (
+  SELECT s, v, row_number() OVER (PARTITION BY s ORDER BY md5({key}::VARCHAR || '|' || s::VARCHAR), {key}) AS r
+  FROM {rows}, (SELECT unnest(range({starts})) AS s)),
+runs AS (
+  SELECT 0 AS r, k, s AS start, flatten(list(v ORDER BY f.r)) AS c FROM firsts f, (SELECT unnest({list(ks)}) AS k) WHERE f.r <= k GROUP BY k, s
+  UNION ALL
+  SELECT any_value(r) + 1, k, start, [{flat(most)}][1: k * {dims}]
+  FROM (SELECT r, k, start, c, v, list_position(d, list_min(d)) - 1 AS own FROM (SELECT *, {far} AS d FROM runs, {rows} WHERE r < {rounds}))
+  GROUP BY k, start
+)
+SELECT k, start, c, sum(list_min(d) ** 2) AS cost FROM (SELECT *, {far} AS d FROM runs, {rows} WHERE r = {rounds}) GROUP BY k, start, c"""

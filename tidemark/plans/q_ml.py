@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from tidemark import rules
 from tidemark.functions import vectors as V
 from tidemark.operators import bands as B
+from tidemark.operators import clustering as CL
+from tidemark.operators import density as KD
 from tidemark.operators import fundfeatures as X
 from tidemark.operators import ml as M
 from tidemark.operators import neighbours as N
@@ -14,7 +16,7 @@ from tidemark.operators import panel as PN
 from tidemark.operators import scoring as S
 from tidemark.operators import stats as T
 from tidemark.plans import adapters as A
-from tidemark.plans.matrix_sql import factor_sql, information_sql
+from tidemark.plans.matrix_sql import factor_sql, information_sql, lloyd_sql
 from tidemark.plans.q_cleaning import scratch
 from tidemark.plans.q_funds import built, fund_features, stored_metrics
 from tidemark.plans.q_models import P, bank_features
@@ -81,25 +83,36 @@ def _(t):
 
 
 # --- density classifier and voting ------------------------------------------
-KDE_COLS = ["x1", "x2"]
-_kde = ["c_custkey AS key", "CAST(c_custkey % 3 AS INT) AS label", "CAST(c_nationkey AS DOUBLE) / 25 AS x1", "CAST(floor(c_acctbal / 1000) AS DOUBLE) / 10 AS x2"]
-common("kd", "SELECT " + ", ".join(_kde) + " FROM customer")
-common("kd_scores", """
-SELECT q.x1, q.x2, label, ln(sum(w * exp(-((q.x1 - s.x1) * (q.x1 - s.x1) + (q.x2 - s.x2) * (q.x2 - s.x2)) / (2 * 0.25 * 0.25)))) - ln(any_value(nc)) - (2 * ln(0.25) + ln(2 * pi())) + ln(any_value(nc) / any_value(n)) AS log_score
-FROM (SELECT DISTINCT x1, x2 FROM kd) q, (SELECT x1, x2, label, count(*) AS w, sum(count(*)) OVER (PARTITION BY label) AS nc, sum(count(*)) OVER () AS n FROM kd GROUP BY 1, 2, 3) s GROUP BY 1, 2, 3""", ["kd"])
+_label = " + ".join(f"(risk_score > q[{i + 1}])::INT" for i in range(4))
+common("risk_labels", f"SELECT Customer_ID, {_label} AS label FROM risk_pca, (SELECT quantile_cont(risk_score, {list(rules.LABEL_QUANTILES)}) AS q FROM risk_pca)", ["risk_pca"])
+_gap = " + ".join(f"(a.x[{i + 1}] - b.x[{i + 1}]) ** 2" for i in range(15))
+common("kernel_scores", f"""
+SELECT id, label, ln(sum(exp(e - m))) + any_value(m) - ln(count(*)) - (15 * ln(0.2) + 7.5 * ln(2 * pi())) + ln(count(*) / any_value(n)) AS log_score
+FROM (SELECT *, max(e) OVER (PARTITION BY id, label) AS m FROM (
+  SELECT a.Customer_ID AS id, l.label, -({_gap}) / (2 * 0.2 * 0.2) AS e, n
+  FROM risk_rows a, risk_rows b JOIN risk_labels l ON b.Customer_ID = l.Customer_ID, (SELECT count(*) AS n FROM risk_rows)))
+GROUP BY 1, 2""", ["risk_rows", "risk_labels"])
+
+
+def kernel_scores(t):
+    """All customers against kernels on the fifteen features and the five risk classes."""
+    def build():
+        rows = labelled(t)
+        return settle(KD.kernel_scores(rows.select("Customer_ID", "tier_ord", *RF), KD.kernel_trees(rows, RF, "tier_ord", "key"), RF))
+    return shared(t, "kernel_scores", build)
 
 
-@query("ml_kde_classifier", "SELECT x1, x2, label, round(log_score, 6) AS log_score FROM kd_scores", ["kd_scores"])
+@query("ml_kde_classifier", "SELECT id AS Customer_ID, label::INT AS label, round(log_score, 5) AS log_score FROM kernel_scores", ["kernel_scores"])
 def _(t):
-    c = t.customer.selectExpr(*_kde)
-    return rnd(M.kde_scores(c, c, KDE_COLS, "label"), ["log_score"])
+    long = kernel_scores(t).select("Customer_ID", F.posexplode("log_scores").alias("label", "log_score"))
+    return rnd(long, ["log_score"], 5)
 
 
 @query("ml_kde_predictions", """
-SELECT key, label, arg_max(sl, row(log_score, -sl)) AS predicted FROM (SELECT k.key, k.label, s.label AS sl, s.log_score FROM kd k JOIN kd_scores s ON k.x1 = s.x1 AND k.x2 = s.x2) GROUP BY 1, 2""", ["kd", "kd_scores"])
+SELECT s.id AS Customer_ID, any_value(l.label)::INT AS tier_ord, arg_max(s.label, row(s.log_score, -s.label))::INT AS predicted
+FROM kernel_scores s JOIN risk_labels l ON l.Customer_ID = s.id GROUP BY 1""", ["kernel_scores", "risk_labels"])
 def _(t):
-    c = t.customer.selectExpr(*_kde)
-    return M.kde_classify(c, c, KDE_COLS, "label").select("key", "label", "predicted")
+    return kernel_scores(t).select("Customer_ID", "tier_ord", "predicted")
 
 
 @query("ml_soft_vote", "SELECT key, " + ", ".join(f"round((3 * p{i} + 3 * p{(i + 1) % 5} + 2 * p{(i + 2) % 5} + 0.2) / 9, 6) AS v{i}" for i in range(5)) + " FROM predictions", ["predictions"])
@@ -177,16 +190,42 @@ def _(t):
 
 
 # --- clustering -------------------------------------------------------------
+DIMS = 64
+common("vec_rows", "SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings")
+common("one_run", lloyd_sql("vec_rows", "vec_id", DIMS, [5], 1, CL.ROUNDS), ["vec_rows"])
+
+
+# The best of twenty is checked against a loop in the tests: its SQL takes most of a minute.
 @query("ml_fit_kmeans")
 def _(t):
     u = updates(t)
-    model = M.fit_kmeans(u, "vec", 5)
-    return M.assign_clusters(model, u, "vec").select("vec_id", "cluster")
+    return CL.assign_clusters(CL.best_start(CL.fit_starts(u, "vec", "vec_id", [5]), 5), u, "vec").select("vec_id", "cluster")
+
+
+@query("ml_kmeans_start", f"""
+SELECT vec_id, (list_position(d, list_min(d)) - 1)::INT AS cluster FROM (
+  SELECT vec_id, [list_distance(v, c[i * {DIMS} + 1: (i + 1) * {DIMS}]) for i in range(5)] AS d FROM vec_rows, one_run)""", ["vec_rows", "one_run"])
+def _(t):
+    u = updates(t)
+    return CL.assign_clusters(CL.fit_starts(u, "vec", "vec_id", [5], [0])[0], u, "vec").select("vec_id", "cluster")
 
 
 @query("ml_elbow_table")
 def _(t):
-    return M.elbow_table(updates(t), "vec", range(2, 11))
+    return M.elbow_table(updates(t), "vec", "vec_id", range(2, 11))
+
+
+common("vec_pairs", "SELECT a.vec_id AS p, b.vec_id AS q, list_distance(a.v, b.v) AS d FROM vec_rows a, vec_rows b", ["vec_rows"])
+
+
+@query("ml_plain_silhouette", """
+SELECT scope, round(avg(s), 6) AS silhouette, count(*) AS n, 0.0::DOUBLE AS error FROM (
+ SELECT unnest([own::VARCHAR, 'all']) AS scope, CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END AS s FROM (
+  SELECT p, own, max(CASE WHEN own = other AND n > 1 THEN s / (n - 1) END) AS a, min(CASE WHEN own <> other THEN s / n END) AS b FROM (
+   SELECT p, x.label AS own, y.label AS other, sum(d) AS s, count(*) AS n FROM vec_pairs JOIN embeddings x ON x.vec_id = p JOIN embeddings y ON y.vec_id = q
+   GROUP BY 1, 2, 3) GROUP BY 1, 2)) GROUP BY 1""", ["vec_pairs"])
+def _(t):
+    return rnd(CL.silhouette(updates(t), "label", "vec", "vec_id"), ["silhouette"])
 
 
 @query("ml_cluster_to_label", """
