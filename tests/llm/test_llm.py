@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import re
 import zlib
 
 import numpy as np
@@ -168,10 +169,20 @@ def test_plan_is_near_the_bound():
 
 
 # --- mixing
+def best_mix(size, target, texts):
+    """Whole passes and the best sum of texts that does not pass the target."""
+    passes = min(int(target // size), 2) if size else 0
+    rest, sums = round(target - passes * size), {0}
+    for n in texts:
+        sums |= {x + n for x in sums if x + n <= rest}
+    return passes * size + max(sums)
+
+
 def test_mix(sp, docs):
-    got = mixing.mix_sources(docs, carry=["source"]).collect()
-    sizes = collections.Counter()
+    got = mixing.mix_sources(docs).collect()
+    sizes, source = collections.Counter(), {}
     for r in docs.collect():
+        source[r.doc_id] = r.source
         sizes[r.source] += len((r.text or "").encode().split())
     weights = dict(zip(sorted(s for s in sizes if s is not None) + [None], [3, 1, 2, 3]))
     left, target, open_ = 1.5 * sum(sizes.values()), {}, set(sizes)
@@ -184,12 +195,15 @@ def test_mix(sp, docs):
             break
         left -= sum(target[s] for s in full)
         open_ -= full
-    taken = collections.Counter()
+    taken, texts = collections.Counter(), collections.defaultdict(list)
     for r in got:
-        assert r.source_size == sizes[r.source] and r.target == pytest.approx(target[r.source]) and r.taken <= 2 * r.size
-        taken[r.source] += r.taken
+        s = source[r.doc_id]
+        assert r.source_size == sizes[s] and r.target == pytest.approx(target[s]) and r.taken <= 2 * r.size
+        taken[s] += r.taken
+        texts[s].append(r.size)
+    assert all(taken[s] == best_mix(sizes[s], target[s], texts[s]) for s in taken)
     assert mixing.mix_sources(empty(sp)).count() == 0
-    again = mixing.mix_sources(docs.repartition(5), carry=["source"]).collect()
+    again = mixing.mix_sources(docs.repartition(5)).collect()
     key = lambda r: (r.doc_id is None, r.doc_id or 0, r.size, r.taken)
     assert sorted(map(key, got)) == sorted(map(key, again))
 
@@ -338,22 +352,50 @@ def test_signature_estimates_weighted_jaccard():
     assert minhash.overlaps([mixed[0]], [mixed[1]])[0, 0] == pytest.approx(want)
 
 
-def test_near_duplicates_match_brute_force(sp, docs):
-    family = [" ".join(w if (k + s) % 37 else f"e{s}" for k, w in enumerate(prose(9, 400))) for s in range(0, 36, 3)]
-    more = sp.createDataFrame([(100 + k, t, None, None, None) for k, t in enumerate(family)], DOCS)
-    every = docs.select(*more.columns).filter("doc_id is not null").unionAll(more)
-    texts = dict(plain(every))
-    cls = {i: i for i in texts}
-    sets = {i: shingles(t) for i, t in texts.items()}
-    links = [(i, j) for i in texts for j in texts if i < j and (sets[i] == sets[j] or (sets[i] and sum((sets[i] & sets[j]).values()) >= 0.8 * sum((sets[i] | sets[j]).values())))]
-    for _ in texts:
+def plain_classes(rows):
+    """Group number of every (id, text) by links between any two of them."""
+    sets = [shingles(t or "") for _, t in rows]
+    group = list(range(len(rows)))
+    links = [(i, j) for i in range(len(rows)) for j in range(i)
+             if sets[i] == sets[j] or (sets[i] and sum((sets[i] & sets[j]).values()) >= 0.8 * sum((sets[i] | sets[j]).values()))]
+    for _ in rows:
         for i, j in links:
-            cls[i] = cls[j] = min(cls[i], cls[j])
-    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(every).collect()}
-    assert got == cls
+            group[i] = group[j] = min(group[i], group[j])
+    return group
+
+
+@pytest.fixture(scope="module")
+def copies(sp, docs):
+    """Rows of ``docs`` and a chain of near copies, some under one id, some without an id, some repeated."""
+    family = [" ".join(w if (k + s) % 37 else f"e{s}" for k, w in enumerate(prose(9, 400))) for s in range(0, 36, 3)]
+    ids = [100, 101, 100, None, None, 105, 106, 7, 7, 109, None, 111]
+    rows = [(k, t, None, None, None) for k, t in zip(ids, family)]
+    rows += [(None, "alone and nameless " * 9, None, None, 1), (None, "alone and nameless " * 9, None, None, 2), rows[0], rows[4], rows[4]]
+    more = sp.createDataFrame(rows, DOCS)
+    return docs.select(*more.columns).unionAll(more)
+
+
+def test_near_duplicates_match_brute_force(sp, copies):
+    rows = [(r.doc_id, r.text) for r in copies.collect()]
+    group = plain_classes(rows)
+    least = {g: min((i for (i, _), h in zip(rows, group) if h == g and i is not None), default=None) for g in group}
+    got = sorted(((r.doc_id, r.class_id, r.n_shingles, r.kept) for r in minhash.near_duplicates(copies).collect()), key=repr)
+    assert got == sorted(((i, least[g], sum(shingles(t or "").values()), i == least[g]) for (i, t), g in zip(rows, group)), key=repr)
     assert minhash.near_duplicates(empty(sp)).count() == 0
 
 
+def test_one_row_of_each_class_stays(sp, copies):
+    rows = [(r.doc_id, r.text) for r in copies.collect()]
+    group = dict(zip([repr(r) for r in rows], plain_classes(rows)))
+    least = {g: min((i for i, _ in rows if i is not None and any(group[repr((i, t))] == g for j, t in rows if j == i)), default=None)
+             for g in group.values()}
+    kept = minhash.one_of_each(copies)
+    assert kept.columns == copies.columns
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    assert sorted(group[repr(r)] for r in got) == sorted(set(group.values()))
+    assert all(i == least[group[repr((i, t))]] for i, t in got)
+
+
 def test_components(sp):
     chain = [(k, k + 1) for k in range(40)] + [(100, 200), (200, 150), (7, 7)]
     got = {r.id: r.component for r in components(sp.createDataFrame(chain, "a long, b long")).collect()}
@@ -362,13 +404,82 @@ def test_components(sp):
 
 # --- pipeline
 def test_pipeline_stages(sp):
+    """Every stage by itself, on what its predecessor kept, against a plain version."""
     import corpus_pipeline as P
 
     docs = sp.read.parquet(f"{SF}/documents.parquet")
-    kept = docs
-    for name, stage in P.STAGES[:-1]:
-        kept = stage(sp, kept, SF)
-        assert kept.columns == docs.columns, name
-    final = P.run(sp, SF).collect()
-    ids = {r.doc_id for r in docs.collect()}
-    assert {r.doc_id for r in final} <= ids and final
+    good, one, clean, mixed, packed = (stage for _, stage in P.STAGES)
+    rows = lambda df: sorted(map(repr, df.collect()))
+    first = good(sp, docs, SF)
+    scores = quality.score_quality(docs, sp.read.parquet(f"{SF}/labels.parquet")).select("row.doc_id", "predicted").collect()
+    stay = {r.doc_id for r in scores if r.predicted == 1}
+    assert rows(first) == rows(docs.filter(F.col("doc_id").isin(list(stay)))) and first.columns == docs.columns
+    labels = {r.doc_id: r.quality for r in sp.read.parquet(f"{SF}/labels.parquet").collect()}
+    assert np.mean([(r.predicted == 1) == (labels[r.doc_id] == 1) for r in scores if r.doc_id in labels]) > 0.9
+
+    second = one(sp, first, SF)
+    plain_rows = [(r.doc_id, r.text) for r in first.collect()]
+    least = {}
+    for (i, _), g in zip(plain_rows, plain_classes(plain_rows)):
+        least[g] = min(least.get(g, i), i)
+    assert rows(second) == rows(first.filter(F.col("doc_id").isin(list(least.values())))) and second.columns == docs.columns
+
+    third = clean(sp, second, SF)
+    before, after = {r.doc_id: r for r in second.collect()}, {r.doc_id: r for r in third.collect()}
+    changed = {r.doc_id for r in surrogates.replace_personal_data(second).filter("n_entities > 0").collect()}
+    assert before.keys() == after.keys() and third.columns == docs.columns
+    assert {i for i in before if before[i].text != after[i].text} == changed
+    for i in changed:  # nothing that was found stands in the result
+        for kind, match in surrogates_found(before[i].text):
+            assert match not in after[i].text, (i, kind)
+
+    fourth = mixed(sp, third, SF)
+    taken = collections.Counter(r.doc_id for r in fourth.collect())
+    assert fourth.columns == docs.columns and taken == {r.doc_id: r.times for r in mixing.mix_sources(third).collect() if r.times}
+    sizes = {i: len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for i, r in after.items()}
+    for size, target, words, texts in by_source(mixing.mix_sources(third).collect(), after).values():
+        assert 0 <= best_mix(size, target, texts) - words <= 0.005 * target
+    assert sum(sizes.values()) == sum(r.size for r in mixing.mix_sources(third).collect())
+
+    last = packed(sp, fourth, SF).collect()
+    pieces = collections.Counter((r.doc_id, r.piece) for r in last)
+    assert {i for i, _ in pieces} == set(taken) and all(n == taken[i] for (i, _), n in pieces.items())
+    whole = collections.defaultdict(list)
+    for r in last:
+        whole[r.sequence_id].append((r.offset, r.length))
+    for placed in whole.values():
+        at = 0
+        for offset, length in sorted(placed):
+            assert offset == at
+            at += length
+        assert at <= 1024
+    assert sorted((r.doc_id, r.piece) for r in P.run(sp, SF).collect()) == sorted((r.doc_id, r.piece) for r in last)
+
+
+def surrogates_found(text):
+    """Plain patterns of what must not stay: mail addresses and social security numbers."""
+    for kind, pattern in (("mail", r"[\w.+-]+@[\w-]+\.[\w.-]*\w"), ("ssn", r"\b\d{3}-\d{2}-\d{4}\b")):
+        for match in re.findall(pattern, text):
+            yield kind, match
+
+
+def by_source(planned, rows):
+    """Size, target, taken words and the texts' sizes of every source."""
+    out = {}
+    for r in planned:
+        size, target, words, texts = out.get(rows[r.doc_id].source, (r.source_size, r.target, 0, []))
+        out[rows[r.doc_id].source] = (size, target, words + r.taken, [*texts, r.size])
+    return out
+
+
+def test_mixed_rows_with_ties_at_the_limit(sp):
+    """Repeated rows share a draw: as many of them are taken as the plan says."""
+    rows = [(1, "a b c", "en", "s", 1)] * 7 + [(2, "a b c", "en", "s", 2)] * 5 + [(3, None, "en", None, 3), (None, "x y z", None, "t", 4)] * 2
+    docs = sp.createDataFrame(rows, DOCS)
+    for share in (0.3, 0.9, 1.4):
+        plan = collections.Counter()
+        for r in mixing.mix_sources(docs, total_share=share).collect():
+            plan[r.doc_id] += r.times
+        got = collections.Counter(r.doc_id for r in mixing.mixed_rows(docs, total_share=share).collect())
+        assert got == {k: n for k, n in plan.items() if n}
+    assert mixing.mixed_rows(empty(sp)).count() == 0

@@ -82,7 +82,7 @@ def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndar
     take = np.floor(exact).astype(np.int64)
     left = budget - int((take * lengths).sum())
     reserve = 3 * int(lengths.max())  # what the knapsack shall have to play with
-    order = np.argsort(take - exact, kind="stable")
+    order = np.lexsort((-lengths, take - exact))  # among equals the long ones first: short ones are left to the knapsack
     order = order[(counts > take)[order] & (lengths > 0)[order]]
     more = order[np.cumsum(lengths[order]) <= left - reserve]
     take[more] += 1
@@ -110,19 +110,25 @@ def _fit_source(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf[["source_key", "size", "first", "source_size", "target"]].assign(passes=passes, extra=take)
 
 
-def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), total_share: float = 1.5,
-                most: int = 2, seed: int = SEED, key: str = "doc_id", carry: Sequence[str] = ()) -> DataFrame:
-    """One row per document: key, size (words), source_size, target (of its source) and taken (words).
+KEYS = ["_source_key", "_size"]
+LIMITS_SENT = 1_000_000  # rows of the table of limits, about 50 bytes each, up to which it is sent to all tasks
 
-    ``weights`` go to the sources in code point order, repeating, null last. ``total_share`` of all words is
-    asked for; no source and no document is taken more than ``most`` times. ``carry``: columns to keep.
-    """
-    sized = docs.select(
-        key, *carry, F.when(F.col("source").isNull(), F.lit("z")).otherwise(F.concat(F.lit("s"), "source")).alias("source_key"),
-        F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.xxhash64(F.lit(seed), F.col(key), F.col("text")).alias("draw"))
-    ranked = ordered_rank(settle(sized) if not carry else sized, [F.col("source_key"), F.col("size"), F.col("draw")])
-    lengths = settle(ranked.groupBy("source_key", "size").agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("first")))
+
+def sized(docs: DataFrame, key: str, seed: int) -> DataFrame:
+    """``docs`` with ``_source_key``, ``_size`` (words) and the seeded ``_draw``."""
+    return docs.select(
+        "*", F.when(F.col("source").isNull(), F.lit("z")).otherwise(F.concat(F.lit("s"), "source")).alias("_source_key"),
+        F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("_size"),
+        F.xxhash64(F.lit(seed), F.col(f"`{key}`"), F.col("text")).alias("_draw"))
+
+
+def _plan(docs: DataFrame, weights: Sequence[float], total_share: float, most: int, seed: int, key: str) -> DataFrame:
+    """One narrow row per document (``_key``, ``_draw``, ``_source_key``, ``_size``) with its ``place`` among those of its source and
+    size, their source's ``source_size`` and ``target``, and the passes over all of them and ``extra`` more that are taken."""
+    narrow = sized(docs, key, seed).select(F.col(f"`{key}`").alias("_key"), "_draw", *KEYS)
+    ranked = ordered_rank(settle(narrow), [F.col(c) for c in [*KEYS, "_draw"]])
+    lengths = settle(ranked.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("first"))
+                     .select(F.col("_source_key").alias("source_key"), F.col("_size").alias("size"), "n", "first"))
     sources = ordered_rank(lengths.groupBy("source_key").agg(F.sum(F.col("n") * F.col("size")).alias("source_size")),
                            [F.col("source_key")], name="place")
     turn = F.pmod(F.col("place"), F.lit(len(weights))) + 1
@@ -131,6 +137,50 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), total_sha
     fitted = settle(
         lengths.join(targets, "source_key").withColumn("most", F.lit(int(most))).groupBy("source_key")
         .applyInPandas(_fit_source, "source_key string, size long, first long, source_size long, target double, passes long, extra long"))
-    times = F.col("passes") + (F.col("rank") - F.col("first") < F.col("extra")).cast("long")
-    return ranked.join(fitted, ["source_key", "size"]).select(
-        key, *carry, "size", "source_size", "target", (F.col("size") * times).alias("taken"), times.cast("int").alias("times"))
+    fitted = fitted.withColumnsRenamed({"source_key": "_source_key", "size": "_size"})
+    return ranked.join(fitted, KEYS).withColumn("place", F.col("rank") - F.col("first")).drop("rank", "first")
+
+
+def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), total_share: float = 1.5,
+                most: int = 2, seed: int = SEED, key: str = "doc_id") -> DataFrame:
+    """One row per document: key, size (words), source_size, target (of its source), taken (words) and times.
+
+    ``weights`` go to the sources in code point order, repeating, null last. ``total_share`` of all words is
+    asked for; no source and no document is taken more than ``most`` times.
+    """
+    times = F.col("passes") + (F.col("place") < F.col("extra")).cast("long")
+    return _plan(docs, weights, total_share, most, seed, key).select(
+        F.col("_key").alias(key), F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * times).alias("taken"),
+        times.cast("int").alias("times"))
+
+
+def mixed_rows(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), total_share: float = 1.5,
+               most: int = 2, seed: int = SEED, key: str = "doc_id") -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it.
+
+    The plan becomes one limit of the draw for each source and size, which meets the texts where they are read;
+    no text is sorted or written. Repeated rows have equal draws: where a limit falls among such rows, these
+    rows alone are numbered by range.
+    """
+    plan = _plan(docs, weights, total_share, most, seed, key)
+    last = F.max(F.when(F.col("place") == F.col("extra") - 1, F.col("_draw")))
+    beyond = F.max(F.when(F.col("place") == F.col("extra"), F.col("_draw")))
+    limits = settle(plan.groupBy(*KEYS).agg(F.first("passes").alias("_passes"), F.first("extra").alias("_extra"), last.alias("_last"),
+                                            beyond.alias("_beyond")))
+    cut = F.coalesce(F.col("_last") == F.col("_beyond"), F.lit(False))
+    rows = sized(docs, key, seed)
+    again = lambda df, times: df.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), times.cast("int")))).select(
+        *[F.col(f"`{c}`") for c in docs.columns])
+    near = limits.withColumn("_cut", cut).drop("_extra", "_beyond")
+    near = F.broadcast(near) if limits.count() <= LIMITS_SENT else near
+    here = rows.join(near, KEYS).withColumn("_taken", F.coalesce(F.col("_draw") <= F.col("_last"), F.lit(False)))
+    whole = again(here.filter(~(F.col("_cut") & (F.col("_draw") == F.col("_last")))), F.col("_passes") + F.col("_taken").cast("long"))
+    # Rows that tie at a limit: as many of them as have a place before it.
+    split = limits.filter(cut)
+    left = plan.join(split.select(*KEYS, F.col("_last").alias("_draw")), [*KEYS, "_draw"]).filter("place < extra") \
+        .groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_more"))
+    tied = rows.join(split.select(*KEYS, "_passes", F.col("_last").alias("_draw")), [*KEYS, "_draw"])
+    numbered = ordered_rank(tied.withColumn("_row", F.monotonically_increasing_id()), [*[F.col(c) for c in KEYS], F.col("_row")], name="_rank")
+    first = numbered.groupBy(*KEYS).agg(F.min("_rank").alias("_first"))
+    some = numbered.join(first, KEYS).join(left, KEYS)
+    return whole.unionAll(again(some, F.col("_passes") + (F.col("_rank") - F.col("_first") < F.col("_more")).cast("long")))
