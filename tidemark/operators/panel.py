@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import columns as C
 from tidemark.operators.joins import asof_offset
 from tidemark.operators.quantiles import exact_quantiles
-from tidemark.operators.series import LOOKBACK_DAYS, MIN_YEAR_ROWS, cagr, with_recovery_days
+from tidemark.operators.series import LOOKBACK_DAYS, MIN_FIVE_YEAR_ROWS, MIN_YEAR_ROWS, cagr, with_recovery_days
 from tidemark.rules import RISK_FREE, TRADING_DAYS, VOL_FLOOR
 
 MIN_MONTHS, MIN_HISTORY = 48, 24
@@ -62,29 +62,74 @@ def trailing_drawdown(months: DataFrame) -> DataFrame:
     return agg.where(F.col("_n") >= 2).drop("_n")
 
 
-def trailing_volatility(series: DataFrame, index: DataFrame | None = None) -> DataFrame:
-    """Daily volatility (and tracking error) of the 400 days before every quarter end."""
+def index_starts(index: DataFrame, as_ofs: DataFrame) -> DataFrame:
+    """(as_of, first, year): the index's first day of the ``LOOKBACK_DAYS`` before each as-of date, and the first day of
+    its last five years that has a one-year return from inside them. Calendar-sized."""
+    marks = as_ofs.select("as_of").distinct()
+    none, day = F.lit(None).cast("date"), Window.partitionBy(F.lit(1)).orderBy("d")
+    rows = index.select("d", F.col("d").alias("day"), F.lead("d", TRADING_DAYS).over(day).alias("later"), none.alias("as_of"), F.lit(0).alias("side"))
+    for side, start in ((1, F.date_sub("as_of", LOOKBACK_DAYS)), (2, F.add_months("as_of", -60))):
+        rows = rows.unionByName(marks.select(start.alias("d"), none.alias("day"), none.alias("later"), "as_of", F.lit(side).alias("side")))
+    after = Window.partitionBy(F.lit(1)).orderBy("d").rangeBetween(0, Window.unboundedFollowing)
+    found = rows.select("as_of", "side", F.first("day", ignorenulls=True).over(after).alias("day"), F.first("later", ignorenulls=True).over(after).alias("later"))
+    return found.where("as_of IS NOT NULL").groupBy("as_of").agg(
+        F.max(F.when(F.col("side") == 1, F.col("day"))).alias("first"), F.max(F.when(F.col("side") == 2, F.col("later"))).alias("year"))
+
+
+def trailing_daily(series: DataFrame, index: DataFrame, points: DataFrame) -> DataFrame:
+    """Volatility, tracking error and one-year consistency at every (key, as_of) of ``points``, from daily prices.
+
+    Running sums stand at every day of a key; what lies in a window is the difference of two of them, and these are
+    looked up by a few probes for each as-of date among the days, in one window pass. No day is copied. Rows that a
+    window's start or the index leaves out are the ones before some day, so of several such bounds the last counts.
+    """
     w = Window.partitionBy("key").orderBy("d")
-    rows = series.select("key", "d", F.lag("d").over(w).alias("_pd"), F.ln(F.col("v") / F.lag("v").over(w)).alias("_lr"))
-    if index is not None:
-        one = Window.partitionBy(F.lit(1)).orderBy("d")  # one row per calendar day
-        idx = index.select("d", F.lag("d").over(one).alias("_ipd"), F.ln(F.col("v") / F.lag("v").over(one)).alias("_ilr"))
-        rows = rows.join(idx, "d", "left")
-    else:
-        rows = rows.withColumns({"_ipd": F.lit(None).cast("date"), "_ilr": F.lit(None).cast("double")})
-    ends = F.transform(F.sequence(F.lit(0), F.lit(14)), lambda k: F.last_day(F.add_months(F.trunc("d", "month"), k)))
-    rows = rows.withColumn("as_of", F.explode(ends))
-    start = F.date_sub("as_of", LOOKBACK_DAYS)
-    rows = rows.where(F.month("as_of").isin(3, 6, 9, 12) & (F.col("d") >= start))
-    inside = F.when(F.col("_pd") >= start, F.col("_lr"))
-    active = F.when((F.col("_pd") >= start) & (F.col("_ipd") >= start), F.col("_lr") - F.col("_ilr"))
-    annual = F.sqrt(F.lit(float(TRADING_DAYS)))
-    agg = rows.groupBy("key", "as_of").agg(
-        F.count(F.lit(1)).alias("_n"), (F.stddev_samp(inside) * annual).alias("_vol"),
-        (F.stddev_samp(active) * annual).alias("_te"), F.count(active).alias("_na"))
-    return agg.where(F.col("_n") >= MIN_YEAR_ROWS).select(
-        "key", "as_of", F.greatest("_vol", F.lit(VOL_FLOOR)).alias("vol_1yr"),
-        F.when(F.col("_na") >= MIN_YEAR_ROWS, F.col("_te")).alias("tracking_error_1y"))
+    one = Window.partitionBy(F.lit(1)).orderBy("d")  # one row per calendar day
+    idx = index.select("d", F.ln(F.col("v") / F.lag("v").over(one)).alias("_il"), (F.col("v") / F.lag("v", TRADING_DAYS).over(one) - 1).alias("_ir"))
+    days = series.where(F.col("v").isNotNull()).join(idx, "d", "left").select(
+        "key", "d", F.ln(F.col("v") / F.lag("v").over(w)).alias("_l"), (F.col("v") / F.lag("v", TRADING_DAYS).over(w) - 1).alias("_r"), "_il", "_ir")
+    active, zero = F.col("_l") - F.col("_il"), F.lit(0.0)
+    both = F.col("_r").isNotNull() & F.col("_ir").isNotNull()
+    parts = {"rows": F.lit(1.0), "n": F.col("_l").isNotNull().cast("double"), "s": F.coalesce("_l", zero), "q": F.coalesce(F.col("_l") * F.col("_l"), zero),
+             "an": active.isNotNull().cast("double"), "as": F.coalesce(active, zero), "aq": F.coalesce(active * active, zero),
+             "rn": F.col("_r").isNotNull().cast("double"), "up": F.coalesce((F.col("_r") > 0).cast("double"), zero),
+             "bn": both.cast("double"), "beat": F.when(both & (F.col("_r") > F.col("_ir")), 1.0).otherwise(0.0)}
+    past = w.rowsBetween(Window.unboundedPreceding, 0)
+    days = days.select("key", "d", F.struct(*[F.sum(e).over(past).alias(c) for c, e in parts.items()]).alias("at"))
+    days = days.select("key", "d", F.struct("at", F.lead("at", 1).over(w).alias("next"), F.lead("at", TRADING_DAYS).over(w).alias("year")).alias("sums"))
+    asked = points.select("key", "as_of").join(index_starts(index, points), "as_of", "left")
+    before_400, before_5y = F.date_sub("as_of", LOOKBACK_DAYS + 1), F.date_sub(F.add_months("as_of", -60), 1)
+    ends = {"end": F.col("as_of"), "start": before_400, "five": before_5y, "index": F.col("first"), "index_year": F.date_sub("year", 1)}
+    probes = asked.select("key", "as_of", F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), d.alias("d")) for k, d in ends.items()]))).where("d IS NOT NULL")
+    nothing = F.lit(None).cast(days.schema["sums"].dataType)
+    line = days.select("key", "d", F.lit(0).alias("_o"), "sums", F.lit(None).cast("date").alias("as_of"), F.lit(None).cast("string").alias("kind")) \
+        .unionByName(probes.select("key", "d", F.lit(1).alias("_o"), nothing.alias("sums"), "as_of", "kind"))
+    seen = Window.partitionBy("key").orderBy("d", "_o").rowsBetween(Window.unboundedPreceding, 0)
+    found = line.withColumn("sums", F.last("sums", ignorenulls=True).over(seen)).where("kind IS NOT NULL")
+    at = found.groupBy("key", "as_of").agg(*[F.max(F.when(F.col("kind") == k, F.col("sums"))).alias(k) for k in ends],
+                                           F.max((F.col("kind") == "index_year").cast("int")).alias("has_year"))
+    empty = F.struct(*[zero.alias(c) for c in parts])
+    later = lambda a, b: F.when(b.isNull() | (a["rows"] >= b["rows"]), a).otherwise(b)
+    own = F.when(F.col("start").isNull(), empty).otherwise(F.col("start")["next"])
+    year = F.when(F.col("five").isNull(), empty).otherwise(F.col("five")["year"])
+    at = at.withColumns({"o": own, "y": year}).withColumns({
+        "i": later(F.col("o"), F.col("index")["at"]), "b": F.when(F.col("has_year") == 1, later(F.col("y"), F.col("index_year")["at"]))})
+    e = F.col("end")["at"]
+
+    def annual_sd(n: str, s: str, q: str, out: Column) -> Column:
+        count, total = e[n] - out[n], e[s] - out[s]
+        square = (e[q] - out[q] - total * total / count) / (count - 1)
+        return F.when(count > 1, F.sqrt(F.greatest(square, F.lit(0.0))) * F.sqrt(F.lit(float(TRADING_DAYS))))
+
+    def share(hits: str, n: str, out: Column) -> Column:
+        return F.when(e[n] > out[n], (e[hits] - out[hits]) / (e[n] - out[n]))
+
+    enough = e["rows"] - F.coalesce(F.col("start")["at"]["rows"], zero) >= MIN_YEAR_ROWS
+    five = e["rows"] - F.coalesce(F.col("five")["at"]["rows"], zero) >= MIN_FIVE_YEAR_ROWS
+    return at.select(
+        "key", "as_of", F.when(enough, F.greatest(annual_sd("n", "s", "q", F.col("o")), F.lit(VOL_FLOOR))).alias("vol_1yr"),
+        F.when(enough & (e["an"] - F.col("i")["an"] >= MIN_YEAR_ROWS), annual_sd("an", "as", "aq", F.col("i"))).alias("tracking_error_1y"),
+        F.when(five, share("beat", "bn", F.col("b"))).alias("beat_index"), F.when(five, share("up", "rn", F.col("y"))).alias("beat_zero"))
 
 
 def index_future_return(index: DataFrame, as_ofs: DataFrame) -> DataFrame:
@@ -116,14 +161,15 @@ def forward_panel(series: DataFrame, index: DataFrame, funds: DataFrame) -> Data
     months = month_end_close(series)
     points = quarter_points(months)
     panel = (points.join(trailing_drawdown(months), ["key", "as_of"], "left")
-             .join(trailing_volatility(series, index), ["key", "as_of"], "left")
+             .join(trailing_daily(series, index, points), ["key", "as_of"], "left")
              .join(index_future_return(index, points), "as_of", "left")
              .join(funds, "key"))
     return panel.select(
         "key", "as_of", "risk_tier", "category", "benchmarked", "future_return_3y",
         (F.col("future_return_3y") - F.col("index_future")).alias("future_excess_3y"),
         "cagr_1yr", "cagr_3yr", "cagr_5yr", "momentum_6m", "max_drawdown", "recovery_time", "vol_1yr",
-        "tracking_error_1y", C.clip((F.col("cagr_1yr") - RISK_FREE) / F.col("vol_1yr"), -10, 10).alias("sharpe_1yr"))
+        "tracking_error_1y", F.coalesce(F.when(F.col("benchmarked") > 0, F.col("beat_index")), F.col("beat_zero")).alias("consistency_1y"),
+        C.clip((F.col("cagr_1yr") - RISK_FREE) / F.col("vol_1yr"), -10, 10).alias("sharpe_1yr"))
 
 
 def label_top_quantile(panel: DataFrame, share: float = 0.8) -> DataFrame:

@@ -55,6 +55,13 @@ SELECT s.key, as_of, count(*) AS n, stddev_samp(CASE WHEN pd >= as_of - 400 THEN
  stddev_samp(CASE WHEN pd >= as_of - 400 AND ipd >= as_of - 400 THEN s.lr - i.lr END) * sqrt(252) AS te,
  count(CASE WHEN pd >= as_of - 400 AND ipd >= as_of - 400 THEN s.lr - i.lr END) AS na
 FROM dlr s LEFT JOIN ilr i ON s.d = i.d JOIN qends ON s.d <= as_of AND s.d >= as_of - 400 GROUP BY 1, 2) WHERE n >= 20""", ["dlr", "ilr", "qends"])
+common("year_returns", "SELECT key, d, lag(d, 252) OVER w AS ld, v / lag(v, 252) OVER w - 1 AS r FROM series WHERE v IS NOT NULL WINDOW w AS (PARTITION BY key ORDER BY d)", ["series"])
+common("index_year", "SELECT d, lag(d, 252) OVER (ORDER BY d) AS ld, v / lag(v, 252) OVER (ORDER BY d) - 1 AS r FROM idx", ["idx"])
+common("trail_con", """
+SELECT s.key, as_of, avg((s.r > i.r)::INT) FILTER (WHERE s.ld >= start AND i.ld >= start AND s.r IS NOT NULL AND i.r IS NOT NULL) AS beat_index,
+ avg((s.r > 0)::INT) FILTER (WHERE s.ld >= start AND s.r IS NOT NULL) AS beat_zero
+FROM year_returns s LEFT JOIN index_year i ON s.d = i.d JOIN (SELECT as_of, CAST(as_of - INTERVAL 60 MONTH AS DATE) AS start FROM qends) ON s.d <= as_of AND s.d >= start
+GROUP BY 1, 2 HAVING count(*) >= 260""", ["year_returns", "index_year", "qends"])
 common("idxfut", """
 SELECT as_of, CASE WHEN n0 > 0 THEN n3 / n0 - 1 END AS index_future FROM (
 SELECT as_of, arg_max(v, d) FILTER (d <= as_of) AS n0, arg_min(v, d) FILTER (d >= CAST(as_of + INTERVAL 36 MONTH AS DATE)) AS n3 FROM qends, idx GROUP BY 1)""", ["qends", "idx"])
@@ -63,10 +70,11 @@ _peer = "CASE s_suppkey % 5 " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enum
 PANEL_FUNDS = ["s_suppkey AS key", f"{_tier} AS risk_tier", f"{_peer} AS category", "CASE WHEN s_suppkey % 5 IN (2, 3) THEN 1 ELSE 0 END AS benchmarked"]
 common("panel", f"""
 SELECT p.key, p.as_of, risk_tier, category, benchmarked, future_return_3y, future_return_3y - index_future AS future_excess_3y, cagr_1yr, cagr_3yr, cagr_5yr, momentum_6m,
- max_drawdown, CAST(recovery_time AS DOUBLE) AS recovery_time, vol_1yr, tracking_error_1y, greatest(-10, least(10, (cagr_1yr - 0.065) / vol_1yr)) AS sharpe_1yr
+ max_drawdown, CAST(recovery_time AS DOUBLE) AS recovery_time, vol_1yr, tracking_error_1y,
+ coalesce(CASE WHEN benchmarked > 0 THEN beat_index END, beat_zero) AS consistency_1y, greatest(-10, least(10, (cagr_1yr - 0.065) / vol_1yr)) AS sharpe_1yr
 FROM points p LEFT JOIN trail_dd a ON p.key = a.key AND p.as_of = a.as_of LEFT JOIN trail_vol b ON p.key = b.key AND p.as_of = b.as_of
-LEFT JOIN idxfut i ON p.as_of = i.as_of JOIN (SELECT {', '.join(PANEL_FUNDS)} FROM supplier) f ON f.key = p.key""", ["points", "trail_dd", "trail_vol", "idxfut"])
-PANEL_NUMS = ["future_return_3y", "future_excess_3y", "cagr_1yr", "cagr_3yr", "cagr_5yr", "momentum_6m", "max_drawdown", "recovery_time", "vol_1yr", "tracking_error_1y"]
+LEFT JOIN trail_con c ON p.key = c.key AND p.as_of = c.as_of LEFT JOIN idxfut i ON p.as_of = i.as_of JOIN (SELECT {', '.join(PANEL_FUNDS)} FROM supplier) f ON f.key = p.key""", ["points", "trail_dd", "trail_vol", "trail_con", "idxfut"])
+PANEL_NUMS = ["future_return_3y", "future_excess_3y", "cagr_1yr", "cagr_3yr", "cagr_5yr", "momentum_6m", "max_drawdown", "recovery_time", "vol_1yr", "tracking_error_1y", "consistency_1y"]
 
 
 def panel(t):
