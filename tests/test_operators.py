@@ -515,3 +515,26 @@ def test_silhouette_with_all_and_with_some_references(spark):
     rough = {r.scope: r for r in CL.silhouette(df, "c", "v", "k", references=50).collect()}
     assert rough["all"].n == 211 and 0 < rough["all"].error < 0.1
     assert abs(rough["all"].silhouette - want.mean()) < 5 * rough["all"].error
+
+
+def test_vote_of_trained_models(spark):
+    """Rings no line can part: the kernel classifier does; the vote is the weighted mean, and scores are those of a plain count."""
+    rng = np.random.default_rng(8)
+    y = rng.integers(0, 3, 420)
+    turn, far = rng.uniform(0, 2 * math.pi, 420), y + 0.25 * rng.normal(size=420)
+    rows = [(i, int(c), float(r * math.cos(a)), float(r * math.sin(a))) for i, (c, a, r) in enumerate(zip(y, turn, far))]
+    df = spark.createDataFrame(rows, "key long, cls int, a double, b double")
+    voted = M.trained_vote(df.where("key % 3 > 0"), df.where("key % 3 = 0"), ["a", "b"], "cls", "key", 3).collect()
+    assert len(voted) == 140
+    for r in voted:
+        for n in ("boosted", "forest", "svm", "tree", "vote"):
+            assert len(r[f"p_{n}"]) == 3 and sum(r[f"p_{n}"]) == pytest.approx(1) and min(r[f"p_{n}"]) >= 0
+        want = sum(M.VOTE_WEIGHTS[n] * np.array(r[f"p_{n}"]) for n in M.VOTE_WEIGHTS) / 9
+        assert np.allclose(r.p_vote, want)
+    got = {r.model: r for r in M.score_votes(spark.createDataFrame(voted), "cls").collect()}
+    for n in ("svm", "vote"):
+        said, real = np.array([int(np.argmax(r[f"p_{n}"])) for r in voted]), np.array([r.cls for r in voted])
+        f1 = [2 * ((said == c) & (real == c)).sum() / ((said == c).sum() + (real == c).sum()) for c in range(3)]
+        assert got[n].accuracy == pytest.approx((said == real).mean()) and got[n].class_f1 == pytest.approx(f1)
+        assert got[n].f1 == pytest.approx(np.mean(f1)) and got[n].support == [int((real == c).sum()) for c in range(3)]
+        assert got[n].accuracy > 0.8

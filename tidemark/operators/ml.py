@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 from collections.abc import Iterator, Mapping, Sequence
 
@@ -13,7 +14,7 @@ from pyspark.ml.classification import (
     DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest,
     RandomForestClassifier)
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -81,12 +82,110 @@ def predict(model: PipelineModel, df: DataFrame, label: str | None = None) -> Da
     return out
 
 
+class KernelClassifier:
+    """Gaussian-kernel margin classifier with probabilities.
+
+    Random Fourier features stand for the kernel (their dot products approach it with more features): one array
+    expression over the standardised columns. A linear margin classifier is fitted for each class against the rest.
+    Its decision values become probabilities by a sigmoid fitted on values of folds that the margin was not fitted
+    on, and the classes' probabilities are scaled to one.
+    """
+
+    def __init__(self, df: DataFrame, cols: Sequence[str], label: str, key: str, n_classes: int = 5, features: int = 128,
+                 folds: int = 3, seed: int = SEED):
+        self.cols, self.n_classes = list(cols), n_classes
+        # One row of statistics.
+        stats = df.agg(*[f(F.coalesce(F.col(c).cast("double"), F.lit(0.0))).alias(f"{c}__{n}") for c in cols
+                         for n, f in (("mean", F.avg), ("sd", F.stddev_samp))]).first()
+        self.scale = [(stats[f"{c}__mean"] or 0.0, stats[f"{c}__sd"] or 1.0) for c in cols]
+        rng = np.random.default_rng(seed)
+        wave, shift = rng.normal(0, math.sqrt(2.0 / len(cols)), (features, len(cols))), rng.uniform(0, 2 * math.pi, features)
+        self.waves = json.dumps([{"w": w.tolist(), "b": float(b)} for w, b in zip(wave, shift)])
+        data = with_class_weight(df.withColumn("label", F.col(label).cast("double")), "label").select(
+            "label", "weight", array_to_vector(self.features()).alias("features"), (C.hash_bucket(F.col(key), "margin") % folds).alias("fold"))
+        data = settle(data)
+        held = None
+        for k in range(folds):
+            margins = self._fit(data.where(F.col("fold") != k))
+            part = self._decide(margins, data.where(F.col("fold") == k)).select("label", "weight", "decision")
+            held = part if held is None else held.unionByName(part)
+        held = settle(held)
+        self.sigmoids = []
+        for c in range(n_classes):
+            one = held.select((F.col("label") == c).cast("double").alias("label"), "weight", array_to_vector(F.array(F.get("decision", F.lit(c)))).alias("features"))
+            fit = LogisticRegression(maxIter=50, regParam=1e-6, weightCol="weight").fit(one)
+            self.sigmoids.append((float(fit.coefficients[0]), float(fit.intercept)))
+        self.margins = self._fit(data)
+
+    def features(self) -> Column:
+        x = F.array(*[(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) - m) / s for c, (m, s) in zip(self.cols, self.scale)])
+        waves = F.from_json(F.lit(self.waves), "array<struct<w: array<double>, b: double>>")
+        return F.transform(waves, lambda v: F.cos(V.dot(v["w"], x) + v["b"]))
+
+    def _fit(self, data: DataFrame) -> list:
+        return [LinearSVC(maxIter=30, regParam=1e-3, weightCol="weight").fit(data.withColumn("label", (F.col("label") == c).cast("double")))
+                for c in range(self.n_classes)]
+
+    def _decide(self, margins: list, data: DataFrame) -> DataFrame:
+        x = vector_to_array("features")
+        values = [V.dot(x, F.lit([float(w) for w in m.coefficients])) + float(m.intercept) for m in margins]
+        return data.withColumn("decision", F.array(*values))
+
+    def probabilities(self, df: DataFrame, out: str = "p") -> DataFrame:
+        """``df`` with an array of class probabilities."""
+        data = self._decide(self.margins, df.withColumn("features", array_to_vector(self.features())))
+        raw = F.array(*[1 / (1 + F.exp(-(F.get("decision", F.lit(c)) * a + b))) for c, (a, b) in enumerate(self.sigmoids)])
+        return data.withColumn("_raw", raw).withColumn(out, F.transform("_raw", lambda p: p / V.total(F.col("_raw")))).drop("_raw", "decision", "features")
+
+
+def boosted_probabilities(model: PipelineModel, df: DataFrame, out: str) -> DataFrame:
+    """Class probabilities of one-against-rest boosted trees: each tree sum is half the log odds of its class."""
+    raw = F.transform(vector_to_array("rawPrediction"), lambda v: 1 / (1 + F.exp(-2 * v)))
+    scored = predict(model, df).withColumn("_raw", raw)
+    return scored.withColumn(out, F.transform("_raw", lambda p: p / V.total(F.col("_raw")))).select(*df.columns, out)
+
+
 def soft_vote(probabilities: Mapping[str, Column], weights: Mapping[str, float]) -> Column:
     """Weighted mean of probability arrays."""
     names = list(probabilities)
     return V.weighted_mean([probabilities[n] for n in names], [weights[n] for n in names])
 
 
+VOTE_WEIGHTS = {"boosted": 3.0, "forest": 3.0, "svm": 2.0, "tree": 1.0}  # fixed values
+
+
+def trained_vote(train: DataFrame, test: DataFrame, cols: Sequence[str], label: str, key: str, n_classes: int = 5) -> DataFrame:
+    """``test`` with the class probabilities of four trained models (``p_*``) and of their weighted vote (``p_vote``)."""
+    out = test
+    for kind in ("forest", "tree"):
+        model = train_classifier(train, cols, label, kind, n_classes)
+        out = predict(model, out).select(*out.columns, F.col("p").alias(f"p_{kind}"))
+    out = boosted_probabilities(train_classifier(train, cols, label, "boosted", n_classes), out, "p_boosted")
+    out = KernelClassifier(train, cols, label, key, n_classes).probabilities(out, "p_svm")
+    return out.withColumn("p_vote", soft_vote({n: F.col(f"p_{n}") for n in VOTE_WEIGHTS}, VOTE_WEIGHTS))
+
+
+def score_votes(voted: DataFrame, label: str, names: Sequence[str] = ("boosted", "forest", "svm", "tree", "vote")) -> DataFrame:
+    """(model, f1, accuracy, class_f1, support) of every probability column on rows with a known class.
+
+    ``f1`` is the mean over the classes that occur; ``class_f1`` and ``support`` list them in their order.
+    """
+    rows = voted.select(F.col(label).cast("int").alias("y"), F.inline(F.array(*[
+        F.struct(F.lit(n).alias("model"), V.argmax(F.col(f"p_{n}")).cast("int").alias("yhat")) for n in names])))
+    cells = rows.groupBy("model", "y", "yhat").agg(F.count(F.lit(1)).alias("n"))  # models x classes x classes rows
+    sides = F.inline(F.array(F.struct(F.col("y").alias("c"), F.col("n").alias("real"), F.lit(0).cast("long").alias("said")),
+                             F.struct(F.col("yhat").alias("c"), F.lit(0).cast("long").alias("real"), F.col("n").alias("said"))))
+    per = cells.withColumn("hit", F.when(F.col("y") == F.col("yhat"), F.col("n")).otherwise(0)).select("model", F.col("y"), "hit", sides) \
+        .groupBy("model", "c").agg(F.sum("real").alias("real"), F.sum("said").alias("said"),
+                                   F.sum(F.when(F.col("y") == F.col("c"), F.col("hit")).otherwise(0)).alias("hits2"))
+    # A hit is on both sides of its cell.
+    per = per.withColumn("hits", F.col("hits2") / 2).withColumn("f1", 2 * F.col("hits") / (F.col("real") + F.col("said")))
+    real = F.col("real") > 0
+    listed = F.sort_array(F.collect_list(F.when(real, F.struct("c", "f1", "real"))))
+    return per.groupBy("model").agg(F.avg(F.when(real, F.col("f1"))).alias("f1"), (F.sum("hits") / F.sum("real")).alias("accuracy"), listed.alias("_l")) \
+        .select("model", "f1", "accuracy", F.col("_l.f1").alias("class_f1"), F.col("_l.real").alias("support"))
+
+
 def compare_classifiers(df: DataFrame, cols: Sequence[str], label: str, key: str, kinds: Sequence[str],
                         folds: int = 3, n_classes: int = 5) -> DataFrame:
     """Cross-validated macro scores per classifier, ranked.  Folds are hash buckets of the key."""

@@ -124,6 +124,13 @@ def _(t):
     return v.select("key", *[F.round(F.col("v")[i], 6).alias(f"v{i}") for i in range(5)])
 
 
+@query("ml_trained_vote")
+def _(t):
+    data = S.holdout_split(labelled(t), "key", {"train": 0.7, "test": 0.3}, "vote").select("key", "tier_ord", "split", *RF)
+    voted = M.trained_vote(data.where("split = 'train'"), data.where("split = 'test'"), RF, "tier_ord", "key")
+    return M.score_votes(settle(voted), "tier_ord")
+
+
 @query("ml_sharpen_probabilities", "SELECT key, " + ", ".join(f"round(pow(p{i}, 5) / (" + " + ".join(f"pow(p{j}, 5)" for j in range(5)) + f"), 6) AS s{i}" for i in range(5)) + " FROM predictions", ["predictions"])
 def _(t):
     s = A.predictions(t).select("key", F.array(*P).alias("p")).withColumn("s", V.sharpen(F.col("p"), 0.2))
