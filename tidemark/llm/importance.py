@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.minhash import U, text_slices
 from tidemark.operators.ordering import ordered_rank
+from tidemark.sources.lineage import settle
 
 BUCKETS = 10_000
 AT_ONCE = 1 << 17  # words whose features are interned together
@@ -224,7 +225,8 @@ def resample(docs: DataFrame, target: DataFrame, n: int = 1, buckets: int = BUCK
     named = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     h = F.conv(F.substring(F.sha2(named.cast("binary"), 256), 1, 8), 16, 10).cast("long")
     noise = F.floor(F.lit(-1000.0) * F.log(-F.log((h + F.lit(0.5)) / F.lit(4294967296.0))))
-    scored = weighed.withColumn("score", F.col("weight") + noise).withColumn("late", F.col("n_words") < F.lit(min_words))
+    # Written once, narrow: the ranking reads it twice, for the ranges and for the rows.
+    scored = settle(weighed).withColumn("score", F.col("weight") + noise).withColumn("late", F.col("n_words") < F.lit(min_words))
     placed = ordered_rank(scored, [F.col("late"), F.col("score").desc(), F.col("doc_id").asc_nulls_last(), F.col("n_features"),
                                    F.col("weight")], name="place")
     ready = placed.filter(~F.col("late")).count()
