@@ -223,10 +223,31 @@ def test_rollups_are_idempotent(sp, tmp_path):
     for changes, name in ((one, "1"), (two, "2/x"), (one, "1"), (sp.createDataFrame([], cols), "3")):
         rollups.commit(changes, f"file://{tmp_path}/ledger", name)
     assert [tuple(r) for r in rollups.totals(sp, f"file://{tmp_path}/ledger").collect()] == [("a", None, "t", 2, 9)]
+    rollups.compact(sp, f"file://{tmp_path}/ledger")
+    rollups.commit(two, f"file://{tmp_path}/ledger", "2/x")  # a replay after the folding still replaces
+    assert [tuple(r) for r in rollups.totals(sp, f"file://{tmp_path}/ledger").collect()] == [("a", None, "t", 2, 9)]
     with pytest.raises(Exception, match="unknown kind"):
         rollups.signed_totals(sp.createDataFrame([("odd", "a", "x", "t", 1, 1)], cols)).collect()
 
 
+def test_token_totals_equal_plain_counts(sp):
+    """The query's totals: all documents with an end token each, exact copies (null texts too) left out but one."""
+    from tidemark.llm.queries import token_totals
+
+    rows = [(k, t, "en" if k % 2 else None, ["a", None][k % 3 == 0], 0) for k, t in enumerate(["one two", "one two", None, None, "", "Ünï ☃", "x " * 3000, "one two"])]
+    got = {(r.source, r.lang, r.tokenizer): (r.n_docs, r.n_tokens) for r in token_totals(sp.createDataFrame(rows, DOCS)).collect()}
+    encode = packing.encoder(*packing.public_files()).ordinary
+    want, seen = collections.Counter(), set()
+    docs_of = collections.Counter()
+    for _, t, lang, source, _ in rows:
+        if t not in seen:
+            for name, n in (("words-1", len((t or "").split())), ("byte-bpe-50k-1", len(encode(t or "")) + 1)):
+                want[source, lang, name] += n
+                docs_of[source, lang, name] += 1
+        seen.add(t)
+    assert got == {k: (docs_of[k], want[k]) for k in docs_of}
+
+
 # --- embeddings
 def test_links_match_brute_force(sp):
     rng = np.random.default_rng(3)

@@ -83,10 +83,10 @@ def op5(spark, sf_dir):
     return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("times")
 
 
-@query("op6_token_counts")
-def op6(spark, sf_dir):
+def token_totals(docs: DataFrame) -> DataFrame:
     """Load all documents, count the end token too, drop exact copies, and replay the load."""
-    counts = settle(rollups.token_counts(table(spark, sf_dir, "documents"), packing.public_files()))
+    spark = docs.sparkSession
+    counts = settle(rollups.token_counts(docs, packing.public_files()))
     load = counts.select(F.lit("insert").alias("kind"), "source", "lang", "tokenizer", "n_tokens", F.lit(None).cast("long").alias("old_tokens"))
     ended = F.col("n_tokens") + F.when(F.col("tokenizer") == "byte-bpe-50k-1", 1).otherwise(0)
     recount = counts.filter("tokenizer = 'byte-bpe-50k-1'").select(
@@ -100,6 +100,11 @@ def op6(spark, sf_dir):
     return rollups.totals(spark, ledger)
 
 
+@query("op6_token_counts")
+def op6(spark, sf_dir):
+    return token_totals(table(spark, sf_dir, "documents"))
+
+
 @query("op7_embedding_near_dedup")
 def op7(spark, sf_dir):
     return embeddings.link_vectors(table(spark, sf_dir, "embeddings"))
