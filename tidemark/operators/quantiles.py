@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tidemark.sources.lineage import settle
@@ -57,15 +57,16 @@ def running_totals(df: DataFrame, by: Sequence[str], value: str, measures: Seque
     )
 
 
+FINE = 1_024  # buckets from each power of two to the next
 SMALL = 4_096  # values of one bucket that are sorted in an array
 STEPS = 4_096  # parts that a larger bucket is cut into
 
 
 def magnitude_bucket(v: Column) -> Column:
-    """A bucket number that never falls as ``v`` grows: sign and sixteenths of the binary logarithm."""
+    """A bucket number that never falls as ``v`` grows: sign and parts of the binary logarithm."""
     a = F.abs(v)
-    step = F.floor(F.log2(F.least(a, F.lit(1.7e308))) * 16) + 20_000
-    return (F.when(F.isnan(v), 70_000).when(a == float("inf"), F.when(v > 0, 60_000).otherwise(-60_000))
+    step = F.floor(F.log2(F.least(a, F.lit(1.7e308))) * FINE) + 1_100 * FINE
+    return (F.when(F.isnan(v), 2_500 * FINE).when(a == float("inf"), F.when(v > 0, 2_400 * FINE).otherwise(-2_400 * FINE))
             .when(v > 0, step).when(v < 0, -step).otherwise(0).cast("int"))
 
 
@@ -109,15 +110,21 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     )
     keys, found, level = ["_k0"], [], 0
     summary = (F.count(F.lit(1)).alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
-    wanted = settle(_wanted(rows.groupBy(*groups, *keys).agg(*summary), groups, keys, probs))
+    single = F.col("lo").eqNullSafe(F.col("hi"))
+
+    def kept(buckets: DataFrame) -> tuple[DataFrame, int]:
+        """The buckets, written, and the size of the largest that has more than one value."""
+        seen = Observation()
+        out = settle(buckets.observe(seen, F.max(F.when(~single, F.col("n"))).alias("most")))
+        return out, seen.get["most"] or 0
+
+    wanted, most = kept(_wanted(rows.groupBy(*groups, *keys).agg(*summary), groups, keys, probs))
     while True:
-        single = F.col("lo").eqNullSafe(F.col("hi"))
         found.append(wanted.where(single).select(*groups, "total", F.explode("ranks").alias("rank"), "base", F.col("lo").alias("value"))
                      .withColumn("rank", F.col("rank") + F.col("base")).drop("base"))
         open_ = wanted.where(~single).select(*[F.col(c).alias(f"_{c}") for c in groups], *[F.col(k).alias(f"_{k}") for k in keys],
                                              "total", "ranks", "base", "n", "lo", "hi")
         same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in groups] + [F.col(k) == F.col(f"_{k}") for k in keys]
-        most = open_.agg(F.max("n")).first()[0] or 0
         if most == 0:
             break
         near = rows.join(open_, same[0] if len(same) == 1 else _all(same)).drop(*[f"_{c}" for c in [*groups, *keys]])
@@ -133,7 +140,7 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
         keys = [*keys, f"_k{level}"]
         counts = rows.groupBy(*groups, *keys).agg(*summary, *carried)
         rows = rows.select(*groups, *keys, "value")
-        wanted = settle(_wanted(counts, groups, keys, None))
+        wanted, most = kept(_wanted(counts, groups, keys, None))
 
     picked = found[0]
     for more in found[1:]:
