@@ -5,8 +5,10 @@ letters of the same case and script, separators kept, card numbers with a right
 original, names with the title's gender. The same entity gets the same surrogate wherever it stands, whatever
 its separators. Names are found after titles; their words are entities of their own, so that parts of a name keep
 their surrogate, and every other mention of these words in the document is replaced as well, before or after. Surrogates are checked over the corpus: two entities never share one, and none equals an entity
-that occurs. Entities that fail draw again, all but the smallest of those that share, until none fails; names,
-addresses and passwords get longer with each attempt, so that any number of entities finds surrogates.
+that occurs. Entities that fail draw again, all but the smallest of those that share; names, addresses and
+passwords get longer with each attempt, so that any number of them finds surrogates. Digits stay digits, so other
+spaces are finite: what finds nothing free in ``ROUNDS`` draws, as its shape is crowded, takes the value of the next
+entity of this shape in a keyed order, which is still another's alone and never its own, but one that occurs.
 
 Defined results: null texts stay null, empty ones empty; texts without entities are unchanged; repeated rows get
 equal texts; empty tables give empty results; all columns are kept, with ``text`` (and ``n_chars`` where there
@@ -26,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.ordering import ordered_rank
 from tidemark.sources.lineage import settle
 
 KEY = "tidemark-surrogates"  # a deployment passes its own secret
@@ -244,8 +247,42 @@ def _draw(key: str, attempt: int):
     return draw
 
 
+ROUNDS = 48  # draws of an entity whose space is finite
+GROWING = ("name-m", "name-f", "name-n", "email", "password")
+
+
+def shape(kind: str, entity: str) -> str:
+    """What entities have in common whose surrogates may be exchanged."""
+    form = re.sub(r"\d", "0", re.sub(r"[^\W\d_]", lambda m: "A" if m[0].isupper() else "a", entity))
+    if kind == "card":
+        return f"{entity[0]}{form}{luhn(entity) == 0}"
+    if kind == "phone":
+        return entity.partition("|")[0] + form
+    return entity[:2] + form if kind == "iban" else form
+
+
+def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        of = [shape(k, e) for k, e in zip(b.column("kind").to_pylist(), b.column("entity").to_pylist())]
+        yield pa.RecordBatch.from_arrays([b.column("kind"), b.column("entity"), pa.array(of, pa.string())], names=["kind", "entity", "shape"])
+
+
+def next_of_shape(open_: DataFrame, names: DataFrame, key: str) -> DataFrame:
+    """(kind, entity, surrogate, attempt): each open entity's successor among all of its kind and shape."""
+    schema = "kind string, entity string, shape string"
+    crowded = open_.mapInArrow(_shapes, schema).select("kind", "shape").distinct()
+    rows = names.mapInArrow(_shapes, schema).join(crowded, ["kind", "shape"], "left_semi")
+    placed = ordered_rank(rows, [F.col("kind"), F.col("shape"), F.md5(F.concat(F.lit(key), F.col("entity"))), F.col("entity")])
+    first = placed.groupBy("kind", "shape").agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("n"))
+    after = placed.join(first, ["kind", "shape"]).select(
+        "kind", "shape", "entity", (F.col("first") + (F.col("rank") - F.col("first") + 1) % F.col("n")).alias("rank"))
+    return after.join(placed.select("kind", "shape", "rank", F.col("entity").alias("surrogate")), ["kind", "shape", "rank"]) \
+        .join(open_, ["kind", "entity"], "left_semi").select("kind", "entity", "surrogate", F.lit(ROUNDS).alias("attempt"))
+
+
 def distinct_surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
-    """(kind, entity, surrogate, attempt) with no two entities of a kind sharing a surrogate and none that occurs."""
+    """(kind, entity, surrogate, attempt) with no two entities of a kind sharing a surrogate and none that occurs,
+    but for entities of crowded shapes (attempt ``ROUNDS``), whose surrogate is another entity's name."""
     names = settle(entities.select("kind", "entity").distinct())
     schema = "kind string, entity string, surrogate string, attempt int"
     fixed, open_, attempt = None, names, 0
@@ -259,9 +296,13 @@ def distinct_surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
         good = settle(good.select("kind", "entity", "surrogate", "attempt"))
         fixed = good if fixed is None else settle(fixed.unionAll(good))
         open_ = settle(drawn.join(good, ["kind", "entity"], "left_anti").select("kind", "entity"))
+        attempt += 1
+        if attempt == ROUNDS:
+            finite = ~F.col("kind").isin(*GROWING)
+            fixed = settle(fixed.unionAll(next_of_shape(open_.filter(finite), names, key)))
+            open_ = settle(open_.filter(~finite))
         if open_.isEmpty():
             return fixed
-        attempt += 1
 
 
 def _replace(key: str):
@@ -270,13 +311,13 @@ def _replace(key: str):
             texts, counts = b.column("text").to_pylist(), np.zeros(b.num_rows, dtype=np.int32)
             for k in np.flatnonzero(suspects(b)):
                 again = b.column("again")[int(k)].as_py()
-                again = {(x["kind"], x["entity"]): x["attempt"] for x in json.loads(again)} if again else {}
+                again = {(x["kind"], x["entity"]): x["surrogate"] for x in json.loads(again)} if again else {}
                 text, out, at = texts[k], [], 0
                 for start, end, kind, seen in found(text):
                     new = []
                     for part in parts_of(kind, seen):
                         entity = canonical(kind, part)
-                        new.append(render(kind, part, surrogate(key, kind, entity, again.get((kind, entity), 0))))
+                        new.append(render(kind, part, again.get((kind, entity)) or surrogate(key, kind, entity, 0)))
                     out += [text[at:start], " ".join(new)]
                     at = end
                     counts[k] += 1
@@ -292,13 +333,13 @@ def _replace(key: str):
 def replace_personal_data(docs: DataFrame, key: str = KEY) -> DataFrame:
     """``docs`` with surrogates in ``text``; personal data are found twice rather than texts shuffled.
 
-    Attempts beyond the first are rare; only they are joined to their documents.
+    Surrogates beyond the first draw are rare; only they are joined to their documents.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     seen = settle(rows.mapInArrow(_entities, "doc_id long, kind string, entity string"))
-    later = distinct_surrogates(seen, key).filter("attempt > 0").select("kind", "entity", "attempt")
+    later = distinct_surrogates(seen, key).filter("attempt > 0").select("kind", "entity", "surrogate")
     again = settle(seen.join(later, ["kind", "entity"]).groupBy("doc_id").agg(
-        F.to_json(F.collect_set(F.struct("kind", "entity", "attempt"))).alias("again")))
+        F.to_json(F.collect_set(F.struct("kind", "entity", "surrogate"))).alias("again")))
     others = [c for c in docs.columns if c not in ("text", "n_entities")]
     row = F.struct(*[F.col(f"`{c}`") for c in others]).alias("row")
     kind = docs.select(row).schema["row"].dataType.simpleString()
