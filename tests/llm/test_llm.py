@@ -314,6 +314,29 @@ def test_colliding_surrogates_draw_again(sp, monkeypatch):
     assert sorted(r.entity for r in few) == list("01234") and sorted(r.surrogate for r in few) == list("56789")
 
 
+def test_crowded_shapes_end(sp, monkeypatch):
+    """Eight, then all ten one-digit numbers: distinct surrogates, never the own value."""
+    monkeypatch.setattr(surrogates, "ROUNDS", 5)
+    for n in (8, 10):
+        rows = sp.createDataFrame([(1, "pin", str(k)) for k in range(n)] + [(1, "name-m", "Doe")], "doc_id long, kind string, entity string")
+        got = surrogates.distinct_surrogates(rows).collect()
+        assert len(got) == n + 1 == len({(r.kind, r.surrogate) for r in got}) and all(r.entity != r.surrogate for r in got)
+        free = [r for r in got if r.kind == "pin" and r.attempt < surrogates.ROUNDS]
+        assert all(int(r.surrogate) >= n for r in free) and len(free) <= 10 - n
+    assert surrogates.shape("card", "4041894974608795") != surrogates.shape("card", "4041894974608796")
+    assert surrogates.shape("phone", "+33|12") != surrogates.shape("phone", "+44|12")
+
+
+def test_entities_of_texts_are_all_replaced(sp, docs):
+    """Counts of the query equal those of the plain finder, and no found text stands in the result."""
+    texts = {r.doc_id: r.text for r in sp.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = {r.doc_id: r for r in surrogates.replace_personal_data(sp.read.parquet(f"{SF}/documents.parquet")).collect()}
+    for i, text in texts.items():
+        seen = surrogates.found(text or "")
+        assert got[i].n_entities == len(seen) and (got[i].text == text) == (not seen)
+        assert all(t not in got[i].text for _, _, _, t in seen)
+
+
 def test_more_names_than_short_surrogates(sp):
     """A Greek name has 2,187 short surrogates for a gender."""
     words = ["".join("αβγδεζηθ"[k // 8 ** j % 8] for j in range(4)).capitalize() for k in range(3000)]
