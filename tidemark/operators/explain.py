@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -90,10 +92,7 @@ def explain_horizon_rule(portfolio: DataFrame) -> DataFrame:
         F.lit("\n\n**Allocation — "), pct, F.lit("% Equity / "), debt, F.lit("% Debt:**\n"),
         F.array_join(F.transform("l", lambda x: x["t"]), " | "),
         F.lit("\n\n**Core-Satellite Logic:** The Core (60%) anchors the portfolio in the "), "tier",
-        F.lit(" tier for primary returns. The Stability satellite (20%) adds a downside buffer via a conservative tier, "
-              "while the Growth satellite (20%) captures upside from a higher risk tier. This three-bracket structure "
-              "reduces single-tier concentration risk and is aligned with BlackRock's Core-Satellite framework and "
-              "Markowitz diversification principles."))
+        F.lit(rules.BRACKET_LOGIC))
     return packed.select("tier", "horizon", text.alias("explanation"))
 
 
@@ -123,8 +122,16 @@ def build_prompt(tier: Column, context: Column | None = None) -> Column:
               "impact and return consistency. Be specific to Indian market. Under 180 words."))
 
 
+def filled(template: str, **values: Column) -> Column:
+    """``template`` with its {names} replaced by columns."""
+    parts = []
+    for text, name, _, _ in string.Formatter().parse(template):
+        parts += [F.lit(text)] + ([values[name]] if name else [])
+    return F.concat(*parts)
+
+
 def horizon_prompt(portfolio: DataFrame) -> DataFrame:
-    """Compact fund summary per tier and horizon, ready to prepend to a request."""
+    """Request per tier and horizon: a compact fund summary with the task around it."""
     lines = bracket_lines(portfolio, 40)
     line = F.concat(F.lit("  - "), "bracket", F.lit(" ("), F.format_string("%.0f", F.rint("bracket_pct")), F.lit("%, "),
                     "bracket_tier", F.lit(" tier): "), "names")
@@ -132,10 +139,9 @@ def horizon_prompt(portfolio: DataFrame) -> DataFrame:
         F.sort_array(F.collect_list(F.struct(bracket_order(F.col("bracket")).alias("o"), line.alias("t")))).alias("l"))
     pct = F.format_string("%.0f", F.rint(F.col("equity_share") * 100))
     debt = F.format_string("%.0f", F.rint((1 - F.col("equity_share")) * 100))
-    return packed.select("tier", "horizon", F.concat(
-        F.lit("'"), "tier", F.lit("' risk investor with a "), "horizon", F.lit(" horizon.\n"),
-        F.array_join(F.transform("l", lambda x: x["t"]), "\n"), F.lit("\nAsset Allocation: "), pct, F.lit("% Equity | "),
-        debt, F.lit("% Debt")).alias("prompt"))
+    funds = F.array_join(F.transform("l", lambda x: x["t"]), "\n")
+    return packed.select("tier", "horizon", filled(
+        rules.HORIZON_PROMPT, tier=F.col("tier"), horizon=F.col("horizon"), funds=funds, equity=pct, debt=debt).alias("prompt"))
 
 
 def parse_json_answer(raw: Column) -> Column:

@@ -270,12 +270,14 @@ def _cl(c, lo, hi):
     return f"greatest({lo}, least({hi}, {c}))"
 
 
+# The limits of each part.
 _parts = {"er": "expense_norm", "f1": _cl("fund_return_1y", -.5, 1.5), "ex1": _cl("excess_return_1y", -.8, 1.5), "stale": _cl("recency_days", 0, 3650),
           "c1": _cl("cagr_1yr_hist", -.5, 1), "c3": _cl("cagr_3yr_hist", -.5, 1), "sh": _cl("sharpe_1yr_hist", -3, 5), "dd": "-max_drawdown_hist",
           "mo": _cl("momentum_6m_hist", -.5, 1), "f3": _cl("fund_return_3y", -.5, 1.5), "f5": _cl("fund_return_5y", -.5, 2), "ex3": _cl("excess_return_3y", -.5, 1.5),
           "ex5": _cl("excess_return_5y", -.5, 1.5), "exn": _cl("excess_vs_index_3y", -1, 1), "aum": "log_aum", "rec": "-price_recency_days", "age": "fund_age_years"}
 common("pcts", "SELECT code, expense_missing, " + ", ".join(
     f"({e} - min({e}) OVER ()) / (max({e}) OVER () - min({e}) OVER () + 1e-9) AS {n}" for n, e in _parts.items()) + " FROM fund_features", ["fund_features"])
+# Weights and limits of the quality targets.
 _QUALITY = {
     "history": "greatest(0, least(1, 0.75 * greatest(0, least(1, 0.35 * (0.667 * c1 + 0.333 * c3) + 0.25 * sh + 0.25 * dd + 0.15 * mo - 0.10 * (1 - 0.5 * expense_missing) * er)) + 0.25 * (0.6 * f1 + 0.4 * ex1) * (0.7 + 0.1 * (1 - stale))))",
     "snapshot": "greatest(0, least(1, (0.24 * f1 + 0.16 * f3 + 0.10 * f5 + 0.22 * ex1 + 0.14 * ex3 + 0.08 * ex5 + 0.06 * exn - 0.10 * (1 - 0.5 * expense_missing) * er) * (0.7 + 0.1 * (1 - stale))))",

@@ -80,8 +80,7 @@ SELECT tier, bracket, source, round(pct * 100, 1) AS bp, string_agg(substr(name,
  CASE bracket WHEN 'Core' THEN 0 WHEN 'Stability' THEN 1 ELSE 2 END AS o FROM csat WHERE rank <= 2 GROUP BY 1, 2, 3, 4""", ["csat"])
 _hlabel = "CASE h WHEN 1 THEN '1yr' WHEN 3 THEN '3yr' WHEN 5 THEN '5yr' ELSE '10yr+' END"
 _why = "CASE horizon " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in rules.HORIZON_RATIONALE.items()) + " END"
-_tail = (" tier for primary returns. The Stability satellite (20%) adds a downside buffer via a conservative tier, while the Growth satellite (20%) captures upside from a higher risk tier. "
-         "This three-bracket structure reduces single-tier concentration risk and is aligned with BlackRock''s Core-Satellite framework and Markowitz diversification principles.")
+_tail = rules.BRACKET_LOGIC.replace("'", "''")
 
 
 @query("tx_explain_horizon_rule", f"""
@@ -93,8 +92,14 @@ def _(t):
     return X.explain_horizon_rule(R.full_profile(built(t)))
 
 
+_asked = "'" + rules.HORIZON_PROMPT.replace("'", "''") + "'"
+for _name, _value in (("tier", "tier"), ("horizon", "horizon"), ("funds", "l"), ("equity", "printf('%.0f', round_even(eq * 100, 0))"),
+                      ("debt", "printf('%.0f', round_even((1 - eq) * 100, 0))")):
+    _asked = f"replace({_asked}, '{{{_name}}}', {_value})"
+
+
 @query("tx_horizon_prompt", f"""
-SELECT tier, horizon, '''' || tier || ''' risk investor with a ' || horizon || ' horizon.' || chr(10) || l || chr(10) || 'Asset Allocation: ' || printf('%.0f', round_even(eq * 100, 0)) || '% Equity | ' || printf('%.0f', round_even((1 - eq) * 100, 0)) || '% Debt' AS prompt FROM (
+SELECT tier, horizon, {_asked} AS prompt FROM (
 SELECT tier, {_hlabel} AS horizon, round({glide_sql('tier', 'h')}, 2) AS eq, string_agg('  - ' || bracket || ' (' || printf('%.0f', round_even(bp, 0)) || '%, ' || source || ' tier): ' || n40, chr(10) ORDER BY o) AS l
 FROM brackets, (SELECT unnest([1, 3, 5, 10]) AS h) GROUP BY tier, h)""", ["brackets"])
 def _(t):

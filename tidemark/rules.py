@@ -253,3 +253,21 @@ HORIZON_RATIONALE = {
     "10yr+": "A 10-year+ horizon fully harnesses compounding. High equity exposure maximises "
              "long-term wealth creation; a small debt slice buffers short-term shocks.",
 }
+
+# The request for a horizon's portfolio text, and the sentence that closes the rule-based one.
+HORIZON_PROMPT = (
+    "You are a SEBI-registered investment advisor. Act as a professional wealth manager for a '{tier}' risk investor "
+    "with a {horizon} horizon. Context: Indian market, current interest rate cycle, and latest debt tax laws.\n\n"
+    "Funds to be recommended by you(summary):\n{funds}\n"
+    "Asset Allocation: {equity}% Equity | {debt}% Debt\n\n"
+    "Task: Write exactly 4 paragraphs (under 160 words total) focusing on:\n"
+    "1. Mention funds to be recommended and latest details about it\n"
+    "2. Strategic Fit: Why this split optimizes the risk-adjusted return (Sharpe Ratio) for a {horizon} period in India.\n"
+    "3. Fund Selection Logic: Mention the specific funds, highlighting their credit quality (e.g., AAA/Sovereign) or AUM stability rather than just names.\n"
+    "4. Architecture: How the Core (yield), Stability (liquidity), and Growth (alpha) tiers prevent emotional selling during market dips.\n"
+    "Constraint: No preamble, no bullets, professional tone, no other suggestions, strictly under 160 words.")
+BRACKET_LOGIC = (
+    " tier for primary returns. The Stability satellite (20%) adds a downside buffer via a conservative tier, "
+    "while the Growth satellite (20%) captures upside from a higher risk tier. This three-bracket structure "
+    "reduces single-tier concentration risk and is aligned with BlackRock's Core-Satellite framework and "
+    "Markowitz diversification principles.")
