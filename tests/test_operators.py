@@ -538,3 +538,20 @@ def test_vote_of_trained_models(spark):
         assert got[n].accuracy == pytest.approx((said == real).mean()) and got[n].class_f1 == pytest.approx(f1)
         assert got[n].f1 == pytest.approx(np.mean(f1)) and got[n].support == [int((real == c).sum()) for c in range(3)]
         assert got[n].accuracy > 0.8
+
+
+def test_training_stops_at_the_best_slice(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(240, 2))
+    y = (x[:, 0] * x[:, 1] > 0).astype(int) ^ (rng.random(240) < 0.15)  # noise that later slices learn by heart
+    rows = [(i, int(c), float(a), float(b)) for i, (c, (a, b)) in enumerate(zip(y, x))]
+    df = spark.createDataFrame(rows, "key long, cls int, a double, b double")
+    valid = df.where("key % 3 = 0")
+    model, table = M.train_until_best(df.where("key % 3 > 0"), valid, ["a", "b"], "cls", 2, hidden=[16, 8], slice_rounds=8, slices=30, patience=3)
+    got = table.orderBy("slice").collect()
+    losses = [r.loss for r in got]
+    best = int(np.argmin(losses))
+    assert [r.best for r in got] == [i == best for i in range(len(got))] and got[-1].last and len(got) in (best + 4, 30)
+    scored = M.predict(model, valid, "cls").select("cls", "p", "prediction").collect()
+    assert np.mean([-math.log(max(r.p[r.cls], 1e-15)) for r in scored]) == pytest.approx(losses[best])
+    assert np.mean([r.prediction == r.cls for r in scored]) == pytest.approx(got[best].accuracy) and got[best].accuracy > 0.65

@@ -72,6 +72,41 @@ def train_classifier(df: DataFrame, cols: Sequence[str], label: str, kind: str,
     return Pipeline(stages=stages).fit(data)
 
 
+def train_until_best(train: DataFrame, valid: DataFrame, cols: Sequence[str], label: str, n_classes: int = 5,
+                     hidden: Sequence[int] = (256, 128, 64, 32), slice_rounds: int = 10, slices: int = 20,
+                     patience: int = 4) -> tuple[PipelineModel, DataFrame]:
+    """A perceptron trained in slices that start from the weights before, stopped when the validation loss has not
+    fallen for ``patience`` slices, with the best slice's weights.
+
+    Also returns (slice, rounds, loss, accuracy, best, last): one row a slice. Rare classes are oversampled as in
+    ``train_classifier``; the loss is the mean of minus the log of the true class's probability on ``valid``.
+    """
+    prepared = Pipeline(stages=[VectorAssembler(inputCols=list(cols), outputCol="raw"),
+                                StandardScaler(inputCol="raw", outputCol="features", withMean=True)])
+    data = with_class_weight(train.withColumn("label", F.col(label).cast("double")), "label")
+    copies = F.greatest(F.rint("weight"), F.lit(1.0)).cast("int")
+    scaled = prepared.fit(data)
+    rows = settle(scaled.transform(data.withColumn("_c", F.explode(F.sequence(F.lit(1), copies)))).select("features", "label"))
+    check = settle(scaled.transform(valid.withColumn("label", F.col(label).cast("double"))).select("features", "label"))
+    weights, best, history = None, None, []
+    for k in range(slices):
+        step = MultilayerPerceptronClassifier(layers=[len(cols), *hidden, n_classes], maxIter=slice_rounds, seed=SEED)
+        if weights is not None:
+            step.setInitialWeights(weights)
+        model = step.fit(rows)
+        weights = model.weights
+        p = F.get(vector_to_array("probability"), F.col("label").cast("int"))
+        got = model.transform(check).agg(F.avg(-F.ln(F.greatest(p, F.lit(1e-15)))), F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()
+        history.append((k + 1, (k + 1) * slice_rounds, got[0], got[1]))
+        if best is None or got[0] < history[best][2]:
+            best, kept = k, model
+        if k - best >= patience:
+            break
+    table = [(*h, i == best, i == len(history) - 1) for i, h in enumerate(history)]
+    return PipelineModel(stages=[*scaled.stages, kept]), train.sparkSession.createDataFrame(
+        table, "slice int, rounds int, loss double, accuracy double, best boolean, last boolean")
+
+
 def predict(model: PipelineModel, df: DataFrame, label: str | None = None) -> DataFrame:
     data = df if label is None else df.withColumn("label", F.col(label).cast("double"))
     if "weight" not in data.columns:

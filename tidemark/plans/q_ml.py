@@ -57,6 +57,12 @@ for _k in ("mlp", "svm", "boosted", "tree", "forest", "logistic"):
     _classifier(_k)
 
 
+@query("ml_mlp_rounds")
+def _(t):
+    data = S.holdout_split(labelled(t), "key", {"train": 0.8, "valid": 0.2}, "rounds")
+    return M.train_until_best(data.where("split = 'train'"), data.where("split = 'valid'"), RF, "tier_ord")[1]
+
+
 @query("ml_compare_classifiers")
 def _(t):
     return M.compare_classifiers(labelled(t), RF, "tier_ord", "key", ["tree", "forest", "logistic"], folds=5)
