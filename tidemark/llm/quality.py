@@ -83,14 +83,14 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     """The table of unit word vectors, each times the word's weight."""
     names = [f"v{k}" for k in range(WIDTH)]
     parts = docs.select("text").mapInArrow(_count_neighbours, "word long, n long, " + ", ".join(f"{c} long" for c in names))
-    # One row for each row of the fixed-size table.
-    got = parts.groupBy("word").agg(F.sum("n").alias("n"), *(F.sum(c).alias(c) for c in names)).toPandas()
+    # One row for each row of the fixed-size table, as columns of numbers.
+    got = parts.groupBy("word").agg(F.sum("n").alias("n"), *(F.sum(c).alias(c) for c in names)).toArrow()
     table = np.zeros((ROWS_OF_WORDS, WIDTH), dtype=np.float32)
-    if len(got):
-        v = got[names].to_numpy(np.float64)
-        n = got["n"].to_numpy(np.float64)
-        weight = COMMON / (COMMON + n / n.sum())
-        table[got["word"].to_numpy()] = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9) * weight[:, None]
+    row, n = got.column("word").to_numpy(), got.column("n").to_numpy().astype(np.float64)
+    for a in range(0, len(row), 4096):
+        v = np.stack([got.column(c).slice(a, 4096).to_numpy() for c in names], axis=1).astype(np.float64)
+        weight = COMMON / (COMMON + n[a: a + 4096] / n.sum())
+        table[row[a: a + 4096]] = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9) * weight[:, None]
     return table
 
 
@@ -199,12 +199,13 @@ def fit_quality(docs: DataFrame, labels: DataFrame, table, sample: int = SAMPLE)
         .withColumn("draw", F.xxhash64(F.lit(SEED), "label_id")).orderBy("draw", "label_id", "y").limit(sample)
     texts = docs.select(F.col("doc_id").alias("label_id"), "text").join(F.broadcast(known), "label_id") \
         .select("draw", "label_id", "y", "text")
-    got = texts.mapInArrow(_pool(table), "draw long, label_id long, y double, features array<double>").toPandas() \
-        .sort_values(["draw", "label_id", "y"], kind="stable")
-    if got["y"].nunique() < 2:
+    got = texts.mapInArrow(_pool(table), "draw long, label_id long, y double, features array<double>").toArrow() \
+        .sort_by([("draw", "ascending"), ("label_id", "ascending"), ("y", "ascending")])
+    y = got.column("y").to_numpy()
+    if len(set(y.tolist())) < 2:
         return None
-    x, y = np.stack(got["features"].to_numpy()), got["y"].to_numpy()
-    held = (got["draw"].to_numpy() % 6) == 0
+    x = got.column("features").combine_chunks().flatten().to_numpy().reshape(len(y), FEATURES)
+    held = (got.column("draw").to_numpy() % 6) == 0
     return Network(x, y, held if len(set(y[~held])) == 2 else np.zeros(len(y), dtype=bool))
 
 
