@@ -177,6 +177,10 @@ def mixed_rows(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), total_shar
     whole = again(here.filter(~(F.col("_cut") & (F.col("_draw") == F.col("_last")))), F.col("_passes") + F.col("_taken").cast("long"))
     # Rows that tie at a limit: as many of them as have a place before it.
     split = limits.filter(cut)
+    n_split = split.count()
+    if n_split == 0:
+        return whole
+    split = F.broadcast(split) if n_split <= LIMITS_SENT else split
     left = plan.join(split.select(*KEYS, F.col("_last").alias("_draw")), [*KEYS, "_draw"]).filter("place < extra") \
         .groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_more"))
     tied = rows.join(split.select(*KEYS, "_passes", F.col("_last").alias("_draw")), [*KEYS, "_draw"])
