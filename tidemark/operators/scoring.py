@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +15,7 @@ from tidemark.functions import columns as C
 from tidemark.operators.bands import label_by_quantiles
 from tidemark.operators.ordering import ordered_rank
 from tidemark.operators.quantiles import fitted_quantiles
+from tidemark.session import importable
 
 
 def weighted_sum(weights: Mapping[str, float]) -> Column:
@@ -123,25 +126,35 @@ def scenario_weights(weights: Mapping[str, float], trials: int, noise: float = 0
 
 def scenario_shares(df: DataFrame, scenarios: Sequence[Mapping[str, float]], cuts: Sequence[float],
                     names: Sequence[str] | None = None) -> DataFrame:
-    """Class shares of every weight scenario on fixed score cuts.
+    """Class shares of every weight scenario on fixed score cuts; nulls count 0.
 
-    Scenarios are a literal array exploded per row; counts are combined map-side,
-    so only scenarios x 5 rows per task are shuffled.
+    A block of rows meets all scenarios in one product of two small tables; what leaves a task is one count for
+    each scenario and class, never a row for each row and scenario.
     """
     cols = list(scenarios[0])
-    values = F.array(*[F.coalesce(F.col(c), F.lit(0.0)) for c in cols])
     names = list(names or [str(i) for i in range(len(scenarios))])
-    literal = F.array(*[F.struct(F.lit(n).alias("scenario"), F.array(*[F.lit(float(s[c])) for c in cols]).alias("w"))
-                        for n, s in zip(names, scenarios)])
-    rows = df.select(values.alias("_v"), F.explode(literal).alias("_s"))
-    score = F.aggregate(F.zip_with("_v", F.col("_s.w"), lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
-    band = F.lit(0)
-    for c in cuts:
-        band = band + (score > c).cast("int")
-    counted = rows.select("_s.scenario", band.alias("band")).groupBy("scenario", "band").agg(F.count(F.lit(1)).alias("n"))
-    return counted.groupBy("scenario").agg(
+    weights = np.array([[float(s[c]) for c in cols] for s in scenarios])
+    edges, k = np.array(cuts, dtype=np.float64), len(scenarios)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((k, len(edges) + 1), dtype=np.int64)
+        for b in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], axis=1)
+            for a in range(0, len(x), 1024):
+                scores = x[a: a + 1024] @ weights.T
+                above = np.stack([(scores > e).sum(axis=0) for e in edges], axis=1)  # rows over each cut, by scenario
+                reached = np.concatenate([np.full((k, 1), len(scores)), above], axis=1)
+                total += reached - np.concatenate([above, np.zeros((k, 1), np.int64)], axis=1)
+        rows, bands = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(bands), pa.array(total[rows, bands])], names=["at", "band", "n"])
+
+    importable(df.sparkSession)
+    counted = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in cols]) \
+        .mapInArrow(count, "at long, band long, n long").groupBy("at", "band").agg(F.sum("n").alias("n"))
+    named = F.get(F.lit(names), F.col("at").cast("int")).alias("scenario")
+    return counted.groupBy("at").agg(
         F.sum("n").alias("n"), *[(F.coalesce(F.sum(F.when(F.col("band") == i, F.col("n"))), F.lit(0)) / F.sum("n")).alias(f"share{i}")
-                                 for i in range(len(cuts) + 1)])
+                                 for i in range(len(cuts) + 1)]).select(named, "n", *[f"share{i}" for i in range(len(cuts) + 1)])
 
 
 TARGET_SHARES = [0.125, 0.25, 0.25, 0.25, 0.125]

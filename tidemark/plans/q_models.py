@@ -103,9 +103,9 @@ def _(t):
 
 
 # --- weight sensitivity -----------------------------------------------------
-W5 = {"f1": 0.02, "f2": 0.000004, "f3": 0.000003, "f4": -0.00001, "f5": -0.8}
-_sc = " + ".join(f"{c} * ({w!r}::DOUBLE)" for c, w in W5.items())
-common("base_cuts", f"SELECT quantile_cont({_sc}, [0.125, 0.375, 0.625, 0.875]) AS q FROM features", ["features"])
+W15 = {c: rules.FEATURE_WEIGHTS[c] for c in RF}
+_sc = " + ".join(f"coalesce({c}, 0) * ({w!r}::DOUBLE)" for c, w in W15.items())
+common("base_cuts", f"SELECT quantile_cont({_sc}, [0.125, 0.375, 0.625, 0.875]) AS q FROM bank_features", ["bank_features"])
 
 
 def _band(expr):
@@ -113,20 +113,20 @@ def _band(expr):
 
 
 def _trial_sql(scenarios, names):
-    vals = ", ".join("('" + n + "', " + ", ".join(f"{s[c]!r}::DOUBLE" for c in W5) + ")" for n, s in zip(names, scenarios))
-    expr = " + ".join(f"f.{c} * s.{c}" for c in W5)
+    vals = ", ".join("('" + n + "', " + ", ".join(f"{s[c]!r}::DOUBLE" for c in W15) + ")" for n, s in zip(names, scenarios))
+    expr = " + ".join(f"coalesce(f.{c}, 0) * s.{c}" for c in W15)
     return f"""SELECT scenario, {', '.join(f'avg((b = {i})::INT) AS share{i}' for i in range(5))} FROM (
-SELECT scenario, {_band(expr)} AS b FROM features f, base_cuts, (VALUES {vals}) AS s(scenario, {', '.join(W5)})) GROUP BY 1"""
+SELECT scenario, {_band(expr)} AS b FROM bank_features f, base_cuts, (VALUES {vals}) AS s(scenario, {', '.join(W15)})) GROUP BY 1"""
 
 
-common("trials", _trial_sql(S.scenario_weights(W5, 500), [str(i) for i in range(500)]), ["features", "base_cuts"])
+common("trials", _trial_sql(S.scenario_weights(W15, 500), [str(i) for i in range(500)]), ["bank_features", "base_cuts"])
 
 
 @query("jn_scenario_cross", "SELECT scenario, " + ", ".join(f"round(share{i}, 6) AS share{i}" for i in range(5)) + " FROM trials", ["trials"])
 def _(t):
-    f = A.features(t)
-    cuts = T.fitted_quantiles(f.withColumn("s", S.weighted_sum(W5)), ["s"], rules.LABEL_QUANTILES)["s"]
-    out = S.scenario_shares(f, S.scenario_weights(W5, 500), cuts)
+    f = bank_features(t)
+    cuts = T.fitted_quantiles(f.withColumn("s", S.weighted_sum(W15)), ["s"], rules.LABEL_QUANTILES)["s"]
+    out = S.scenario_shares(f, S.scenario_weights(W15, 500), cuts)
     return rnd(out, [f"share{i}" for i in range(5)]).drop("n")
 
 
@@ -135,22 +135,22 @@ _dev = "greatest(" + ", ".join(f"abs(share{i} - {x})" for i, x in enumerate(S.TA
 
 @query("ml_weight_sensitivity", f"SELECT count(*) AS trials, round(avg({_dev}), 6) AS mean_dev, round(quantile_cont({_dev}, 0.95), 6) AS p95_dev FROM trials", ["trials"])
 def _(t):
-    return rnd(S.weight_sensitivity(A.features(t), W5), ["mean_dev", "p95_dev"])
+    return rnd(S.weight_sensitivity(bank_features(t), W15), ["mean_dev", "p95_dev"])
 
 
-_sweep, _names = [dict(W5)], ["base"]
-for _c, _w in W5.items():
+_sweep, _names = [dict(W15)], ["base"]
+for _c, _w in W15.items():
     for _side, _sg in (("minus", -1), ("plus", 1)):
-        _sweep.append({**W5, _c: _w + _sg * 0.20 * abs(_w)})
+        _sweep.append({**W15, _c: _w + _sg * 0.20 * abs(_w)})
         _names.append(f"{_side}|{_c}")
-common("sweep", _trial_sql(_sweep, _names), ["features", "base_cuts"])
+common("sweep", _trial_sql(_sweep, _names), ["bank_features", "base_cuts"])
 
 
 @query("ml_single_feature_sweep", """
 SELECT split_part(a.scenario, '|', 2) AS feature, round(max(CASE WHEN a.scenario LIKE 'minus%' THEN d END), 6) AS minus, round(max(CASE WHEN a.scenario LIKE 'plus%' THEN d END), 6) AS plus FROM (
 SELECT a.scenario, greatest(""" + ", ".join(f"abs(a.share{i} - b.share{i})" for i in range(5)) + """) AS d FROM sweep a, sweep b WHERE b.scenario = 'base' AND a.scenario <> 'base') a GROUP BY 1""", ["sweep"])
 def _(t):
-    return rnd(S.single_feature_sweep(A.features(t), W5), ["minus", "plus"])
+    return rnd(S.single_feature_sweep(bank_features(t), W15), ["minus", "plus"])
 
 
 # --- drift ------------------------------------------------------------------
