@@ -37,7 +37,7 @@ BANDS, ROWS = 24, 6
 SKETCH = -(-BANDS * ROWS // 64)  # 64-bit numbers with one bit of every signature component
 BITS = [f"bits_{k}" for k in range(SKETCH)]
 BLOCK = 1_024  # members of a bucket that meet in one task
-BYTES_AT_ONCE = 2_000_000
+BYTES_AT_ONCE = 1_000_000
 SPARE = 3.0  # time allowed beyond the mean need of a signature; documents that need more are drawn again
 
 U = np.uint64
@@ -254,7 +254,7 @@ def verified(near: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
 
 TASK = ["band", "hash", "i", "j", "kind"]
 COLUMNS = ["side", "class_no", "component", "n_shingles", *BITS]
-MEETING_ROWS = 2 * BLOCK  # rows that share a task's group
+MEETING_ROWS = BLOCK  # rows that share a task's group
 
 
 def meetings(pdf: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
