@@ -6,22 +6,30 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tidemark.functions import columns as C
 from tidemark.operators.quantiles import exact_quantiles
 from tidemark.sources.lineage import settle
 
 
+def _grouping(df: DataFrame, key: Sequence[str]) -> list[Column]:
+    """``key``, led by a hash of its texts: aggregates that keep rows are sorted by group, and one number decides
+    nearly every comparison that texts with a common start would be read for."""
+    texts = [c for c in key if isinstance(df.schema[c].dataType, StringType)]
+    return [*([F.xxhash64(*texts).alias("_hash")] if texts else []), *[F.col(c) for c in key]]
+
+
 def latest_per_key(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Last row per key.  ``max_by`` combines map-side, so a hot key costs one row per task."""
     row = F.struct(*[c for c in df.columns if c not in key])
-    best = df.groupBy(*key).agg(F.max_by(row, F.struct(*order)).alias("_row"))
+    best = df.groupBy(*_grouping(df, key)).agg(F.max_by(row, F.struct(*order)).alias("_row"))
     return best.select(*key, "_row.*")
 
 
 def first_per_key(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
     row = F.struct(*[c for c in df.columns if c not in key])
-    best = df.groupBy(*key).agg(F.min_by(row, F.struct(*order)).alias("_row"))
+    best = df.groupBy(*_grouping(df, key)).agg(F.min_by(row, F.struct(*order)).alias("_row"))
     return best.select(*key, "_row.*")
 
 
@@ -32,9 +40,9 @@ def newest_values(df: DataFrame, key: Sequence[str], order: Sequence[str],
     The structs combine further with ``max``, so keys can be merged later.
     """
     at = F.struct(*order)
-    return df.groupBy(*key).agg(*[
+    return df.groupBy(*_grouping(df, key)).agg(*[
         F.max(F.when(F.col(c).isNotNull(), F.struct(at.alias("at"), F.col(c).alias("value")))).alias(c)
-        for c in cols])
+        for c in cols]).drop("_hash")
 
 
 def last_non_null_per_key(df: DataFrame, key: str, order: Sequence[str],
