@@ -95,6 +95,30 @@ def test_repeats_of_nothing(sp):
     assert repeats.remove_repeats(empty(sp)).count() == 0
 
 
+def test_what_is_left_shows_planted_passages(sp, monkeypatch):
+    """Passages of over 50 words leave the texts that share them, clean texts stay; a cut character is marked."""
+    monkeypatch.setattr(repeats, "SLICE", 2_000)
+    passages = [" ".join(prose(90 + k, 110 + k)) for k in range(4)]
+    own = [" ".join(prose(100 + k, 60 + k, 10**9)) for k in range(26)]
+    rows = [(k, f"{own[k]} {k} {passages[k % 4]} {k} {own[k + 8]}") for k in range(8)] + [(k, own[k]) for k in range(16, 24)]
+    rows += [(30, f"{own[24]}\u00e9{passages[0]}"), (31, f"{own[25]}\u0129{passages[0]}"), (32, None)]  # both end in byte A9
+    docs = sp.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = {r.doc_id: r for r in repeats.remove_repeats(docs).collect()}
+    spans = {r.doc_id: r for r in repeats.cut_repeats(docs).collect()}
+    assert got.keys() == spans.keys() == {k for k, _ in rows}
+    for k, text in rows:
+        data = (text or "").encode()
+        left = b"".join(data[a:b] for a, b in zip([0, *(s.end for s in spans[k].spans)], [*(s.start for s in spans[k].spans), len(data)]))
+        assert left == bytes(spans[k].kept) and hashlib.sha256(left).hexdigest() == got[k].kept_sha256
+        assert got[k].text == left.decode(errors="replace")
+        assert got[k].n_bytes == len(data) and got[k].n_removed == len(data) - len(left) and got[k].n_spans == len(spans[k].spans)
+        if k < 8:
+            assert got[k].text == f"{own[k]} {k}{k} {own[k + 8]}"
+        elif k < 30 or text is None:
+            assert got[k].text == (text or "")
+    assert got[30].text == f"{own[24]}\ufffd" and got[31].text == f"{own[25]}\ufffd"
+
+
 # --- fingerprints
 def test_fingerprints(sp, docs):
     got = fingerprints.compare_with_next(docs).collect()
